@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from postflow.functions.entities import with_entities
 from postflow.operators.keys import NATURAL_KEY, with_keys
 from postflow.schemas import LONG, POST_KEY, POSTS, RAW_POSTS
-from postflow.sources.posts import flatten_posts
+from postflow.sources.posts import flatten_posts, write_posts
 
 
 def raw_stream(
@@ -28,29 +28,70 @@ def prepare(raw: DataFrame) -> DataFrame:
     return with_entities(flatten_posts(raw)).select(*POSTS.fieldNames())
 
 
-def drop_repeats(posts: DataFrame, delay: str = "7 days") -> DataFrame:
-    """A post that lands again within ``delay`` is dropped; older state is forgotten."""
+def drop_repeats(posts: DataFrame, delay: str) -> DataFrame:
+    """A post that lands again within ``delay`` is dropped, with state bounded by ``delay``.
+
+    As with every watermark, a post that lands later than ``delay`` behind the newest one is lost.
+    """
     return posts.withWatermark("created_at", delay).dropDuplicatesWithinWatermark([*POST_KEY])
 
 
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table at ``path``, or None before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def append_unseen(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that appends the posts that are not stored yet.
+
+    Nothing is lost, however late it lands, and a batch that is run again adds nothing.  Of the
+    stored table only the key columns are read, of the groups and users in the batch; the join is
+    on the whole key, so a user with many posts is spread over all tasks.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates([*POST_KEY])
+        stored = _stored(batch.sparkSession, path, POSTS)
+        if stored is not None:
+            fresh = fresh.join(stored.select(*POST_KEY), [*POST_KEY], "left_anti")
+        write_posts(fresh, path)
+
+    return append
+
+
 def stream_posts(
     spark: SparkSession,
     source: str,
     out: str,
     checkpoint: str,
-    delay: str = "7 days",
+    delay: str | None = None,
     format: str = "json",
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Ingest what has landed since the last run, then stop."""
-    posts = drop_repeats(prepare(raw_stream(spark, source, format, files_per_batch)), delay)
+    """Ingest what has landed since the last run, then stop.
+
+    Without ``delay`` repeats are found in the stored table; with it, in the state of the stream.
+    """
+    posts = prepare(raw_stream(spark, source, format, files_per_batch))
+    if delay is None:
+        writer = posts.writeStream.foreachBatch(append_unseen(out))
+    else:
+        writer = (
+            drop_repeats(posts, delay)
+            .writeStream.format("parquet")
+            .partitionBy("group", "user")
+            .option("path", out)
+        )
     return (
-        posts.writeStream.format("parquet")
-        .partitionBy("group", "user")
-        .option("checkpointLocation", checkpoint)
+        writer.option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start(out)
+        .start()
     )
 
 
@@ -64,11 +105,8 @@ def upsert_long(path: str) -> Callable[[DataFrame, int], None]:
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("date", "twitter_ticker", "value").dropDuplicates([*NATURAL_KEY])
-        try:
-            stored = spark.read.schema(LONG).parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        stored = _stored(spark, path, LONG)
+        if stored is None:
             merged = with_keys(rows)
         else:
             # Partition pruning limits this scan to the dates of the batch.
