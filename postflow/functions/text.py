@@ -27,9 +27,9 @@ EMOJI = (
 _NOISE_MARKS = rf"http[^{SPACE}]+|www[^{SPACE}]+|@[{WORD}]+|#[{WORD}]+|\p{{Nd}}+"
 _BLANKS = rf"[{SPACE}]{{2,}}"
 _PUNCTUATION = "[" + re.escape(string.punctuation) + "]+"
-_BEYOND_ASCII = r"[^\x00-\x7f]"
 _EMOJI_HINT = r"[\x{20E3}\x{FE0F}\x{2600}-\x{27BF}\x{2B50}\x{1F1E6}-\x{1FAFF}]"
-_BEYOND_PRINTABLE = r"[^\t-\r\x20-\x7e]"
+# Underscores, accents, emoji and control characters, which need the longer way through T9-T11.
+_UNUSUAL = r"[^\t-\r\x20-\x5e\x60-\x7e]"
 
 # The English stop words.
 ENGLISH_STOP_WORDS = """
@@ -77,9 +77,16 @@ def _alternation(words) -> str:
     return "|".join(branches)
 
 
-def _where(c: Column, pattern: str, then: Column) -> Column:
-    """``then`` for rows where ``pattern`` occurs; the others skip the costlier expression."""
-    return F.when(c.rlike(pattern), then).otherwise(c)
+def _choose(c, pattern: str, then, otherwise=lambda text: text) -> Column:
+    """``then(c)`` for rows where ``pattern`` occurs, else ``otherwise(c)``.
+
+    The text is bound to a lambda variable.  A plain CASE would name it three times, and when such
+    expressions are nested, a filter that is pushed below them evaluates every copy.
+    """
+    chosen = F.transform(
+        F.array(c), lambda text: F.when(text.rlike(pattern), then(text)).otherwise(otherwise(text))
+    )
+    return F.get(chosen, F.lit(0))
 
 
 def strip_noise(c, whitespace: str = "remove") -> Column:
@@ -102,14 +109,9 @@ def drop_stop_words(c, words) -> Column:
     return F.regexp_replace(c, pattern, "")
 
 
-def may_hide_words(c: Column) -> Column:
-    """Whether an underscore, an accent or an emoji may still hide a stop word after T8."""
-    return c.rlike(rf"_|{_BEYOND_ASCII}")
-
-
-def strip_emoji(c: Column) -> Column:
+def strip_emoji(c) -> Column:
     """Delete emoji.  A text without any emoji code point is passed through."""
-    return _where(c, _EMOJI_HINT, F.regexp_replace(c, EMOJI, ""))
+    return _choose(c, _EMOJI_HINT, lambda text: F.regexp_replace(text, EMOJI, ""))
 
 
 def punctuation_to_space(c) -> Column:
@@ -127,18 +129,35 @@ def _accent_table() -> tuple[str, str]:
     return "".join(letter for letter, _ in pairs), "".join(base for _, base in pairs)
 
 
-def fold_accents(c: Column) -> Column:
-    """Letters without their diacritics.  Pure ASCII text is passed through."""
+def fold_accents(c) -> Column:
+    """Letters without their diacritics."""
     accented, plain = _accent_table()
     folded = F.regexp_replace(F.translate(c, accented, plain), r"\p{Mn}+", "")
     for letter, plain in LETTER_FOLDS.items():
         folded = F.replace(folded, F.lit(letter), F.lit(plain))
-    return _where(c, _BEYOND_ASCII, folded)
+    return folded
 
 
-def strip_residue(c: Column) -> Column:
+def strip_residue(c) -> Column:
     """Delete what is neither word nor blank, which glues the words around it (Q6)."""
-    return _where(c, _BEYOND_PRINTABLE, F.regexp_replace(c, rf"[^{WORD}{SPACE}]+", ""))
+    return F.regexp_replace(c, rf"[^{WORD}{SPACE}]+", "")
+
+
+def touch_up(c, library_stop, again: bool) -> Column:
+    """T9-T11 in one go: emoji, punctuation, accents, the English stop words, residue.
+
+    A plain ASCII text has no emoji, accents or residue, and the stop words that T8 left in it are
+    those an underscore hid, so most texts need no more than the punctuation step.  ``again`` says
+    that T8 did not cover the English stop words, so that every text goes the whole way.
+    """
+
+    def whole_way(text: Column) -> Column:
+        folded = fold_accents(punctuation_to_space(strip_emoji(text)))
+        return strip_residue(drop_stop_words(folded, library_stop))
+
+    if again:
+        return whole_way(c)
+    return _choose(c, _UNUSUAL, whole_way, punctuation_to_space)
 
 
 def split_words(c) -> Column:

@@ -16,8 +16,7 @@ def to_long(features: DataFrame) -> DataFrame:
 def stable_uuid(*columns: str) -> Column:
     """L1: a UUID-shaped digest of the natural key, the same in every retry and every run."""
     digest = F.md5(F.concat_ws("~", *[F.col(c).cast("string") for c in columns]))
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(digest, start, size) for start, size in cuts])
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
 
 
 def with_keys(

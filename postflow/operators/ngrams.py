@@ -39,12 +39,13 @@ def with_ngrams(df: DataFrame, n: int, tokens: str = "stem_tokens", out=None) ->
 
 
 def count_terms(df: DataFrame, terms: Column) -> DataFrame:
-    """A5: (term, frequency).  Partial counts are merged per task before the one shuffle."""
-    return (
-        df.select(F.explode(terms).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("frequency"))
-    )
+    """A5: (term, frequency).  Partial counts are merged per task before the one shuffle.
+
+    The outer form keeps the optimizer from deriving a filter on the array, which it would push
+    down and compute the whole cleaning for a second time.
+    """
+    exploded = df.select(F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
+    return exploded.groupBy("term").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def distinct_terms(counts: DataFrame) -> Column:
@@ -87,8 +88,8 @@ def edge_words(df: DataFrame, tokens: str = "stem_tokens") -> DataFrame:
         F.struct(F.lit("last").alias("side"), F.try_element_at(t, F.lit(-1)).alias("word")),
     )
     return (
-        df.filter(F.size(t) > 0)
-        .select(F.inline(edges))
+        df.select(F.inline(edges))
+        .filter(F.col("word").isNotNull())
         .groupBy("side", "word")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )

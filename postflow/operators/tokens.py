@@ -25,22 +25,11 @@ def clean_text(
     English stop words once more, residue, split, stems.  Every step up to the split is a JVM
     expression over the whole text; a null text counts as an empty one.
     """
-    step = F.col("_step")
     stop = tx.stop_list() if stop is None else stop
-    covered = set(tx.word_runs(library_stop)) <= set(tx.word_runs(stop))
-    cleaned = (
-        posts.withColumn("_step", tx.strip_noise(F.lower(F.coalesce(text, F.lit(""))), whitespace))
-        .withColumn("_step", tx.drop_stop_words(step, stop))
-        .withColumn("_again", tx.may_hide_words(step) if covered else F.lit(True))
-        .withColumn("_step", tx.strip_emoji(step))
-        .withColumn("_step", tx.punctuation_to_space(step))
-        .withColumn("_step", tx.fold_accents(step))
-        .withColumn("_less", F.when(F.col("_again"), tx.drop_stop_words(step, library_stop)))
-        .withColumn("_step", F.coalesce("_less", step))
-        .withColumn("_step", tx.strip_residue(step))
-        .withColumn("nonstem_tokens", tx.split_words(step))
-        .drop("_step", "_less", "_again")
-    )
+    again = not set(tx.word_runs(library_stop)) <= set(tx.word_runs(stop))
+    step = tx.strip_noise(F.lower(F.coalesce(text, F.lit(""))), whitespace)
+    step = tx.touch_up(tx.drop_stop_words(step, stop), library_stop, again)
+    cleaned = posts.withColumn("nonstem_tokens", tx.split_words(step))
     if stem_fn is None:
         return cleaned
     return cleaned.withColumn("stem_tokens", stem_tokens("nonstem_tokens", stem_fn))

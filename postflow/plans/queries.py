@@ -635,7 +635,7 @@ def stream_ingest(spark, folder):
     """Land the raw posts twice, ingest them as a stream and read the result"""
     root = materialise_raw(spark, folder)
     st.stream_posts(
-        spark, f"{root}/raw", f"{root}/posts", f"{root}/checkpoint", files_per_batch=8
+        spark, f"{root}/raw", f"{root}/posts", f"{root}/checkpoint", files_per_batch=40
     ).awaitTermination()
     posts = sp.read_posts(spark, f"{root}/posts")
     return posts.select(
