@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,19 +12,24 @@ def build_features(prices: DataFrame, daily: DataFrame, fill=0) -> DataFrame:
     return joined if fill is None else joined.na.fill(fill)
 
 
+def _cell(name: str) -> Column:
+    """A column whose name may hold dots, as ticker symbols do."""
+    return F.col(f"`{name}`")
+
+
 def fit_minmax(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row holding a (lo, hi) pair for each column, from a single pass."""
     return df.agg(
-        *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]
+        *[F.struct(F.min(_cell(c)).alias("lo"), F.max(_cell(c)).alias("hi")).alias(c) for c in columns]
     )
 
 
 def apply_minmax(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Scale by fitted statistics; a column that was constant becomes null (Q16)."""
-    fitted = stats.select(F.struct(*columns)).scalar()
+    fitted = stats.select(F.struct(*[_cell(c) for c in columns])).scalar()
     return df.withColumns(
         {
-            c: F.try_divide(F.col(c) - fitted[c]["lo"], fitted[c]["hi"] - fitted[c]["lo"])
+            c: F.try_divide(_cell(c) - fitted[c]["lo"], fitted[c]["hi"] - fitted[c]["lo"])
             for c in columns
         }
     )

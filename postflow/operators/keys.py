@@ -8,9 +8,9 @@ NATURAL_KEY = ("date", "twitter_ticker")
 
 def to_long(features: DataFrame) -> DataFrame:
     """One row per day and column; empty cells stay as null values."""
-    columns = [c for c in features.columns if c != "date"]
-    doubles = features.select("date", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    return doubles.unpivot("date", columns, "twitter_ticker", "value")
+    cells = {c: F.col(f"`{c}`") for c in features.columns if c != "date"}
+    doubles = features.select("date", *[cell.cast("double").alias(c) for c, cell in cells.items()])
+    return doubles.unpivot("date", list(cells.values()), "twitter_ticker", "value")
 
 
 def stable_uuid(*columns: str) -> Column:

@@ -4,8 +4,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postflow.schemas import POST_KEY, POSTS, RAW_POSTS
+from postflow.schemas import POSTS, RAW_POSTS
 
 # Fixed value: where a post can be seen.
 URL_PREFIX = "https://twitter.com/i/web/status/"
@@ -55,27 +56,55 @@ def flatten_posts(raw: DataFrame, keep_reposts: bool = False) -> DataFrame:
     )
 
 
-def write_posts(posts: DataFrame, path: str, mode: str = "append") -> None:
-    """K2: one folder per group and user.
+#: Users are spread over this many folders of a group; one folder per user would not scale.
+USER_BUCKETS = 16
 
-    The rebalance hint gathers a user's rows into few files, but splits a user who holds too many
-    rows over several tasks and files.
+
+def user_bucket(user="user", buckets: int = USER_BUCKETS) -> Column:
+    """The folder of a user within a group."""
+    return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
+
+
+def write_posts(posts: DataFrame, path: str, mode: str = "append", buckets=USER_BUCKETS) -> None:
+    """K2: folders by group and user bucket, sorted by user so that row groups can be skipped.
+
+    The rebalance hint gathers a folder's rows into few files, but splits a group or user that
+    holds too many rows over several tasks and files.
     """
-    posts.hint("rebalance", "group", "user").write.mode(mode).partitionBy("group", "user").parquet(
-        path
+    (
+        posts.withColumn("bucket", user_bucket(buckets=buckets))
+        .hint("rebalance", "group", "bucket")
+        .sortWithinPartitions("group", "bucket", "user", "id")
+        .write.mode(mode)
+        .partitionBy("group", "bucket")
+        .parquet(path)
     )
 
 
+STORED_POSTS = T.StructType([*POSTS, T.StructField("bucket", T.IntegerType())])
+
+
 def read_posts(
-    spark: SparkSession, path: str, groups: Sequence[str] | None = None, distinct: bool = False
+    spark: SparkSession,
+    path: str,
+    groups: Sequence[str] | None = None,
+    users: Sequence[str] | None = None,
+    distinct: bool = False,
+    buckets: int = USER_BUCKETS,
 ) -> DataFrame:
-    """The posts of all users; ``groups`` prunes folders before they are read.
+    """The posts of all users.
 
-    ``distinct`` drops the copies of a post, which is off by default because merging never did.
+    ``groups`` and ``users`` prune folders before anything is read.  ``distinct`` drops the copies
+    of a post, which is off by default because merging never did.
     """
-    posts = spark.read.schema(POSTS).parquet(path)
+    posts = spark.read.schema(STORED_POSTS).parquet(path)
     if groups is not None:
         posts = posts.filter(F.col("group").isin(*groups))
+    if users is not None:
+        folders = F.array(*[user_bucket(F.lit(user), buckets) for user in users])
+        posts = posts.filter(F.array_contains(folders, F.col("bucket")))
+        posts = posts.filter(F.col("user").isin(*users))
+    posts = posts.select(*POSTS.fieldNames())
     return posts.dropDuplicates(["user", "id"]) if distinct else posts
 
 
@@ -105,19 +134,3 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)
 
-
-__all__ = [
-    "POST_KEY",
-    "POST_TYPES",
-    "URL_PREFIX",
-    "cast_columns",
-    "flatten_posts",
-    "merge",
-    "quarantine",
-    "read_posts",
-    "read_raw",
-    "read_roster",
-    "read_table",
-    "read_user_files",
-    "write_posts",
-]

@@ -1,16 +1,17 @@
 """The incremental loads as Structured Streaming queries."""
 
+import functools
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postflow.functions.entities import with_entities
 from postflow.operators.keys import NATURAL_KEY, with_keys
 from postflow.schemas import LONG, POST_KEY, POSTS, RAW_POSTS
-from postflow.sources.posts import flatten_posts, write_posts
+from postflow.sources.posts import STORED_POSTS, flatten_posts, user_bucket, write_posts
 
 
 def raw_stream(
@@ -46,20 +47,36 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
         return None
 
 
+#: A filter that names more partitions than this is left out, and the whole table is read.
+MAX_TOUCHED = 10_000
+
+
+def _touched(batch: DataFrame, *columns: str) -> Column:
+    """A filter for the partitions a batch touches.  It selects too much rather than too little."""
+    rows = batch.select(*columns).distinct().limit(MAX_TOUCHED + 1).collect()
+    if len(rows) > MAX_TOUCHED:
+        return F.lit(True)
+    filters = [F.col(c).isin({row[c] for row in rows}) for c in columns]
+    return functools.reduce(Column.__and__, filters)
+
+
 def append_unseen(path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that appends the posts that are not stored yet.
 
     Nothing is lost, however late it lands, and a batch that is run again adds nothing.  Of the
-    stored table only the key columns are read, of the groups and users in the batch; the join is
-    on the whole key, so a user with many posts is spread over all tasks.
+    stored table only the key columns are read, in the folders the batch touches; the join is on
+    the whole key, so a user with many posts is spread over all tasks.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("bucket", user_bucket()).persist()
         fresh = batch.dropDuplicates([*POST_KEY])
-        stored = _stored(batch.sparkSession, path, POSTS)
+        stored = _stored(batch.sparkSession, path, STORED_POSTS)
         if stored is not None:
-            fresh = fresh.join(stored.select(*POST_KEY), [*POST_KEY], "left_anti")
+            known = stored.filter(_touched(batch, "group", "bucket")).select(*POST_KEY)
+            fresh = fresh.join(known, [*POST_KEY], "left_anti")
         write_posts(fresh, path)
+        batch.unpersist()
 
     return append
 
@@ -83,8 +100,9 @@ def stream_posts(
     else:
         writer = (
             drop_repeats(posts, delay)
+            .withColumn("bucket", user_bucket())
             .writeStream.format("parquet")
-            .partitionBy("group", "user")
+            .partitionBy("group", "bucket")
             .option("path", out)
         )
     return (
@@ -103,14 +121,13 @@ def upsert_long(path: str) -> Callable[[DataFrame, int], None]:
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = batch.select("date", "twitter_ticker", "value").dropDuplicates([*NATURAL_KEY])
-        stored = _stored(spark, path, LONG)
+        rows = rows.persist()
+        stored = _stored(batch.sparkSession, path, LONG)
         if stored is None:
             merged = with_keys(rows)
         else:
-            # Partition pruning limits this scan to the dates of the batch.
-            stored = stored.join(rows.select("date").distinct(), "date", "left_semi")
+            stored = stored.filter(_touched(rows, "date"))
             others = stored.join(rows, [*NATURAL_KEY], "left_anti")
             merged = with_keys(rows, stored).unionByName(others)
         (
@@ -121,6 +138,7 @@ def upsert_long(path: str) -> Callable[[DataFrame, int], None]:
             .partitionBy("date")
             .parquet(path)
         )
+        rows.unpersist()
 
     return upsert
 
