@@ -26,10 +26,8 @@ def clean_text(
     expression over the whole text; a null text counts as an empty one.
     """
     stop = tx.stop_list() if stop is None else stop
-    again = not set(tx.word_runs(library_stop)) <= set(tx.word_runs(stop))
-    step = tx.strip_noise(F.lower(F.coalesce(text, F.lit(""))), whitespace)
-    step = tx.touch_up(tx.drop_stop_words(step, stop), library_stop, again)
-    cleaned = posts.withColumn("nonstem_tokens", tx.split_words(step))
+    noiseless = tx.strip_noise(F.lower(F.coalesce(text, F.lit(""))), whitespace)
+    cleaned = posts.withColumn("nonstem_tokens", tx.words(noiseless, stop, library_stop))
     if stem_fn is None:
         return cleaned
     return cleaned.withColumn("stem_tokens", stem_tokens("nonstem_tokens", stem_fn))

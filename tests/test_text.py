@@ -1,5 +1,7 @@
 """Entities, cleaning, stems and chunked mapping."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,21 @@ def test_clean_text(spark, text, tokens):
     assert values(df, "nonstem_tokens") == [tokens]
 
 
+PIECES = ["the", "cat", "a", "é", "thé", "dón't", "list", "x", " ", "  ", "-", "_", "–", "’", "😀", "\u0301",
+          "\x00", "\x1f", "\xa0", "\u2028", "\n", "ß", "Ⅷ", "²", "…", "ø", "日本", "가", "#", "$", "ﬁ", "ǆ"]
+
+
+def test_the_short_ways_to_words_equal_the_long_way(spark):
+    rng = random.Random(11)
+    rows = ["".join(rng.choices(PIECES, k=rng.randrange(1, 9))) for _ in range(4000)]
+    rows += ["".join(rng.choices(PIECES[:11], k=rng.randrange(1, 9))) for _ in range(1000)]
+    df = texts(spark, *rows)
+    for stop in (tx.stop_list(), ["cat"]):
+        short = tx.words("text", stop, tx.ENGLISH_STOP_WORDS)
+        long = tx.words_by_steps("text", stop, tx.ENGLISH_STOP_WORDS)
+        assert df.filter(~F.equal_null(short, long)).collect() == []
+
+
 def test_library_stop_words_are_dropped_even_if_the_first_list_lacks_them(spark):
     df = clean_text(texts(spark, "the fox ran"), stop=["fox"], stem_fn=None)
     assert values(df, "nonstem_tokens") == [["ran"]]
