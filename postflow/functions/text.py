@@ -28,8 +28,8 @@ _NOISE_MARKS = rf"http[^{SPACE}]+|www[^{SPACE}]+|@[{WORD}]+|#[{WORD}]+|\p{{Nd}}+
 _BLANKS = rf"[{SPACE}]{{2,}}"
 _PUNCTUATION = "[" + re.escape(string.punctuation) + "]+"
 _EMOJI_HINT = r"[\x{20E3}\x{FE0F}\x{2600}-\x{27BF}\x{2B50}\x{1F1E6}-\x{1FAFF}]"
-# What plain ASCII text does not hold, and what text of letters, blanks and ASCII marks does not.
-_NOT_ASCII = r"[^\t-\r\x20-\x5e\x60-\x7e]"
+# What splitting at non-letters would get wrong: in ASCII text, and in any text.
+_ASCII_TRAPS = r"[\x00-\x08\x0e-\x1f_\x7f]"
 _NOT_PLAIN = rf"[^\p{{L}}\p{{N}}{SPACE}!-\x5e\x60-~]"
 _BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 
@@ -157,6 +157,11 @@ def words_by_steps(c, stop, library_stop) -> Column:
     return split_words(strip_residue(drop_stop_words(step, library_stop)))
 
 
+def is_ascii(c) -> Column:
+    """Whether a text has as many characters as bytes, which is far cheaper than a regex."""
+    return F.length(c) == F.octet_length(c)
+
+
 def words(c, stop, library_stop) -> Column:
     """The words of a text.
 
@@ -173,7 +178,7 @@ def words(c, stop, library_stop) -> Column:
         runs = F.split(text, _BETWEEN_WORDS)
         folded = F.split(fold_accents(F.array_join(without(runs, first), " ")), " ")
         return (
-            F.when(~text.rlike(_NOT_ASCII), without(runs, [*first, *second]))
+            F.when(is_ascii(text) & ~text.rlike(_ASCII_TRAPS), without(runs, [*first, *second]))
             .when(~text.rlike(_NOT_PLAIN), without(folded, second))
             .otherwise(words_by_steps(text, stop, library_stop))
         )
