@@ -48,35 +48,47 @@ def _between_edges(t: Column, left: bool = True) -> Column:
     return F.when(F.size(t) > 0, padded).otherwise(t)
 
 
+def chain_counts(df: DataFrame, n: int, tokens: str = "stem_tokens") -> DataFrame:
+    """(term, frequency, head) of the n-grams, a head being a gram without its last word.
+
+    The grams reach over the end of a post, and for bigrams over its start, where the head is empty;
+    such a gram stands in as its own head, which keeps it apart from the others in a join.
+    """
+    padded = df.select(_between_edges(F.col(tokens), left=n == 2).alias("_words"))
+    heads = F.substring_index("term", GLUE, n - 1)
+    head = F.when(F.col("term").startswith(GLUE), F.col("term")).otherwise(heads)
+    return count_terms(padded, ngram_terms("_words", n)).withColumn("head", head)
+
+
+def head_counts(counts: DataFrame) -> DataFrame:
+    """(head, of): how often each head occurs.
+
+    A head is followed by some word or by the end of its post, so its count is the sum over those
+    grams.  The heads of bigrams are the words of the corpus.
+    """
+    return counts.groupBy("head").agg(F.sum("frequency").alias("of"))
+
+
 def chain_table(
-    df: DataFrame, n: int, tokens: str = "stem_tokens", smoothing: bool = False
+    df: DataFrame, counts: DataFrame, n: int, tokens: str = "stem_tokens", smoothing: bool = False
 ) -> DataFrame:
-    """(term, frequency, value) of the n-grams, where ``value`` is the log factor of a score.
+    """(term, frequency, value) of stored ``chain_counts``; ``value`` is the log factor of a score.
 
-    It is ``ln c(gram) - ln c(head)``, the head being the gram without its last word.  A head is
-    followed by some word or by the end of its post, so its count is the sum over those grams, and
-    dividing here, once per distinct gram, saves a second lookup per word of the corpus.  For
-    bigrams, the two edges of a post have the value ``ln (c / posts)`` instead.
+    It is ``ln c(gram) - ln c(head)``.  Dividing here, once per distinct gram, saves a second lookup
+    per word of the corpus.  The two edges of a post have the value ``ln (c / posts)`` in bigrams.
     """
-    t = F.col(tokens)
-    padded = df.select(_between_edges(t, left=n == 2).alias("_words"))
-    grams = count_terms(padded, ngram_terms("_words", n))
-    left_edge = F.col("term").startswith(GLUE)
-    # A left edge has no head; its own term keeps it away from the others in the join.
-    heads = F.when(left_edge, F.col("term")).otherwise(F.substring_index("term", GLUE, n - 1))
-    grams = grams.withColumn("head", heads)
-    totals = grams.filter(~left_edge).groupBy("head").agg(F.sum("frequency").alias("of"))
+    heads = head_counts(counts)
     posts = df.agg(F.count(F.lit(1))).scalar()
     frequency, of = F.col("frequency"), F.col("of")
+    at_start = F.col("term").startswith(GLUE)
+    value = F.ln(frequency) - F.ln(of)
     if smoothing:
-        words = df.select(F.explode(t).alias("word")).agg(F.count_distinct("word")).scalar()
+        words = count_terms(df, F.col(tokens)).agg(F.count("term")).scalar()
         value = F.ln(frequency + 1) - F.ln(of + words)
-    else:
-        value = F.ln(frequency) - F.ln(of)
     if n == 2:
-        at_edge = left_edge | F.col("term").endswith(GLUE)
+        at_edge = at_start | F.col("term").endswith(GLUE)
         value = F.when(at_edge, F.ln(frequency / posts)).otherwise(value)
-    return grams.join(totals, "head", "left").select("term", "frequency", value.alias("value"))
+    return counts.join(heads, "head").select("term", "frequency", value.alias("value"))
 
 
 def bigram_score(
@@ -108,7 +120,8 @@ def trigram_score(
 def _chain_score(df, n, key, tokens, smoothing, table, name) -> DataFrame:
     t = F.col(tokens)
     if table is None:
-        table = materialise(chain_table(df, n, tokens, smoothing), f"{name}s")
+        counts = materialise(chain_counts(df, n, tokens), f"{name}-counts")
+        table = materialise(chain_table(df, counts, n, tokens, smoothing), f"{name}s")
     words = F.when(F.size(t) >= n, _between_edges(t) if n == 2 else t)
     terms = _terms(df.select(*key, words.alias("_words")), key, ngram_terms("_words", n))
     found = sum_of_lookups(terms, table, key)
@@ -120,6 +133,40 @@ def _chain_score(df, n, key, tokens, smoothing, table, name) -> DataFrame:
     )
 
 
+def post_scores(df: DataFrame, key: Sequence[str], tokens: str = "stem_tokens") -> DataFrame:
+    """N1 and N2 together: the corpus is counted once, and looked up once.
+
+    The unigram counts are the head counts of the bigrams.
+    """
+    t = F.col(tokens)
+    counts = materialise(chain_counts(df, 2, tokens), "counts")
+    of_words = head_counts(counts.filter(~F.col("term").startswith(GLUE)))
+    unigrams = of_words.select(
+        F.col("head").alias("term"),
+        F.col("of").alias("frequency"),
+        F.ln(F.col("of") / of_words.agg(F.count_if(F.col("of") > 0)).scalar()).alias("value"),
+    )
+    table = materialise(unigrams.unionByName(chain_table(df, counts, 2, tokens)), "terms")
+    words = F.when(F.size(t) > 1, _between_edges(t))
+    grams = F.coalesce(ngram_terms("_words", 2), F.array().cast("array<string>"))
+    staged = df.select(*key, tokens, words.alias("_words"))
+    is_gram = F.col("term").contains(GLUE)
+    found = sum_of_lookups(
+        _terms(staged, key, F.concat(t, grams)),
+        table,
+        key,
+        {"unigram": ~is_gram, "bigram": is_gram},
+    )
+    unigram = F.coalesce("unigram", F.lit(0.0))
+    return found.select(
+        *key,
+        unigram.alias("unigram_logprob"),
+        F.exp(unigram).alias("unigram_probability"),
+        F.col("bigram").alias("bigram_logprob"),
+        F.coalesce(F.exp("bigram"), F.lit(0.0)).alias("bigram_probability"),
+    )
+
+
 def relative_score(
     df: DataFrame, key: Sequence[str], tokens: str = "stem_tokens", counts: DataFrame | None = None
 ) -> DataFrame:

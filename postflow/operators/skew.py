@@ -1,8 +1,8 @@
 """Joins that keep a hot key from landing in one task."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A hot dictionary entry is one that covers at least this fraction of all rows, so there can be
@@ -31,37 +31,43 @@ def spread_join(
     return rows.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def sum_of_lookups(terms: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFrame:
+def sum_of_lookups(
+    terms: DataFrame,
+    table: DataFrame,
+    key: Sequence[str],
+    totals: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Per ``key``, the number of its terms and the sum of their values.
 
     ``terms`` holds (key.., term), with one null term for a key without any, and ``table`` holds
     (term, frequency, value) with one row per term, where ``frequency`` counts the term in all of
-    the corpus.  The result is (key.., terms, total).  Word frequencies are steeply skewed, so the
-    join is split exactly in two:
+    the corpus.  The result is (key.., terms, total); ``totals`` names several sums instead, each
+    over the terms that meet its condition.  Word frequencies are steeply skewed, so the join is
+    split exactly in two:
 
     * entries above ``1 / HOT_ENTRIES`` of all rows, at most ``HOT_ENTRIES`` of them, are broadcast.
       They cover most rows, which are summed per key before anything is shuffled;
     * the remaining rows are joined by a shuffle in which no term can be hot any more.
     """
+    totals = totals or {"total": F.lit(True)}
+    sums = [F.sum(F.when(meets, F.col("value"))).alias(name) for name, meets in totals.items()]
     rows = table.agg(F.sum("frequency")).scalar()
     is_hot = (F.col("frequency") * F.lit(HOT_ENTRIES) >= rows) & (F.length("term") <= HOT_LENGTH)
     # At most HOT_ENTRIES rows of at most HOT_LENGTH characters: a few megabytes.
     hot = F.broadcast(table.filter(is_hot).select("term", "value"))
     cold = table.filter(~is_hot).select("term", "value")
     near = (
-        terms.join(hot, "term", "left")
-        .groupBy(*key)
-        .agg(F.count("term").alias("terms"), F.sum("value").alias("total"))
+        terms.join(hot, "term", "left").groupBy(*key).agg(F.count("term").alias("terms"), *sums)
     )
     far = (
         terms.filter(F.col("term").isNotNull())
         .join(hot, "term", "left_anti")
         .join(cold, "term")
         .groupBy(*key)
-        .agg(F.lit(0).cast("long").alias("terms"), F.sum("value").alias("total"))
+        .agg(F.lit(0).cast("long").alias("terms"), *sums)
     )
     return (
         near.unionByName(far)
         .groupBy(*key)
-        .agg(F.sum("terms").alias("terms"), F.sum("total").alias("total"))
+        .agg(F.sum("terms").alias("terms"), *[F.sum(name).alias(name) for name in totals])
     )

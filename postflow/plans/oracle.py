@@ -293,6 +293,13 @@ ORACLE = {
         GROUP BY doc_id)
         SELECT doc_id, round(coalesce(s, 0), 4) AS unigram_logprob FROM toks LEFT JOIN s USING (doc_id)""",
     "bigram_score": _bigram("bi.c / uni.c"),
+    "post_scores": f"""WITH {_BIGRAM_BASE},
+        s AS (SELECT doc_id, sum(ln(c / v)) s FROM w JOIN uni USING (word), v GROUP BY doc_id),
+        chain AS (SELECT doc_id, sum(ln(bi.c / uni.c)) b FROM pairs JOIN bi USING (w1, w2)
+                  JOIN uni ON uni.word = w1 GROUP BY doc_id)
+        SELECT doc_id, round(coalesce(s, 0), 4) AS unigram_logprob, round(b + e, 4) AS bigram_logprob
+        FROM toks LEFT JOIN s USING (doc_id) LEFT JOIN chain USING (doc_id)
+        LEFT JOIN edges USING (doc_id)""",
     "bigram_score_smoothed": _bigram("(bi.c + 1) / (uni.c + v)"),
     "trigram_score": f"""WITH {_EXPLODED},
         tri AS (SELECT a.doc_id, a.word w1, b.word w2, c.word w3 FROM w a

@@ -18,7 +18,7 @@ from postflow.operators import features as ft
 from postflow.operators import prices as pr
 from postflow.operators.keys import to_long, with_keys
 from postflow.operators.ngrams import with_ngrams
-from postflow.operators.scoring import bigram_score, share_of_log_total, unigram_score
+from postflow.operators.scoring import post_scores, share_of_log_total
 from postflow.operators.tokens import clean_text
 from postflow.session import materialise
 
@@ -75,8 +75,7 @@ def curate(posts: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     tokens = materialise(cleaned.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
     key = ["row_id"]
     narrow = tokens.select("row_id", "date", "group", "user", "id", *dy.COUNTS)
-    scored = narrow.join(unigram_score(tokens, key), key).join(bigram_score(tokens, key), key)
-    scored = materialise(scored, "scored")
+    scored = materialise(narrow.join(post_scores(tokens, key), key), "scored")
     for name in ("unigram", "bigram"):
         scored = share_of_log_total(scored, f"{name}_logprob", f"{name}_share")
     return tokens, scored

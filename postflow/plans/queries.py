@@ -289,6 +289,17 @@ def bigram_score(spark, folder):
     return _logprob(sc.bigram_score(_stored_words(spark, folder), KEY, "tokens"), "bigram")
 
 
+@query
+def post_scores(spark, folder):
+    """N1 and N2 in one pass"""
+    scores = sc.post_scores(_stored_words(spark, folder), KEY, "tokens")
+    return scores.select(
+        "doc_id",
+        F.round("unigram_logprob", 4).alias("unigram_logprob"),
+        F.round("bigram_logprob", 4).alias("bigram_logprob"),
+    )
+
+
 @query
 def bigram_score_smoothed(spark, folder):
     """M6"""

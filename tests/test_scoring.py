@@ -119,6 +119,9 @@ def test_scores_equal_brute_force(spark, skewed_rows, monkeypatch, hot_entries):
     close(by_id(sc.unigram_score(df, ["id"], "t"), "unigram_logprob"), unigram)
     close(by_id(sc.bigram_score(df, ["id"], "t"), "bigram_logprob"), bigram)
     close(by_id(sc.trigram_score(df, ["id"], "t"), "trigram_logprob"), trigram)
+    both = sc.post_scores(df, ["id"], "t")
+    close(by_id(both, "unigram_logprob"), unigram)
+    close(by_id(both, "bigram_logprob"), bigram)
 
 
 def test_smoothed_scores_equal_brute_force(spark, skewed_rows):
