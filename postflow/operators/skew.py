@@ -31,6 +31,22 @@ def spread_join(
     return rows.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def _split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hot, cold): the entries that are broadcast and the others, see ``sum_of_lookups``."""
+    rows = table.agg(F.sum("frequency")).scalar()
+    is_hot = (F.col("frequency") * F.lit(HOT_ENTRIES) >= rows) & (F.length("term") <= HOT_LENGTH)
+    # At most HOT_ENTRIES rows of at most HOT_LENGTH characters: a few megabytes.
+    hot = F.broadcast(table.filter(is_hot).select("term", "value"))
+    return hot, table.filter(~is_hot).select("term", "value")
+
+
+def lookup(terms: DataFrame, table: DataFrame) -> DataFrame:
+    """``terms`` with the ``value`` of each, joined in the two ways of ``sum_of_lookups``."""
+    hot, cold = _split(table)
+    far = terms.join(hot, "term", "left_anti").join(cold, "term")
+    return terms.join(hot, "term").unionByName(far)
+
+
 def sum_of_lookups(
     terms: DataFrame,
     table: DataFrame,
@@ -51,11 +67,7 @@ def sum_of_lookups(
     """
     totals = totals or {"total": F.lit(True)}
     sums = [F.sum(F.when(meets, F.col("value"))).alias(name) for name, meets in totals.items()]
-    rows = table.agg(F.sum("frequency")).scalar()
-    is_hot = (F.col("frequency") * F.lit(HOT_ENTRIES) >= rows) & (F.length("term") <= HOT_LENGTH)
-    # At most HOT_ENTRIES rows of at most HOT_LENGTH characters: a few megabytes.
-    hot = F.broadcast(table.filter(is_hot).select("term", "value"))
-    cold = table.filter(~is_hot).select("term", "value")
+    hot, cold = _split(table)
     near = (
         terms.join(hot, "term", "left").groupBy(*key).agg(F.count("term").alias("terms"), *sums)
     )

@@ -319,6 +319,9 @@ ORACLE = {
         FROM toks LEFT JOIN w USING (doc_id) LEFT JOIN uni USING (word), v GROUP BY doc_id),
         p AS (SELECT doc_id, exp(s - (SELECT max(s) FROM s)) p FROM s)
         SELECT doc_id, round(p / (SELECT sum(p) FROM p), 8) AS share FROM p""",
+    "tf_idf": f"""WITH {_EXPLODED}, tf AS (SELECT doc_id, word AS term, count(*) AS frequency FROM w GROUP BY ALL),
+        idf AS (SELECT term, ln(((SELECT count(*) FROM toks) + 1) / (count(*) + 1)) v FROM tf GROUP BY term)
+        SELECT doc_id, term, frequency, round(frequency * v, 6) AS tf_idf FROM tf JOIN idf USING (term)""",
     "share_of_total": f"""WITH {_POSTS} SELECT id,
         round(value / (SELECT sum(value) FROM posts), 12) AS value_share,
         round(retweet_count / (SELECT sum(retweet_count) FROM posts), 12) AS retweet_count_share

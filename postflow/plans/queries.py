@@ -14,6 +14,7 @@ from postflow.operators import keys as ky
 from postflow.operators import ngrams as ng
 from postflow.operators import prices as pr
 from postflow.operators import scoring as sc
+from postflow.operators import vectors as ve
 from postflow.operators.tokens import clean_text, map_text
 from postflow.plans import tables as tb
 from postflow.plans.pipeline import Config, run
@@ -332,6 +333,47 @@ def score_share(spark, folder):
     return shares.select("doc_id", F.round("share", 8).alias("share"))
 
 
+@query
+def tf_idf(spark, folder):
+    """M7"""
+    weights = ve.tf_idf(_stored_words(spark, folder), KEY, "tokens")
+    return weights.withColumn("tf_idf", F.round("tf_idf", 6))
+
+
+@query
+def word_vectors(spark, folder):
+    """M1"""
+    vectors = ve.word_vectors(_stored_words(spark, folder), "tokens", size=8)
+    return vectors.select("word", F.size("vector").alias("size"))
+
+
+def _vectors(spark, folder):
+    return tb.table(spark, folder, "embeddings").select("vec_id", "embedding")
+
+
+@query
+def hard_clusters(spark, folder):
+    """M2"""
+    clusters = ve.hard_clusters(_vectors(spark, folder), "embedding", 5)
+    return clusters.select("vec_id", "cluster")
+
+
+@query
+def soft_clusters(spark, folder):
+    """M4"""
+    near = ve.principal_components(_vectors(spark, folder), "embedding", 3)
+    degrees = ve.soft_clusters(near, "components", 3)
+    total = F.aggregate("membership", F.lit(0.0), lambda total, degree: total + degree)
+    return degrees.select("vec_id", F.round(total, 6).alias("total"))
+
+
+@query
+def principal_components(spark, folder):
+    """M3"""
+    found = ve.principal_components(_vectors(spark, folder), "embedding", 2)
+    return found.select("vec_id", F.size("components").alias("size"))
+
+
 @query
 def share_of_total(spark, folder):
     """A11, W4"""
@@ -400,7 +442,8 @@ def daily_by_user(spark, folder):
 
 
 def _wide(spark, folder):
-    by_user = dy.daily_by_user(tb.channel_posts(spark, folder))
+    """The only scan of the events; what follows reads the stored daily sums several times."""
+    by_user = materialise(dy.daily_by_user(tb.channel_posts(spark, folder)), "by_user")
     return dy.daily_wide(by_user, tb.EVENT_TYPES)
 
 
@@ -420,7 +463,7 @@ def weekend_roll(spark, folder):
 def weekend_roll_by_user(spark, folder):
     """A14 in long form, with a calendar for each user"""
     by_user = dy.daily_by_user(tb.event_posts(spark, folder), {"unigram": "value"})
-    return _round_doubles(dy.roll_weekend(by_user, by=["user"]))
+    return _round_doubles(dy.roll_weekend(materialise(by_user, "by_user"), by=["user"]))
 
 
 @query
@@ -548,7 +591,7 @@ def _previous(long):
 @query
 def keyed_long(spark, folder):
     """L1, L2, J10, U4"""
-    long = ky.to_long(_features(spark, folder))
+    long = materialise(ky.to_long(_features(spark, folder)), "long")
     return _round_doubles(ky.with_keys(long, _previous(long)))
 
 
