@@ -1 +1,8 @@
 """Post analytics on Spark: ingest, clean, score, aggregate and load time-stamped posts."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,7 +7,7 @@ so no row leaves its partition.
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 _VOWELS = "aeiouy"
 
+#: Stems that a task remembers from one batch to the next.
+MEMO_WORDS = 200_000
+
 # Fixed values of the published algorithm: irregular words and words left alone.
 _IRREGULAR = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -143,7 +146,6 @@ def _final_letter(word: str, r1: int, r2: int) -> str:
     return word
 
 
-@functools.lru_cache(maxsize=200_000)
 def english_stem(word: str) -> str:
     """The stem of one lower-case word."""
     if len(word) <= 2:
@@ -170,11 +172,13 @@ def stem_tokens(tokens, stem_fn: Callable[[str], str] = english_stem) -> Column:
     """The stems of a token array; ``stem_fn`` is called once per distinct word of a batch."""
 
     @F.arrow_udf("array<string>")
-    def stems(batch: pa.Array) -> pa.Array:
-        coded = batch.flatten().dictionary_encode()
-        words = pa.array([stem_fn(word) for word in coded.dictionary.to_pylist()], pa.string())
-        sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        offsets = pa.array([0, *sizes.cumsum()], pa.int32())
-        return pa.ListArray.from_arrays(offsets, words.take(coded.indices))
+    def stems(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = functools.lru_cache(maxsize=MEMO_WORDS)(stem_fn)
+        for batch in batches:
+            coded = batch.flatten().dictionary_encode()
+            words = pa.array([known(word) for word in coded.dictionary.to_pylist()], pa.string())
+            sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = pa.array([0, *sizes.cumsum()], pa.int32())
+            yield pa.ListArray.from_arrays(offsets, words.take(coded.indices))
 
     return stems(tokens)

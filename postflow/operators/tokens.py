@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,8 @@ def map_text(
         done = pa.array(fn(batch.flatten().to_pandas()), pa.string())
         sizes = batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         offsets = pa.array([0, *sizes.cumsum()], pa.int32())
-        joined = pa.compute.binary_join(pa.ListArray.from_arrays(offsets, done), "")
-        return pa.compute.if_else(batch.is_null(), pa.scalar(None, pa.string()), joined)
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, done), "")
+        return pc.if_else(batch.is_null(), pa.scalar(None, pa.string()), joined)
 
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
     return df.withColumn(out or text, mapped(pieces))
