@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postflow.operators.ngrams import GLUE, count_terms, distinct_terms, ngram_terms
-from postflow.operators.skew import sum_of_lookups
+from postflow.operators.skew import lookup, sum_of_lookups
 from postflow.session import materialise
 
 
@@ -70,25 +70,38 @@ def head_counts(counts: DataFrame) -> DataFrame:
 
 
 def chain_table(
-    df: DataFrame, counts: DataFrame, n: int, tokens: str = "stem_tokens", smoothing: bool = False
+    df: DataFrame,
+    counts: DataFrame,
+    heads: DataFrame,
+    n: int,
+    tokens: str = "stem_tokens",
+    smoothing: bool = False,
 ) -> DataFrame:
-    """(term, frequency, value) of stored ``chain_counts``; ``value`` is the log factor of a score.
+    """(term, frequency, value) of stored ``chain_counts`` and ``head_counts``.
 
-    It is ``ln c(gram) - ln c(head)``.  Dividing here, once per distinct gram, saves a second lookup
-    per word of the corpus.  The two edges of a post have the value ``ln (c / posts)`` in bigrams.
+    ``value`` is the log factor of a score, ``ln c(gram) - ln c(head)``.  Dividing here, once per
+    distinct gram, saves a second lookup per word of the corpus.  The two edges of a post have the
+    value ``ln (c / posts)`` in bigrams.
     """
-    heads = head_counts(counts)
     posts = df.agg(F.count(F.lit(1))).scalar()
-    frequency, of = F.col("frequency"), F.col("of")
-    at_start = F.col("term").startswith(GLUE)
-    value = F.ln(frequency) - F.ln(of)
+    of, frequency = F.col("of"), F.col("times")
     if smoothing:
-        words = count_terms(df, F.col(tokens)).agg(F.count("term")).scalar()
-        value = F.ln(frequency + 1) - F.ln(of + words)
+        of = of + count_terms(df, F.col(tokens)).agg(F.count("term")).scalar()
+        frequency = frequency + 1
+    # A word may head a large part of all bigrams, so heads are looked up like any frequent term.
+    divisors = heads.select(
+        F.col("head").alias("term"), F.col("of").alias("frequency"), F.ln(of).alias("value")
+    )
+    grams = counts.select(
+        F.col("term").alias("gram"), F.col("frequency").alias("times"), F.col("head").alias("term")
+    )
+    value = F.ln(frequency) - F.col("value")
     if n == 2:
-        at_edge = at_start | F.col("term").endswith(GLUE)
-        value = F.when(at_edge, F.ln(frequency / posts)).otherwise(value)
-    return counts.join(heads, "head").select("term", "frequency", value.alias("value"))
+        at_edge = F.col("gram").startswith(GLUE) | F.col("gram").endswith(GLUE)
+        value = F.when(at_edge, F.ln(F.col("times") / posts)).otherwise(value)
+    return lookup(grams, divisors).select(
+        F.col("gram").alias("term"), F.col("times").alias("frequency"), value.alias("value")
+    )
 
 
 def bigram_score(
@@ -121,7 +134,8 @@ def _chain_score(df, n, key, tokens, smoothing, table, name) -> DataFrame:
     t = F.col(tokens)
     if table is None:
         counts = materialise(chain_counts(df, n, tokens), f"{name}-counts")
-        table = materialise(chain_table(df, counts, n, tokens, smoothing), f"{name}s")
+        heads = materialise(head_counts(counts), f"{name}-heads")
+        table = materialise(chain_table(df, counts, heads, n, tokens, smoothing), f"{name}s")
     words = F.when(F.size(t) >= n, _between_edges(t) if n == 2 else t)
     terms = _terms(df.select(*key, words.alias("_words")), key, ngram_terms("_words", n))
     found = sum_of_lookups(terms, table, key)
@@ -140,13 +154,14 @@ def post_scores(df: DataFrame, key: Sequence[str], tokens: str = "stem_tokens")
     """
     t = F.col(tokens)
     counts = materialise(chain_counts(df, 2, tokens), "counts")
-    of_words = head_counts(counts.filter(~F.col("term").startswith(GLUE)))
+    heads = materialise(head_counts(counts), "heads")
+    of_words = heads.filter(~F.col("head").startswith(GLUE))
     unigrams = of_words.select(
         F.col("head").alias("term"),
         F.col("of").alias("frequency"),
-        F.ln(F.col("of") / of_words.agg(F.count_if(F.col("of") > 0)).scalar()).alias("value"),
+        F.ln(F.col("of") / of_words.agg(F.count(F.lit(1))).scalar()).alias("value"),
     )
-    table = materialise(unigrams.unionByName(chain_table(df, counts, 2, tokens)), "terms")
+    table = materialise(unigrams.unionByName(chain_table(df, counts, heads, 2, tokens)), "terms")
     words = F.when(F.size(t) > 1, _between_edges(t))
     grams = F.coalesce(ngram_terms("_words", 2), F.array().cast("array<string>"))
     staged = df.select(*key, tokens, words.alias("_words"))
