@@ -85,8 +85,9 @@ def roll_weekend(
     if fill_calendar:
         # One row per series, exploded to its Mondays: zero rows which the sum then absorbs.
         span = block.groupBy(*by).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-        mondays = F.explode(F.expr("sequence(lo, hi, interval 7 days)")).alias("date")
-        span = span.filter(F.col("lo").isNotNull()).select(*by, mondays)
+        weeks = F.sequence(F.lit(0), (F.date_diff("hi", "lo") / 7).cast("int"))
+        mondays = F.transform(weeks, lambda week: F.date_add("lo", week * 7))
+        span = span.filter(F.col("lo").isNotNull()).select(*by, F.explode(mondays).alias("date"))
         block = block.unionByName(span, allowMissingColumns=True)
     zero = {c: F.lit(0).cast(daily.schema[c].dataType) for c in measures}
     rolled = block.groupBy("date", *by).agg(

@@ -198,6 +198,11 @@ def relative_score(
     )
 
 
+def drop_unscored(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """leave out posts that lack one of the scores."""
+    return scored.na.drop(subset=list(columns))
+
+
 def share_of_total(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
     """Each column divided by its sum; null when the sum is 0.
 

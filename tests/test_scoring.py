@@ -144,6 +144,11 @@ def test_shares(spark):
     assert by_id(sc.share_of_log_total(logs, "l", "s"), "s") == {1: 0.5, 2: 0.5, 3: 0.0}
 
 
+def test_unscored_posts_can_be_left_out(spark):
+    df = sc.bigram_score(posts(spark, [["a", "b"], ["a"]]), ["id"], "t")
+    assert [r.id for r in sc.drop_unscored(df, ["bigram_logprob"]).collect()] == [0]
+
+
 def test_shares_need_no_single_partition_of_rows(spark):
     df = spark.range(10).selectExpr("id", "id * 1.0d as x")
     plan = sc.share_of_total(df, ["x"])._jdf.queryExecution().executedPlan().toString()
