@@ -1,9 +1,12 @@
 """The registered queries of the training-data operators, and SQL for those that have it."""
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from postflow.llm import bpe, langid, urls
+from postflow.llm import bpe, decontaminate, langid, tokenfiles, urls
+from postflow.session import materialise, shared_dir
 
 #: Fixed by the query's contract.
 URL_RULES = [
@@ -20,6 +23,18 @@ def _fold(doc_id, folds):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def op2_token_files(spark, folder):
+    docs = _table(spark, folder, "documents")
+    coded = materialise(tokenfiles.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2), "token-ids")
+    path = f"{shared_dir(spark)}/postflow/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write_files(coded, path, 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return tokenfiles.checksums(tokenfiles.read_files(spark, path))
+
+
+def op5_contamination(spark, folder):
+    return decontaminate.contaminated_docs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_urls(spark, folder):
     labels = _table(spark, folder, "labels")
     bad = labels.select(
@@ -46,6 +61,12 @@ def op10_bpe(spark, folder):
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_urls": op8_urls, "op9_language": op9_language, "op10_bpe": op10_bpe}
+QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op5_contamination": op5_contamination,
+    "op8_urls": op8_urls,
+    "op9_language": op9_language,
+    "op10_bpe": op10_bpe,
+}
 
 ORACLE: dict[str, str] = {}
