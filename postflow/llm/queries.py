@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from postflow.llm import bpe, decontaminate, langid, tokenfiles, urls
+from postflow.llm import bpe, decontaminate, langid, suffixes, tokenfiles, urls
 from postflow.session import materialise, shared_dir
 
 #: Fixed by the query's contract.
@@ -35,6 +35,10 @@ def op5_contamination(spark, folder):
     return decontaminate.contaminated_docs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_suffix_dedup(spark, folder):
+    return suffixes.digest(suffixes.dedup_bytes(_table(spark, folder, "documents")))
+
+
 def op8_urls(spark, folder):
     labels = _table(spark, folder, "labels")
     bad = labels.select(
@@ -64,6 +68,7 @@ def op10_bpe(spark, folder):
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op5_contamination": op5_contamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_urls": op8_urls,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
