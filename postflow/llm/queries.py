@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from postflow.llm import bpe, decontaminate, langid, suffixes, tokenfiles, urls
+from postflow.llm import bpe, decontaminate, langid, suffixes, tokenfiles, trees, urls
 from postflow.session import materialise, shared_dir
 
 #: Fixed by the query's contract.
@@ -23,6 +23,10 @@ def _fold(doc_id, folds):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def op1_substring_dedup(spark, folder):
+    return trees.digest(trees.dedup_words(_table(spark, folder, "documents")))
+
+
 def op2_token_files(spark, folder):
     docs = _table(spark, folder, "documents")
     coded = materialise(tokenfiles.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2), "token-ids")
@@ -66,6 +70,7 @@ def op10_bpe(spark, folder):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
     "op5_contamination": op5_contamination,
     "op7_suffix_dedup": op7_suffix_dedup,
