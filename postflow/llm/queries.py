@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from postflow.llm import bpe, decontaminate, langid, suffixes, tokenfiles, trees, urls
+from postflow.llm import bpe, covertree, decontaminate, langid, suffixes, tokenfiles, trees, urls
 from postflow.session import materialise, shared_dir
 
 #: Fixed by the query's contract.
@@ -39,6 +39,10 @@ def op5_contamination(spark, folder):
     return decontaminate.contaminated_docs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op6_embedding_dedup(spark, folder):
+    return covertree.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op7_suffix_dedup(spark, folder):
     return suffixes.digest(suffixes.dedup_bytes(_table(spark, folder, "documents")))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
     "op5_contamination": op5_contamination,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_urls": op8_urls,
     "op9_language": op9_language,
