@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from postflow.llm import bpe, covertree, decontaminate, langid, suffixes, tokenfiles, trees, urls
+from postflow.llm import bpe, covertree, decontaminate, langid, minhash, suffixes, tokenfiles, trees, urls
 from postflow.session import materialise, shared_dir
 
 #: Fixed by the query's contract.
@@ -35,6 +35,10 @@ def op2_token_files(spark, folder):
     return tokenfiles.checksums(tokenfiles.read_files(spark, path))
 
 
+def op4_near_duplicates(spark, folder):
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op5_contamination(spark, folder):
     return decontaminate.contaminated_docs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -76,6 +80,7 @@ def op10_bpe(spark, folder):
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_contamination": op5_contamination,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
