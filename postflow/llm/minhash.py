@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling (operator 4).
 
 A document is a weighted set of shingles of five words.  A shingle's weight is its count in the document
-times its idf, the mean of its words' ln(1 + N / df).  A sample of a set is one shingle with a number
+times its idf, the mean of its words' 1 + ln((1 + N) / (1 + df)).  A sample of a set is one shingle with a number
 of its weight, drawn so that two sets give the same sample with the probability of their weighted Jaccard
 similarity (Ioffe 2010).  Shingles are dealt to 16 bins in each of 8 rounds and each bin draws one sample,
 which makes 128 samples for 8 draws a shingle; an empty bin takes that of the next full one in an order of
@@ -74,8 +74,8 @@ def word_idf(docs: DataFrame) -> Idf:
     kept = df.filter(F.col("df") >= floor).toArrow()  # 50,000 rows at most
     words = kept.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    values = np.log1p(n / kept.column("df").to_numpy()[order])
-    return Idf(words[order], values, float(np.log1p(n / floor)))
+    values = 1 + np.log((1 + n) / (1 + kept.column("df").to_numpy()[order]))
+    return Idf(words[order], values, float(1 + np.log((1 + n) / (1 + floor))))
 
 
 class Shingles(NamedTuple):

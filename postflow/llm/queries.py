@@ -5,7 +5,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from postflow.llm import bpe, covertree, decontaminate, langid, minhash, suffixes, tokenfiles, trees, urls
+from postflow.llm import bpe, covertree, decontaminate, langid, lm, minhash, suffixes, tokenfiles, trees, urls
 from postflow.session import materialise, shared_dir
 
 #: Fixed by the query's contract.
@@ -35,6 +35,11 @@ def op2_token_files(spark, folder):
     return tokenfiles.checksums(tokenfiles.read_files(spark, path))
 
 
+def op3_lm_score(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return lm.score(docs, _fold(docs.doc_id, 7) != 2)
+
+
 def op4_near_duplicates(spark, folder):
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -80,6 +85,7 @@ def op10_bpe(spark, folder):
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
+    "op3_lm_score": op3_lm_score,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_contamination": op5_contamination,
     "op6_embedding_dedup": op6_embedding_dedup,
