@@ -1,28 +1,74 @@
-"""The training-data pipeline over ``documents``: named stages, each written and read again."""
+"""The training-data pipeline over ``documents``: named stages, each written and read again.
+
+Every stage but the last returns the columns of its input; other columns ride along under any name.
+A row without a document id passes the stages that judge documents by id.
+"""
 
 import uuid
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from postflow.llm import bpe, langid
+from postflow.llm import bpe, decontaminate, langid, minhash, suffixes
 from postflow.session import shared_dir
 
 
 def language(spark, docs, folder):
-    """Operator 9: documents without a language go."""
-    columns = docs.columns
-    profiles = langid.learn(docs)
-    found = langid.predict(docs, profiles, keep=tuple(columns))
-    return found.filter(F.col("lang_pred") != "und").select(*columns)
+    """Operator 9: documents without a letter go, and those like no language."""
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # so that no column's name can clash
+    plain, column = docs.toDF(*inner), dict(zip(names, inner))
+    profiles = langid.learn(plain, column["text"], column["lang"], seed=column["doc_id"])
+    if not profiles.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))  # without a language nothing else can be rejected
+    found = langid.predict(plain, profiles, column["doc_id"], column["text"], keep=tuple(inner))
+    return found.filter(F.col("lang_pred") != "und").select(*[F.col(c).alias(name) for name, c in column.items()])
+
+
+def near_dedup(spark, docs, folder):
+    """Operator 4: one document of each group of near copies stays, that of the smallest id."""
+    found = minhash.near_duplicates(docs)
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.filter(F.col("doc_id").isNotNull()).select("doc_id")
+    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    alone = kept.filter(F.col("doc_id").isNull())  # rows that repeat an id are one group
+    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(alone)
+
+
+def suffix_dedup(spark, docs, folder):
+    """Operator 7: bytes of strings that start earlier go; parts of characters that are left go too."""
+    names = docs.columns
+    found = suffixes.dedup_bytes(docs, keep=tuple(names))
+    whole = F.expr("make_valid_utf8(cast(kept as string))")
+    text = F.when(F.col("n_removed") == 0, F.col("rest")[f"c{names.index('text')}"]).otherwise(F.replace(whole, F.lit("�"), F.lit("")))
+    columns = {name: F.col("rest")[f"c{k}"] for k, name in enumerate(names)}
+    columns["text"] = text
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length(text)).cast("long")
+    return found.select(*[column.alias(name) for name, column in columns.items()])
+
+
+def decontamination(spark, docs, folder):
+    """Operator 5: documents with a twentieth of their words in benchmark passages go."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    gone = decontaminate.contaminated_docs(docs, items).filter("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def token_ids(spark, docs, folder):
-    """Operator 10: the ids of every document and a digest of what they decode to."""
+    """Operator 10: the number and a digest of every document's ids, and a digest of what they decode to."""
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language", language), ("token_ids", token_ids)]
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("token_ids", token_ids),
+]
 
 #: SQL can express neither the language profiles nor the merges.
 ORACLE_SQL = None

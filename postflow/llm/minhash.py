@@ -34,7 +34,6 @@ BANDS, ROWS = 25, 5
 #: A word gets an idf of its own if its documents are at least this share of all (document, word)
 #: pairs, so there are at most 50,000; rarer ones have the idf of a word just below.
 IDF_WORDS = 50_000
-_NULL = (1 << 63) - 1
 
 
 class Idf(NamedTuple):
@@ -220,13 +219,13 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
     smallest id, and ``kept`` marks that document.  Texts of the same words are copies: ``n_copies``
     counts a text's copies, itself included, and they are compared once.  A null text, or one without a
     word, is a class of its own.  Words are split at ASCII white space, A-Z lower-cased.  Rows that repeat
-    an id are of one class; a null id counts as the largest.
+    an id are of one class.  A row without an id is not compared: its class is null and it is kept.
     """
-    keyed = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(_NULL)).alias("id"), docs[text].alias("text"))
+    keyed = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
     idf = word_idf(keyed)
     sketched = materialise(_sketches(keyed, idf), "sketches")
     copies = materialise(
-        sketched.filter("content is not null").groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")),
+        sketched.filter("content is not null and id is not null").groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")),
         "copies",
     )
     # From here on one text per content, and texts only of documents that share a band with another.
@@ -251,8 +250,10 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
         joined = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
         classes = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("content", "n_copies", F.coalesce("component", "rep").alias("class"))
-    class_id = F.coalesce("class", "id")
+    class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
+    alone = F.col("id").isNull() | F.col("n_copies").isNull()
     return sketched.select("id", "content").join(classes, "content", "left").select(
-        F.nullif("id", F.lit(_NULL)).alias("doc_id"), F.nullif(class_id, F.lit(_NULL)).alias("class_id"),
-        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), (F.col("id") == class_id).alias("kept"),
+        F.col("id").alias("doc_id"), class_id.alias("class_id"),
+        F.when(alone, 1).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"),
     )

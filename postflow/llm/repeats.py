@@ -38,7 +38,6 @@ MOST_HOT = 100_000
 SETTLE_BYTES = 48 << 20
 #: Bytes of fetched text that are compared at once; a group of one anchor is never cut.
 SOLVE_BYTES = 4 << 20
-_NULL = -(2**63)
 
 
 class Kind(NamedTuple):
@@ -318,15 +317,21 @@ def repeated_windows(docs: DataFrame, kind: Kind) -> DataFrame:
     return known.unionByName(shared)
 
 
-def covered(docs: DataFrame, kind: Kind, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text, low, count): every row of ``docs`` with its ranges of windows, lists that may be null."""
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(_NULL)).alias("id"), "text")
-    ranges = repeated_windows(keyed, kind).groupBy("id").agg(F.collect_list(F.struct("low", "count")).alias("ranges"))
-    found = keyed.join(ranges, "id", "left")
-    return found.select(
-        F.nullif("id", F.lit(_NULL)).alias("doc_id"), "text",
-        F.col("ranges")["low"].alias("low"), F.col("ranges")["count"].alias("count"),
+def covered(docs: DataFrame, kind: Kind, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, low, count, kept columns): every row with its ranges of windows, lists that may be null.
+
+    A row without an id is neither searched nor cut.  The columns ``keep`` are put into one struct,
+    ``rest``, so their names can't clash.
+    """
+    rest = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(keep)]) if keep else F.lit(None).cast("int")
+    rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
+    ranges = repeated_windows(rows.filter("id is not null"), kind).groupBy("id").agg(
+        F.collect_list(F.struct("low", "count")).alias("ranges")
+    )
+    found = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"), rest.alias("rest")) if keep else rows
+    return found.join(ranges, "id", "left").select(
+        F.col("id").alias("doc_id"), "text", F.col("ranges")["low"].alias("low"), F.col("ranges")["count"].alias("count"),
+        *(["rest"] if keep else []),
     )
 
 
