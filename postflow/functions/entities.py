@@ -5,8 +5,9 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.functions.text import EMOJI, SPACE, WORD
+from postflow.functions.text import EMOJI, EMOJI_BY_DEFAULT, EMOJI_IF_ASKED, SPACE, WORD
 
+# The patterns of tags, mentions and links.
 HASHTAG = rf"#[{WORD}]+"
 MENTION = rf"@[{WORD}]+"
 LINK = rf"(?i)http[^{SPACE}]+|www[^{SPACE}]+"
@@ -38,18 +39,10 @@ def emoji(c) -> Column:
 
 def _named_code_points() -> str:
     """``<char>\\x1f<name>`` pairs for the code points an emoji sequence is made of."""
-    spans = [
-        (0x23, 0x39),
-        (0xA9, 0xAE),
-        (0x203C, 0x3299),
-        (0x1F000, 0x1FAFF),
-    ]
-    pairs = (
-        (chr(point), unicodedata.name(chr(point), None))
-        for first, last in spans
-        for point in range(first, last + 1)
-        if unicodedata.category(chr(point)) in ("So", "Sk", "Sm", "Po", "Nd")
-    )
+    spans = ["23", "2A", "30-39", "1F1E6-1F1FF", *EMOJI_BY_DEFAULT, *EMOJI_IF_ASKED]
+    ends = [[int(end, 16) for end in span.split("-")] for span in spans]
+    points = [point for pair in ends for point in range(pair[0], pair[-1] + 1)]
+    pairs = ((chr(point), unicodedata.name(chr(point), None)) for point in points)
     return "\x1e".join(f"{char}\x1f{name.lower()}" for char, name in pairs if name)
 
 

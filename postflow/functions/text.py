@@ -14,20 +14,51 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 
-_PICTURE = r"[\x{2600}-\x{27BF}\x{2B50}\x{1F300}-\x{1FAFF}]"
+# Code points that Unicode shows as emoji by default (Emoji_Presentation), without the
+# regional indicators, and those that it shows as text unless asked (Emoji but not Emoji_Presentation),
+# without digits, # and *.
+EMOJI_BY_DEFAULT = """
+231A-231B 23E9-23EC 23F0 23F3 25FD-25FE 2614-2615 2648-2653 267F 2693 26A1 26AA-26AB 26BD-26BE
+26C4-26C5 26CE 26D4 26EA 26F2-26F3 26F5 26FA 26FD 2705 270A-270B 2728 274C 274E 2753-2755 2757
+2795-2797 27B0 27BF 2B1B-2B1C 2B50 2B55 1F004 1F0CF 1F18E 1F191-1F19A 1F201 1F21A 1F22F
+1F232-1F236 1F238-1F23A 1F250-1F251 1F300-1F320 1F32D-1F335 1F337-1F37C 1F37E-1F393 1F3A0-1F3CA
+1F3CF-1F3D3 1F3E0-1F3F0 1F3F4 1F3F8-1F43E 1F440 1F442-1F4FC 1F4FF-1F53D 1F54B-1F54E 1F550-1F567
+1F57A 1F595-1F596 1F5A4 1F5FB-1F64F 1F680-1F6C5 1F6CC 1F6D0-1F6D2 1F6D5-1F6D9 1F6DC-1F6DF
+1F6EB-1F6EC 1F6F4-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C
+1FA80-1FAC6 1FAC8 1FACC-1FADD 1FADF-1FAEB 1FAEF-1FAFA
+""".split()
+EMOJI_IF_ASKED = """
+A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 2328 23CF 23ED-23EF 23F1-23F2 23F8-23FA 24C2
+25AA-25AB 25B6 25C0 25FB-25FC 2600-2604 260E 2611 2618 261D 2620 2622-2623 2626 262A 262E-262F
+2638-263A 2640 2642 265F-2660 2663 2665-2666 2668 267B 267E 2692 2694-2697 2699 269B-269C 26A0
+26A7 26B0-26B1 26C8 26CF 26D1 26D3 26E9 26F0-26F1 26F4 26F7-26F9 2702 2708-2709 270C-270D 270F
+2712 2714 2716 271D 2721 2733-2734 2744 2747 2763-2764 27A1 2934-2935 2B05-2B07 3030 303D 3297
+3299 1F170-1F171 1F17E-1F17F 1F202 1F237 1F321 1F324-1F32C 1F336 1F37D 1F396-1F397 1F399-1F39B
+1F39E-1F39F 1F3CB-1F3CE 1F3D4-1F3DF 1F3F3 1F3F5 1F3F7 1F43F 1F441 1F4FD 1F549-1F54A 1F56F-1F570
+1F573-1F579 1F587 1F58A-1F58D 1F590 1F5A5 1F5A8 1F5B1-1F5B2 1F5BC 1F5C2-1F5C4 1F5D1-1F5D3
+1F5DC-1F5DE 1F5E1 1F5E3 1F5E8 1F5EF 1F5F3 1F5FA 1F6CB 1F6CD-1F6CF 1F6E0-1F6E5 1F6E9 1F6F0 1F6F3
+""".split()
+
+
+def _class(ranges) -> str:
+    """Hexadecimal ranges as the inside of a character class."""
+    ends = [r.split("-") for r in ranges]
+    return "".join("-".join(rf"\x{{{end}}}" for end in pair) for pair in ends)
+
+
+_SHOWN, _ASKED = _class(EMOJI_BY_DEFAULT), _class(EMOJI_IF_ASKED)
 _MARKS = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*[\x{E0020}-\x{E007F}]*"
-#: Flags, keycaps, text-style symbols that ask for emoji style, and joined sequences.
+#: Flags, keycaps, emoji, text-style symbols that ask for emoji style or a skin, and joined sequences.
 EMOJI = (
     r"[\x{1F1E6}-\x{1F1FF}]{2}"
     r"|[0-9#*]\x{FE0F}?\x{20E3}"
-    r"|[\x{A9}\x{AE}\x{203C}-\x{3299}]\x{FE0F}"
-    rf"|{_PICTURE}{_MARKS}(?:\x{{200D}}{_PICTURE}{_MARKS})*"
+    rf"|(?:[{_SHOWN}]|[{_ASKED}][\x{{FE0F}}\x{{1F3FB}}-\x{{1F3FF}}]){_MARKS}(?:\x{{200D}}[{_SHOWN}{_ASKED}]{_MARKS})*"
 )
 
 _NOISE_MARKS = rf"http[^{SPACE}]+|www[^{SPACE}]+|@[{WORD}]+|#[{WORD}]+|\p{{Nd}}+"
 _BLANKS = rf"[{SPACE}]{{2,}}"
 _PUNCTUATION = "[" + re.escape(string.punctuation) + "]+"
-_EMOJI_HINT = r"[\x{20E3}\x{FE0F}\x{2600}-\x{27BF}\x{2B50}\x{1F1E6}-\x{1FAFF}]"
+_EMOJI_HINT = rf"[\x{{20E3}}\x{{FE0F}}\x{{1F1E6}}-\x{{1F1FF}}\x{{1F3FB}}-\x{{1F3FF}}{_SHOWN}]"
 # What splitting at non-letters would get wrong: in ASCII text, and in any text.
 _ASCII_TRAPS = r"[\x00-\x08\x0e-\x1f_\x7f]"
 _NOT_PLAIN = rf"[^\p{{L}}\p{{N}}{SPACE}!-\x5e\x60-~]"

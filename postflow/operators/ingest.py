@@ -1,11 +1,15 @@
-"""Rosters and incremental loads."""
+"""Rosters and incremental loads.
+
+Joins by user are plain: rosters and marks are small, so they are broadcast when their measured size
+allows; beyond that, adaptive execution splits a user with a large part of the rows over more tasks as
+the data grows, which needs no fixed number of salts.  Repeats are dropped after the old posts.
+"""
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postflow.operators.skew import spread_join
 from postflow.schemas import POST_KEY
 
 
@@ -17,12 +21,12 @@ def roster_long(wide: DataFrame) -> DataFrame:
 
 def keep_roster(posts: DataFrame, roster: DataFrame) -> DataFrame:
     """The posts of users who are listed."""
-    return spread_join(posts, roster.distinct(), ["group", "user"], ["id"], "left_semi")
+    return posts.join(roster, ["group", "user"], "left_semi")
 
 
 def pruned(posts: DataFrame, roster: DataFrame) -> DataFrame:
     """The posts of users who are listed no more."""
-    return spread_join(posts, roster.distinct(), ["group", "user"], ["id"], "left_anti")
+    return posts.join(roster, ["group", "user"], "left_anti")
 
 
 def id_marks(history: DataFrame, key: Sequence[str] = ("group", "user")) -> DataFrame:
@@ -36,8 +40,9 @@ def new_posts(history: DataFrame, batch: DataFrame) -> DataFrame:
     All of them are kept, however many pages they came in (Q8).
     """
     marks = id_marks(history).select("group", "user", "max_id")
-    fresh = spread_join(batch.dropDuplicates([*POST_KEY]), marks, ["group", "user"], ["id"])
-    return fresh.filter(F.col("max_id").isNull() | (F.col("id") > F.col("max_id"))).drop("max_id")
+    fresh = batch.join(marks, ["group", "user"], "left")
+    fresh = fresh.filter(F.col("max_id").isNull() | (F.col("id") > F.col("max_id"))).drop("max_id")
+    return fresh.dropDuplicates([*POST_KEY])
 
 
 def append_new(history: DataFrame, batch: DataFrame) -> DataFrame:

@@ -5,24 +5,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A ticker list names columns of a table, so it cannot be longer than this.
-MAX_TICKERS = 10_000
-
-
 def ticker_labels(tickers: DataFrame) -> dict[str, str]:
-    """The symbol-to-label dimension, which names columns and so belongs to the driver."""
-    rows = tickers.select("ticker_name", "ticker_label").na.fill("").limit(MAX_TICKERS + 1)
-    pairs = rows.collect()
-    if len(pairs) > MAX_TICKERS:
-        raise ValueError(f"more than {MAX_TICKERS} tickers cannot become columns")
-    return {row.ticker_name: row.ticker_label for row in pairs}
+    """The symbol-to-label dimension, which names columns and so belongs to the driver.
+
+    A symbol listed twice takes the label that sorts last; a blank label leaves the symbol out.
+    """
+    rows = tickers.select("ticker_name", "ticker_label").na.fill("").distinct()
+    pairs = sorted((row.ticker_name, row.ticker_label) for row in rows.collect())
+    return {name: label for name, label in pairs if label.strip()}
 
 
 def daily_close(bars: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
-    """The last price of each day and ticker; ``order`` breaks ties."""
-    return bars.groupBy("date", "ticker_name").agg(
-        F.max_by("close", F.struct(*order)).cast("double").alias("close")
-    )
+    """The last price of each day and ticker; ``order`` breaks ties.
+
+    One order column aggregates by hash.  More of them are tie keys: only the bars at a day's last
+    point in time, found by such an aggregate, are compared by all.
+    """
+    first, *more = order
+    day = ["date", "ticker_name"]
+    if not more:
+        return bars.groupBy(*day).agg(F.max_by("close", first).cast("double").alias("close"))
+    last = bars.groupBy(*day).agg(F.max(first).alias("_last"))
+    ties = bars.join(last, day).filter(F.col(first) == F.col("_last"))
+    return ties.groupBy(*day).agg(F.max_by("close", F.struct(*more)).cast("double").alias("close"))
 
 
 def in_range(prices: DataFrame, start, end) -> DataFrame:
@@ -41,12 +46,15 @@ def label_tickers(prices: DataFrame, labels: Mapping[str, str]) -> DataFrame:
 
 
 def price_wide(prices: DataFrame, labels: Mapping[str, str], fill=0.0) -> DataFrame:
-    """One column per ticker label; a missing price becomes ``fill``."""
+    """One column per ticker label; a missing price becomes ``fill``.
+
+    Symbols that share a label share its column, which has their mean price.
+    """
     wide = (
         label_tickers(prices, labels)
         .groupBy("date")
-        .pivot("ticker_label", list(labels.values()))
-        .agg(F.first("close").cast("double"))
+        .pivot("ticker_label", sorted(set(labels.values()), key=list(labels.values()).index))
+        .agg(F.avg("close"))
     )
     return wide if fill is None else wide.na.fill(fill)
 
@@ -54,8 +62,7 @@ def price_wide(prices: DataFrame, labels: Mapping[str, str], fill=0.0) -> DataFr
 def latest_price(bars: DataFrame, per_ticker: bool = False) -> DataFrame:
     """The rows at the latest point in time, or the last price of each ticker."""
     if per_ticker:
-        last = bars.groupBy("ticker_name").agg(F.max_by(F.struct("ts", "close"), "ts").alias("l"))
-        return last.select("ticker_name", "l.ts", "l.close")
+        return bars.groupBy("ticker_name").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("close"))
     return bars.filter(F.col("ts") == bars.agg(F.max("ts")).scalar())
 
 

@@ -5,46 +5,38 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postflow.session import materialise
+
 #: A hot dictionary entry is one that covers at least this fraction of all rows, so there can be
 #: no more than ``HOT_ENTRIES`` of them, whatever the size of the data.
 HOT_ENTRIES = 100_000
-#: Longer terms never go into the broadcast part, which bounds its size in bytes.
-HOT_LENGTH = 64
+#: Characters of a hot term that are broadcast; a hash stands for the rest of a longer one, which
+#: bounds the broadcast part in bytes.
+HEAD = 64
 
 
-def spread_join(
-    rows: DataFrame,
-    marks: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "left",
-    salts: int = 16,
-) -> DataFrame:
-    """Join ``rows`` to a table with one row per ``on`` key, using ``salts`` tasks per key.
-
-    A key that holds a third of all rows would make one straggler task in a plain shuffle join.
-    Here its rows are spread by ``spread_by`` and the small side is repeated once per salt.
-    """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
-    repeated = marks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    repeated = repeated.withColumn("_salt", F.col("_salt").cast("long"))
-    return rows.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
+def _term_key(term: str = "term") -> list[Column]:
+    """A term of any length as two columns of bounded size: exact up to HEAD characters."""
+    head = F.substring(term, 1, HEAD)
+    tail = F.when(F.length(term) > HEAD, F.xxhash64(term)).otherwise(F.lit(0).cast("long"))
+    return [head.alias("_head"), tail.alias("_tail")]
 
 
 def _split(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hot, cold): the entries that are broadcast and the others, see ``sum_of_lookups``."""
+    """(hot, cold): the entries that are broadcast, by ``_term_key``, and the others, by term."""
     rows = table.agg(F.sum("frequency")).scalar()
-    is_hot = (F.col("frequency") * F.lit(HOT_ENTRIES) >= rows) & (F.length("term") <= HOT_LENGTH)
-    # At most HOT_ENTRIES rows of at most HOT_LENGTH characters: a few megabytes.
-    hot = F.broadcast(table.filter(is_hot).select("term", "value"))
+    is_hot = F.col("frequency") * F.lit(HOT_ENTRIES) >= rows
+    # At most HOT_ENTRIES rows of at most HEAD characters: a few megabytes.
+    hot = F.broadcast(table.filter(is_hot).select(*_term_key(), "value"))
     return hot, table.filter(~is_hot).select("term", "value")
 
 
 def lookup(terms: DataFrame, table: DataFrame) -> DataFrame:
     """``terms`` with the ``value`` of each, joined in the two ways of ``sum_of_lookups``."""
     hot, cold = _split(table)
-    far = terms.join(hot, "term", "left_anti").join(cold, "term")
-    return terms.join(hot, "term").unionByName(far)
+    keyed, on = terms.select("*", *_term_key()), ["_head", "_tail"]
+    far = keyed.join(hot, on, "left_anti").drop(*on).join(cold, "term")
+    return keyed.join(hot, on).drop(*on).unionByName(far)
 
 
 def sum_of_lookups(
@@ -63,20 +55,32 @@ def sum_of_lookups(
 
     * entries above ``1 / HOT_ENTRIES`` of all rows, at most ``HOT_ENTRIES`` of them, are broadcast.
       They cover most rows, which are summed per key before anything is shuffled;
-    * the remaining rows are joined by a shuffle in which no term can be hot any more.
+    * the terms that miss are counted per key and term in the same pass, and joined by a shuffle in
+      which no term can be hot any more.
     """
     totals = totals or {"total": F.lit(True)}
-    sums = [F.sum(F.when(meets, F.col("value"))).alias(name) for name, meets in totals.items()]
     hot, cold = _split(table)
-    near = (
-        terms.join(hot, "term", "left").groupBy(*key).agg(F.count("term").alias("terms"), *sums)
+    found = terms.select("*", *_term_key()).join(
+        hot.withColumn("_hit", F.lit(True)), ["_head", "_tail"], "left"
+    )
+    missed = F.when(F.col("_hit").isNull(), F.col("term"))
+    sums = {name: F.sum(F.when(meets, F.col("value"))) for name, meets in totals.items()}
+    once = materialise(
+        found.withColumn("_missed", missed).groupBy(*key, "_missed").agg(
+            F.count("term").alias("terms"), *[total.alias(name) for name, total in sums.items()]
+        ),
+        "lookups",
     )
+    near = once.filter("_missed is null").drop("_missed")
+    weighted = F.col("value") * F.col("terms")
     far = (
-        terms.filter(F.col("term").isNotNull())
-        .join(hot, "term", "left_anti")
+        once.filter("_missed is not null").select(*key, F.col("_missed").alias("term"), "terms")
         .join(cold, "term")
         .groupBy(*key)
-        .agg(F.lit(0).cast("long").alias("terms"), *sums)
+        .agg(
+            F.sum("terms").alias("terms"),
+            *[F.sum(F.when(meets, weighted)).alias(name) for name, meets in totals.items()],
+        )
     )
     return (
         near.unionByName(far)

@@ -1,7 +1,8 @@
 """The four stages, parse, curate, condition and load, as one chain of DataFrames.
 
 Stages are cut only where a result has several consumers: the tokens, the scored posts and the
-daily sums.  Those cuts are Parquet tables in the shared folder.
+daily sums.  Those cuts are Parquet tables in the shared folder.  Values per user stay in long form,
+one row per day, user and measure, so any number of users will do; ``widen`` makes columns of some.
 """
 
 import datetime
@@ -12,26 +13,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postflow.functions.dates import ZONE, with_local_day
+from postflow.functions.entities import with_entities
 from postflow.functions.text import ENGLISH_STOP_WORDS, stop_list
 from postflow.operators import daily as dy
 from postflow.operators import features as ft
 from postflow.operators import prices as pr
+from postflow.operators.ingest import append_new, keep_roster
 from postflow.operators.keys import to_long, with_keys
 from postflow.operators.ngrams import with_ngrams
 from postflow.operators.scoring import post_scores, share_of_log_total
 from postflow.operators.tokens import clean_text
+from postflow.schemas import POST_KEY, POSTS
 from postflow.session import materialise
+from postflow.sources.posts import flatten_posts, quarantine
 
-#: More users than this cannot become columns; the long form has no such limit.
-MAX_USERS = 5_000
+#: What is summed per user.
+MEASURES = ("unigram", "bigram")
 
 
 @dataclass(frozen=True)
 class Config:
     """What the stages need to know.
 
-    ``labels`` maps ticker symbols to column names, ``users`` fixes the pivot columns (all users of
-    the data when None), and ``today`` ends the price range.
+    ``labels`` maps ticker symbols to column names and ``today`` ends the price range.  ``users`` selects
+    whose scores are reported, all users when None; the totals of a day, and the statistics that scores
+    rest on, are always those of all posts.  ``stems`` off scores words instead of stems.
     """
 
     labels: Mapping[str, str]
@@ -43,22 +49,45 @@ class Config:
     stop_words: Sequence[str] = field(default_factory=stop_list)
     library_stop_words: Sequence[str] = tuple(ENGLISH_STOP_WORDS)
     keep_text: bool = False
+    stems: bool = True
 
 
 @dataclass(frozen=True)
 class Stages:
-    """The tables of a run."""
+    """The tables of a run.
+
+    ``rolled``, ``features``, ``normalized`` and ``latest`` have one row per day, with prices and totals;
+    ``cells`` and ``latest_cells`` hold the users' values of the days of ``features`` and ``latest`` as
+    (date, user, measure, value).
+    """
 
     tokens: DataFrame
     scored: DataFrame
     by_user: DataFrame
     rolled: DataFrame
     features: DataFrame
-    latest: DataFrame
     normalized: DataFrame
+    cells: DataFrame
+    latest: DataFrame
+    latest_cells: DataFrame
     long: DataFrame
 
 
+def parse(
+    raw: DataFrame, roster: DataFrame | None = None, history: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(posts, bad): landed raw records as posts with their entities, and those without a usable id.
+
+    Reposts are dropped.  With a ``roster`` (group, user) only listed users stay, in the history too;
+    with a ``history`` the result is the history and the posts that are newer than a user's last.
+    Records that can't be used never stop the others.
+    """
+    good, bad = quarantine(raw)
+    posts = with_entities(flatten_posts(good)).select(*POSTS.fieldNames())
+    posts = posts.dropDuplicates([*POST_KEY]) if history is None else append_new(history, posts)
+    return (posts if roster is None else keep_roster(posts, roster)), bad
+
+
 def curate(posts: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """Clean and score posts: (tokens, scored), both with a ``row_id``.
 
@@ -69,13 +98,15 @@ def curate(posts: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
         with_local_day(posts, zone=config.zone),
         stop=config.stop_words,
         library_stop=config.library_stop_words,
+        **({} if config.stems else {"stem_fn": None}),
     )
+    words = "stem_tokens" if config.stems else "nonstem_tokens"
     if not config.keep_text:
         cleaned = cleaned.drop("text")
     tokens = materialise(cleaned.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
     key = ["row_id"]
     narrow = tokens.select("row_id", "date", "group", "user", "id", *dy.COUNTS)
-    scored = materialise(narrow.join(post_scores(tokens, key), key), "scored")
+    scored = materialise(narrow.join(post_scores(tokens, key, words), key), "scored")
     for name in ("unigram", "bigram"):
         scored = share_of_log_total(scored, f"{name}_logprob", f"{name}_share")
     return tokens, scored
@@ -90,22 +121,37 @@ def scored_posts(tokens: DataFrame, scored: DataFrame) -> DataFrame:
     return wide.join(scored.select("row_id", *scores), "row_id").drop("row_id")
 
 
-def users_of(by_user: DataFrame) -> list[str]:
-    """The pivot columns, when the configuration does not name them."""
-    found = by_user.select("user").filter("user is not null").distinct().limit(MAX_USERS + 1)
-    users = sorted(row.user for row in found.collect())
-    if len(users) > MAX_USERS:
-        raise ValueError(f"more than {MAX_USERS} users: name some, or stay with the long form")
-    return users
+def user_cells(by_user: DataFrame, days: DataFrame, users: Sequence[str] | None = None) -> DataFrame:
+    """R2, P7, A14 in long form: (date, user, measure, value) of every user on each of ``days``.
+
+    Weekends are rolled into Monday; a day without posts of a user has zeros, as a pivot would fill
+    them.  ``days`` has one row per day, so their list is small; named ``users`` without posts have zeros.
+    """
+    spark = by_user.sparkSession
+    own = by_user.select("date", "user", *MEASURES).filter("user is not null")
+    rolled = dy.roll_weekend(own, by=["user"], fill_calendar=False)
+    who = own.select("user").distinct()
+    if users is not None:
+        who = spark.createDataFrame([(u,) for u in dict.fromkeys(users)], "user string")
+    dates = days.agg(F.array_sort(F.collect_set("date"))).scalar()
+    grid = who.select("user", F.explode(dates).alias("date"))
+    filled = grid.join(rolled, ["date", "user"], "left").na.fill(0, [*MEASURES])
+    return filled.unpivot(["date", "user"], [*MEASURES], "measure", "value")
+
+
+def widen(daily: DataFrame, cells: DataFrame, users: Sequence[str]) -> DataFrame:
+    """R2: ``daily`` with a column per measure and user; for as many users as a table can have columns."""
+    name = F.concat_ws("_", "measure", "user")
+    columns = [f"{m}_{u}" for u in users for m in MEASURES]
+    wide = cells.withColumn("_name", name).groupBy("date").pivot("_name", columns).agg(F.first("value"))
+    return daily.join(wide.na.fill(0), "date")
 
 
 def condition(scored: DataFrame, bars: DataFrame, config: Config) -> dict[str, DataFrame]:
     """Daily features next to prices, plain and scaled, and those of the latest price."""
     shares = {"unigram": "unigram_share", "bigram": "bigram_share"}
     by_user = materialise(dy.daily_by_user(scored, shares), "by_user")
-    users = users_of(by_user) if config.users is None else config.users
-    wide = dy.daily_wide(by_user, users)
-    rolled = dy.roll_weekend(wide)
+    rolled = dy.roll_weekend(dy.daily_totals(by_user))
 
     first_day = by_user.agg(F.min("date")).scalar()
     today = config.today or datetime.date.today()
@@ -113,7 +159,7 @@ def condition(scored: DataFrame, bars: DataFrame, config: Config) -> dict[str, D
     prices = pr.price_wide(closes, config.labels)
     features = materialise(ft.build_features(prices, rolled), "features")
 
-    scaled = [*config.labels.values(), *dy.COUNTS]
+    scaled = [*dict.fromkeys(config.labels.values()), *dy.COUNTS]
     normalized = ft.normalize_columns(features, scaled)
     if config.target in features.columns:
         target = ft.with_target(features, config.target_days, config.target).select("date", "y")
@@ -124,19 +170,30 @@ def condition(scored: DataFrame, bars: DataFrame, config: Config) -> dict[str, D
         "rolled": rolled,
         "features": features,
         "normalized": normalized,
+        "cells": user_cells(by_user, features.select("date"), config.users),
         "latest": latest,
+        "latest_cells": user_cells(by_user, latest.select("date"), config.users),
     }
 
 
-def load(normalized: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """The scaled features in long form, with keys."""
-    return with_keys(to_long(normalized.drop("y")), previous)
+def load(
+    normalized: DataFrame, cells: DataFrame | None = None, previous: DataFrame | None = None
+) -> DataFrame:
+    """The scaled features and the users' values in long form, with keys."""
+    long = to_long(normalized.drop("y"))
+    if cells is not None:
+        name = F.concat_ws("_", "measure", "user").alias("twitter_ticker")
+        long = long.unionByName(cells.select("date", name, F.col("value").cast("double").alias("value")))
+    return with_keys(long, previous)
 
 
 def run(
     posts: DataFrame, bars: DataFrame, config: Config, previous: DataFrame | None = None
 ) -> Stages:
-    """All stages from posts and price bars (ts, date, ticker_name, close) to the long table."""
+    """All stages from posts and price bars (ts, date, ticker_name, close) to the long table.
+
+    Raw records become posts by ``parse``.  Without posts every table is empty.
+    """
     tokens, scored = curate(posts, config)
     tables = condition(scored, bars, config)
-    return Stages(tokens, scored, long=load(tables["normalized"], previous), **tables)
+    return Stages(tokens, scored, long=load(tables["normalized"], tables["cells"], previous), **tables)

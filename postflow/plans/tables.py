@@ -9,7 +9,7 @@ from postflow.session import spread
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 #: The event types as ticker symbols and their labels.
 LABELS = {name: f"px_{name}" for name in EVENT_TYPES}
-EMOJI_SAMPLES = ["👍🏽", "❤️", "👩‍💻", "🇫🇷", "1️⃣", "🎉🎉", ""]
+EMOJI_SAMPLES = ["👍🏽", "❤️", "👩‍💻", "🇫🇷", "1️⃣", "🎉🎉", "", "⏰⌚ ⬛", "🆕🆗 ⭕🀄", "★ ♪ ✓ ➜", "☀ ☝🏽 ©"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,22 +48,22 @@ def channel_posts(spark, folder) -> DataFrame:
 
 
 def text_posts(spark, folder) -> DataFrame:
-    """Every document as the post of every fifth event, with tags, a mention, a link and an emoji."""
-    docs = documents(spark, folder)
+    """Every event as a post: the text of the document of its number, if any, tags, a link and an emoji."""
+    docs = documents(spark, folder).withColumnRenamed("doc_id", "id")
     events = event_posts(spark, folder).drop("value")
     samples = F.array(*[F.lit(e) for e in EMOJI_SAMPLES])
-    emoji = F.get(samples, F.pmod("doc_id", F.lit(len(EMOJI_SAMPLES))).cast("int"))
+    emoji = F.get(samples, F.pmod("id", F.lit(len(EMOJI_SAMPLES))).cast("int"))
     text = F.concat_ws(
         " ",
         F.col("text"),
         F.concat(F.lit("#"), "group"),
         F.concat(F.lit("@"), "user"),
-        F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")),
+        F.concat(F.lit("https://x.example/"), F.col("id").cast("string")),
         emoji,
     )
-    return docs.join(events, docs.doc_id * 5 == events.id).select(
-        "group", "user", F.col("doc_id").alias("id"), "created_at", "date",
-        "favorite_count", "retweet_count", text.alias("text"),
+    return events.join(docs, "id", "left").select(
+        "group", "user", "id", "created_at", "date", "favorite_count", "retweet_count",
+        text.alias("text"),
     )
 
 

@@ -60,28 +60,44 @@ def flatten_posts(raw: DataFrame, keep_reposts: bool = False) -> DataFrame:
 USER_BUCKETS = 16
 
 
-def user_bucket(user="user", buckets: int = USER_BUCKETS) -> Column:
-    """The folder of a user within a group."""
-    return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
+def user_bucket(user="user", buckets=USER_BUCKETS) -> Column:
+    """The folder of a user within a group, ``buckets-number``: it tells its own number of buckets."""
+    n = F.lit(buckets) if isinstance(buckets, int) else buckets
+    return F.concat_ws("-", n.cast("string"), F.pmod(F.xxhash64(user), n.cast("long")).cast("string"))
+
+
+def month_of(created_at="created_at") -> Column:
+    """The folder of a post within its bucket; a post keeps it, whenever it lands."""
+    return F.date_format(created_at, "yyyy-MM")
+
+
+def with_folders(posts: DataFrame, buckets: int = USER_BUCKETS) -> DataFrame:
+    return posts.withColumns({"bucket": user_bucket(buckets=buckets), "month": month_of()})
+
+
+#: The folders of the stored posts, from the outermost.
+FOLDERS = ("group", "bucket", "month")
 
 
 def write_posts(posts: DataFrame, path: str, mode: str = "append", buckets=USER_BUCKETS) -> None:
-    """K2: folders by group and user bucket, sorted by user so that row groups can be skipped.
+    """K2: folders by group, user bucket and month, sorted by user so that row groups can be skipped.
 
     The rebalance hint gathers a folder's rows into few files, but splits a group or user that
     holds too many rows over several tasks and files.
     """
     (
-        posts.withColumn("bucket", user_bucket(buckets=buckets))
-        .hint("rebalance", "group", "bucket")
-        .sortWithinPartitions("group", "bucket", "user", "id")
+        with_folders(posts, buckets)
+        .hint("rebalance", *FOLDERS)
+        .sortWithinPartitions(*FOLDERS, "user", "id")
         .write.mode(mode)
-        .partitionBy("group", "bucket")
+        .partitionBy(*FOLDERS)
         .parquet(path)
     )
 
 
-STORED_POSTS = T.StructType([*POSTS, T.StructField("bucket", T.IntegerType())])
+STORED_POSTS = T.StructType(
+    [*POSTS, T.StructField("bucket", T.StringType()), T.StructField("month", T.StringType())]
+)
 
 
 def read_posts(
@@ -90,17 +106,18 @@ def read_posts(
     groups: Sequence[str] | None = None,
     users: Sequence[str] | None = None,
     distinct: bool = False,
-    buckets: int = USER_BUCKETS,
 ) -> DataFrame:
     """The posts of all users.
 
-    ``groups`` and ``users`` prune folders before anything is read.  ``distinct`` drops the copies
-    of a post, which is off by default because merging never did.
+    ``groups`` and ``users`` prune folders before anything is read, whatever number of buckets each
+    was written with.  ``distinct`` drops the copies of a post, which is off by default because
+    merging never did.
     """
     posts = spark.read.schema(STORED_POSTS).parquet(path)
     if groups is not None:
         posts = posts.filter(F.col("group").isin(*groups))
     if users is not None:
+        buckets = F.substring_index("bucket", "-", 1)
         folders = F.array(*[user_bucket(F.lit(user), buckets) for user in users])
         posts = posts.filter(F.array_contains(folders, F.col("bucket")))
         posts = posts.filter(F.col("user").isin(*users))
@@ -108,11 +125,15 @@ def read_posts(
     return posts.dropDuplicates(["user", "id"]) if distinct else posts
 
 
+#: How CSV files quote: a quote within a quoted field is doubled, as most writers do.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
 def read_user_files(spark: SparkSession, path: str, columns=None) -> DataFrame:
     """One CSV file per user, the user's name being the stem of the file (Q7)."""
-    schema = columns or POSTS[[f.name for f in POSTS if f.name not in ("group", "user")]]
+    own = T.StructType([f for f in POSTS if f.name not in ("group", "user")])
     stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
-    files = spark.read.schema(schema).option("header", True).option("multiLine", True).csv(path)
+    files = spark.read.schema(columns or own).options(**CSV).option("multiLine", True).csv(path)
     return files.select(F.url_decode(stem).alias("user"), "*")
 
 
@@ -126,7 +147,7 @@ def merge(*tables: DataFrame) -> DataFrame:
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
     """The wide roster, one column per group; blank cells are empty strings."""
-    return spark.read.option("header", True).csv(path).na.fill("")
+    return spark.read.options(**CSV).csv(path).na.fill("")
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:

@@ -5,6 +5,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postflow.sources.posts import CSV
+
 PutBatch = Callable[[list[dict]], None]
 
 
@@ -14,7 +16,7 @@ def write_csv(df: DataFrame, path: str) -> None:
         F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c)
         for c, t in df.dtypes
     ]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*flat).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_stage(df: DataFrame, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The incremental loads as Structured Streaming queries."""
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from postflow.functions.entities import with_entities
 from postflow.operators.keys import NATURAL_KEY, with_keys
 from postflow.schemas import LONG, POST_KEY, POSTS, RAW_POSTS
-from postflow.sources.posts import STORED_POSTS, flatten_posts, user_bucket, write_posts
+from postflow.sources.posts import (
+    FOLDERS, STORED_POSTS, flatten_posts, quarantine, with_folders, write_posts,
+)
 
 
 def raw_stream(
@@ -47,35 +49,32 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
         return None
 
 
-#: A filter that names more partitions than this is left out, and the whole table is read.
-MAX_TOUCHED = 10_000
-
-
 def _touched(batch: DataFrame, *columns: str) -> Column:
-    """A filter for the partitions a batch touches.  It selects too much rather than too little."""
-    rows = batch.select(*columns).distinct().limit(MAX_TOUCHED + 1).collect()
-    if len(rows) > MAX_TOUCHED:
-        return F.lit(True)
-    filters = [F.col(c).isin({row[c] for row in rows}) for c in columns]
-    return functools.reduce(Column.__and__, filters)
+    """A filter for the folders a batch touches.  It selects too much rather than too little.
+
+    There are as many values as folders of one level, and a table has to list its folders anyway.
+    """
+    found = batch.agg(*[F.collect_set(c).alias(c) for c in columns]).first()
+    return functools.reduce(Column.__and__, [F.col(c).isin(found[c]) for c in columns])
 
 
 def append_unseen(path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that appends the posts that are not stored yet.
 
     Nothing is lost, however late it lands, and a batch that is run again adds nothing.  Of the
-    stored table only the key columns are read, in the folders the batch touches; the join is on
-    the whole key, so a user with many posts is spread over all tasks.
+    stored table only the key columns are read, in the folders the batch touches: those of its months,
+    so the look-up does not grow with the history.  The join is on the whole key, so a user with many
+    posts is spread over all tasks.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("bucket", user_bucket()).persist()
+        batch = with_folders(batch).persist()
         fresh = batch.dropDuplicates([*POST_KEY])
         stored = _stored(batch.sparkSession, path, STORED_POSTS)
         if stored is not None:
-            known = stored.filter(_touched(batch, "group", "bucket")).select(*POST_KEY)
+            known = stored.filter(_touched(batch, *FOLDERS)).select(*POST_KEY)
             fresh = fresh.join(known, [*POST_KEY], "left_anti")
-        write_posts(fresh, path)
+        write_posts(fresh.select(*POSTS.fieldNames()), path)
         batch.unpersist()
 
     return append
@@ -93,16 +92,23 @@ def stream_posts(
     """Ingest what has landed since the last run, then stop.
 
     Without ``delay`` repeats are found in the stored table; with it, in the state of the stream.
+    Records without a usable id go to ``out`` + "-bad" by a stream of their own, which ends first, so
+    they stop neither this run nor the next.
     """
-    posts = prepare(raw_stream(spark, source, format, files_per_batch))
+    good, bad = quarantine(raw_stream(spark, source, format, files_per_batch))
+    (
+        bad.writeStream.format("parquet").option("path", f"{out}-bad")
+        .option("checkpointLocation", f"{checkpoint}-bad")
+        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    )
+    posts = prepare(good)
     if delay is None:
         writer = posts.writeStream.foreachBatch(append_unseen(out))
     else:
         writer = (
-            drop_repeats(posts, delay)
-            .withColumn("bucket", user_bucket())
+            with_folders(drop_repeats(posts, delay))
             .writeStream.format("parquet")
-            .partitionBy("group", "bucket")
+            .partitionBy(*FOLDERS)
             .option("path", out)
         )
     return (
@@ -113,43 +119,66 @@ def stream_posts(
     )
 
 
-def upsert_long(path: str) -> Callable[[DataFrame, int], None]:
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has been committed."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def latest_rows(batch: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the one that is last by the columns ``order``, then by value.
+
+    Without an order the largest value wins, so the result never depends on the order of rows.
+    """
+    last = F.max_by("value", F.struct(*order, "value")) if order else F.max("value")
+    return batch.groupBy(*NATURAL_KEY).agg(last.alias("value"))
+
+
+def upsert_long(path: str, order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """I4: a ``foreachBatch`` function that merges a batch into the long table at ``path``.
 
-    Known rows keep their key and take the new value.  Only the touched dates are read and
-    rewritten, and running a batch again gives the same table.
+    Known rows keep their key and take the batch's value, the last one by ``order`` if it has several.
+    Only the touched dates are read and rewritten.  The new state of those dates is written aside
+    first, to ``path`` + "-next"; should the replacement break off, the batch runs again and finds it
+    there, so no row is lost with the partitions it was read from.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("date", "twitter_ticker", "value").dropDuplicates([*NATURAL_KEY])
-        rows = rows.persist()
-        stored = _stored(batch.sparkSession, path, LONG)
-        if stored is None:
-            merged = with_keys(rows)
-        else:
-            stored = stored.filter(_touched(rows, "date"))
-            others = stored.join(rows, [*NATURAL_KEY], "left_anti")
-            merged = with_keys(rows, stored).unionByName(others)
+        spark = batch.sparkSession
+        staged = f"{path}-next/batch={batch_id}"
+        if not _written(spark, staged):
+            rows = latest_rows(batch, order).persist()
+            stored = _stored(spark, path, LONG)
+            if stored is None:
+                merged = with_keys(rows)
+            else:
+                stored = stored.filter(_touched(rows, "date"))
+                others = stored.join(rows, [*NATURAL_KEY], "left_anti")
+                merged = with_keys(rows, stored).unionByName(others)
+            merged.select(*LONG.fieldNames()).write.mode("overwrite").parquet(staged)
+            rows.unpersist()
         (
-            merged.select(*LONG.fieldNames())
+            spark.read.schema(LONG).parquet(staged)
             .hint("rebalance", "date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("date")
             .parquet(path)
-        )
-        rows.unpersist()
+        )
 
     return upsert
 
 
 def stream_long(
-    long: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    long: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, order: Sequence[str] = ()
 ) -> StreamingQuery:
-    """I4: keep the long table at ``path`` up to date with a stream of (date, ticker, value)."""
+    """I4: keep the long table at ``path`` up to date with a stream of (date, ticker, value).
+
+    ``order`` names columns of the stream that tell which of two versions of a row is the later one.
+    """
     return (
         long.withColumn("date", F.col("date").cast("date"))
-        .writeStream.foreachBatch(upsert_long(path))
+        .writeStream.foreachBatch(upsert_long(path, order))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))

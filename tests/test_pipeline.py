@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from postflow.plans.pipeline import Config, load, run, scored_posts, users_of
+from postflow.plans.pipeline import Config, load, parse, run, scored_posts, user_cells, widen
+from postflow.schemas import RAW_POSTS
 
 LABELS = {"^G": "SandP_500", "^I": "NASDAQ"}
 WORDS = ["market", "rally", "bond", "yield", "stocks", "falling", "rises", "tech"]
@@ -77,7 +78,7 @@ def expected(data):
 
 def test_features(stages, data):
     wanted = expected(data)
-    found = stages.features.orderBy("date").toPandas()
+    found = widen(stages.features, stages.cells, [f"user{i}" for i in range(4)]).orderBy("date").toPandas()
     found["date"] = pd.to_datetime(found.date)
     pd.testing.assert_frame_equal(
         found[sorted(found.columns)], wanted[sorted(wanted.columns)], check_dtype=False, rtol=1e-9
@@ -100,23 +101,52 @@ def test_scores_keep_every_post(stages, data):
     assert full.count() == len(data[0])
 
 
-def test_long_and_reload(stages):
-    columns = [c for c in stages.normalized.columns if c not in ("date", "y")]
-    assert stages.long.count() == stages.features.count() * len(columns)
+def test_long_and_reload(stages, data):
+    wanted = expected(data)
+    series = [c for c in wanted.columns if c != "date"]
+    assert stages.long.count() == len(wanted) * len(series)
+    assert {r.twitter_ticker for r in stages.long.select("twitter_ticker").distinct().collect()} == set(series)
     assert stages.long.select("uuid").distinct().count() == stages.long.count()
     previous = stages.long.withColumn("uuid", F.concat(F.lit("p-"), "uuid"))
-    assert load(stages.normalized, previous).filter("uuid not like 'p-%'").count() == 0
+    assert load(stages.normalized, stages.cells, previous).filter("uuid not like 'p-%'").count() == 0
 
 
 def test_latest_uses_the_last_bar(stages):
     assert stages.latest.count() in (0, 1)
     assert {"SandP_500", "NASDAQ", "favorite_count"} <= set(stages.latest.columns)
+    assert stages.latest_cells.count() == 8 * stages.latest.count()
+
 
+def test_users_are_selected_and_totals_stay(stages):
+    some = user_cells(stages.by_user, stages.features.select("date"), ["user1", "nobody"])
+    both = {(r.date, r.user, r.measure): r.value for r in stages.cells.collect()}
+    for r in some.collect():
+        assert r.value == both.get((r.date, r.user, r.measure), 0)
+    assert some.count() == stages.cells.count() / 2
 
-def test_users_are_bounded(stages, monkeypatch):
-    from postflow.plans import pipeline
 
-    assert users_of(stages.by_user) == [f"user{i}" for i in range(4)]
-    monkeypatch.setattr(pipeline, "MAX_USERS", 2)
-    with pytest.raises(ValueError):
-        users_of(stages.by_user)
+def test_many_users_and_no_posts(spark, stages):
+    """Nothing depends on how many users there are."""
+    many = spark.range(6000).select(
+        F.lit(dt.date(2024, 1, 3)).alias("date"), F.concat(F.lit("u"), "id").alias("user"),
+        F.lit(0.5).alias("unigram"), F.lit(0.25).alias("bigram"),
+    )
+    assert user_cells(many, stages.features.select("date").limit(2)).count() == 6000 * 2 * 2
+    assert user_cells(many.limit(0), stages.features.select("date")).count() == 0
+
+
+def test_parse(spark):
+    when = dt.datetime(2024, 1, 1)
+    rows = [("g", "a", "1", when, "x #t", 1, 2, False), ("g", "a", "1", when, "x #t", 1, 2, False),
+            ("g", "a", "bad", when, "y", 1, 2, False), ("g", "a", None, when, "y", 1, 2, None),
+            ("g", "b", "2", when, "re", 1, 2, True), ("g", "c", "3", when, None, None, None, None)]
+    raw = spark.createDataFrame(rows, RAW_POSTS)
+    posts, bad = parse(raw)
+    assert sorted((r.user, r.id, r.hashtags) for r in posts.collect()) == [("a", 1, "#t"), ("c", 3, None)]
+    assert bad.count() == 2
+    listed = spark.createDataFrame([("g", "a")], "group string, user string")
+    history, _ = parse(raw, listed)
+    assert [r.user for r in history.collect()] == ["a"]
+    later = spark.createDataFrame([("g", "a", "0", when, "old", 1, 2, False), ("g", "a", "9", when, "new", 1, 2, False)], RAW_POSTS)
+    assert sorted(r.id for r in parse(later, listed, history)[0].collect()) == [1, 9]
+    assert parse(raw.limit(0))[0].count() == 0

@@ -131,9 +131,19 @@ def test_smoothed_scores_equal_brute_force(spark, skewed_rows):
     close(by_id(sc.trigram_score(df, ["id"], "t", smoothing=True), "trigram_logprob"), trigram)
 
 
-def test_long_terms_are_never_broadcast(spark):
-    df = posts(spark, [["x" * 500, "y"], ["x" * 500]])
-    close(by_id(sc.unigram_score(df, ["id"], "t"), "unigram_logprob"), {0: math.log(1 / 2), 1: 0.0})
+def test_long_hot_terms_are_broadcast(spark):
+    """An 80-character term in every post is looked up without a shuffle of it; so are its twins."""
+    long = "x" * 80
+    rows = [[long, "x" * 81, "x" * 64, "y"]] * 20 + [[long]]
+    df = posts(spark, rows)
+    close(by_id(sc.unigram_score(df, ["id"], "t"), "unigram_logprob"), brute_force(rows)[0])
+    table = spark.createDataFrame([(long, 500_000, 1.0), ("rare", 1, 2.0)], "term string, frequency long, value double")
+    hot, cold = skew._split(table)
+    assert [r.value for r in hot.collect()] == [1.0] and [r.term for r in cold.collect()] == ["rare"]
+    terms = spark.createDataFrame([(1, long), (2, "rare"), (3, "x" * 79 + "z"), (4, None)], "id int, term string")
+    assert sorted(tuple(r) for r in skew.lookup(terms, table).select("id", "value").collect()) == [(1, 1.0), (2, 2.0)]
+    found = skew.sum_of_lookups(terms, table, ["id"]).collect()
+    assert sorted((r.id, r.terms, r.total) for r in found if r.total is not None) == [(1, 1, 1.0), (2, 1, 2.0)]
 
 
 def test_shares(spark):
@@ -153,12 +163,3 @@ def test_shares_need_no_single_partition_of_rows(spark):
     df = spark.range(10).selectExpr("id", "id * 1.0d as x")
     plan = sc.share_of_total(df, ["x"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-
-
-def test_spread_join_is_a_plain_join(spark):
-    rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("c", 2)], "k string, id int")
-    marks = spark.createDataFrame([("a", 1), ("c", 3), ("d", 4)], "k string, m int")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        found = skew.spread_join(rows, marks, ["k"], ["id"], how)
-        wanted = rows.join(marks, "k", how)
-        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))

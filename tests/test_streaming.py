@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from postflow.operators import keys as ky
 from postflow.schemas import POSTS, RAW_POSTS
@@ -40,11 +41,48 @@ def test_late_posts_are_kept_and_replays_add_nothing(spark, tmp_path):
     assert sp.read_posts(spark, out).count() == 9
 
 
-def test_touched_partitions(spark, monkeypatch):
+def test_touched_folders(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 9)], "g string, b int")
     assert df.filter(st._touched(df.filter("b < 3"), "g", "b")).count() == 2
-    monkeypatch.setattr(st, "MAX_TOUCHED", 1)
-    assert df.filter(st._touched(df.filter("b < 3"), "g", "b")).count() == 3
+    assert df.filter(st._touched(df.limit(0), "g", "b")).count() == 0
+
+
+@pytest.mark.parametrize("delay", [None, "30 days"])
+def test_bad_ids_stop_nothing(spark, tmp_path, delay):
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    good = raw(spark, range(6))
+    bad = good.withColumn("id_str", F.expr("if(cast(id_str as int) < 3, 'x' || id_str, null)"))
+    good.unionByName(bad).coalesce(1).write.json(landing)
+    st.stream_posts(spark, landing, out, str(tmp_path / "cp"), delay).awaitTermination()
+    assert sp.read_posts(spark, out).count() == 6
+    assert spark.read.schema(RAW_POSTS).parquet(f"{out}-bad").count() == 6
+
+
+def test_the_later_version_wins(spark, tmp_path):
+    columns = "date date, twitter_ticker string, value double, version int"
+    day = dt.date(2024, 1, 2)
+    batch = spark.createDataFrame([(day, "a", 1.0, 2), (day, "a", 9.0, 1), (day, "b", 3.0, 1), (day, "b", 4.0, 1)], columns)
+    for turned in (batch, batch.orderBy("version"), batch.orderBy(F.desc("version"))):
+        assert rows(st.latest_rows(turned, ["version"])) == [(day, "a", 1.0), (day, "b", 4.0)]
+        assert rows(st.latest_rows(turned)) == [(day, "a", 9.0), (day, "b", 4.0)]
+    path = str(tmp_path / "long")
+    st.upsert_long(path, ["version"])(batch, 0)
+    assert rows(sp.read_table(spark, path).select("twitter_ticker", "value")) == [("a", 1.0), ("b", 4.0)]
+
+
+def test_a_replacement_that_broke_off_is_made_again(spark, tmp_path):
+    columns = "date date, twitter_ticker string, value double"
+    day = dt.date(2024, 1, 2)
+    path = str(tmp_path / "long")
+    upsert = st.upsert_long(path)
+    upsert(spark.createDataFrame([(day, "a", 1.0), (day, "b", 2.0)], columns), 0)
+    change = spark.createDataFrame([(day, "a", 5.0)], columns)
+    upsert(change, 1)
+    whole = rows(sp.read_table(spark, path))
+    for file in (tmp_path / "long").glob("date=*/*.parquet"):  # the old rows are gone, the new not there
+        file.unlink()
+    upsert(change, 1)
+    assert rows(sp.read_table(spark, path)) == whole and len(whole) == 2
 
 
 def test_upsert_keeps_keys_and_untouched_days(spark, tmp_path):
@@ -55,8 +93,8 @@ def test_upsert_keeps_keys_and_untouched_days(spark, tmp_path):
     second = spark.createDataFrame([(days[1], "a", 5.0), (days[2], "c", 7.0)], columns)
     upsert(first, 0)
     keys = {r[:2]: r[3] for r in rows(sp.read_table(spark, str(tmp_path / "long")).select("date", "twitter_ticker", "value", "uuid"))}
-    for _ in range(2):
-        upsert(second, 1)
+    for batch_id in (1, 1, 2):
+        upsert(second, batch_id)
         found = sp.read_table(spark, str(tmp_path / "long")).select("date", "twitter_ticker", "value", "uuid")
         values = {r[:2]: r[2] for r in rows(found)}
         assert values == {

@@ -3,11 +3,13 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from postflow.operators import ingest as ig
 from postflow.operators import keys as ky
+from postflow.operators import prices as pr
 from postflow.schemas import POSTS, RAW_POSTS
 from postflow.sources import posts as sp
 from postflow.sources import sinks as sk
@@ -70,7 +72,47 @@ def test_posts_round_trip(spark, stored):
     assert rows(pruned.select("id")) == [(3,)]
     assert len(pruned.inputFiles()) <= 3
     plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(group" in plan.replace("group#", "group#") or "PartitionFilters: [" in plan
+    scan = next(line for line in plan.splitlines() if "PartitionFilters: [" in line)
+    filters = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "group#" in filters and "bucket#" in filters
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_any_number_of_buckets_is_read(spark, tmp_path, buckets):
+    data = [("g", f"u{i}", i, NOW, "", 0, 0, "", "", "", "", "", "t") for i in range(40)]
+    df, path = spark.createDataFrame(data, POSTS), str(tmp_path / "p")
+    sp.write_posts(df, path, buckets=buckets)
+    sp.write_posts(df, path)
+    assert sp.read_posts(spark, path, users=[f"u{i}" for i in range(40)]).count() == 80
+    assert sp.read_posts(spark, path, users=["u7"]).count() == 2
+
+
+def test_files_of_another_writer(spark, tmp_path):
+    names = [f for f in POSTS.fieldNames() if f not in ("group", "user")]
+    texts = ['he said "hi, there"\nand "left"', "plain", 'ends with a backslash \\', '"', ""]
+    frame = pd.DataFrame([[i, "2024-01-02 03:04:05", "u", 1, 2, "#a", "", "", "", "", t] for i, t in enumerate(texts)], columns=names)
+    frame.to_csv(tmp_path / "bob.csv", index=False)
+    found = sp.read_user_files(spark, str(tmp_path))
+    assert found.columns == ["user", *names]
+    assert [(r.user, r.id, r.text or "") for r in found.orderBy("id").collect()] == [("bob", i, t) for i, t in enumerate(texts)]
+    sk.write_csv(found.drop("user").coalesce(1), str(tmp_path / "out"))
+    again = pd.concat(pd.read_csv(f, keep_default_na=False) for f in (tmp_path / "out").glob("*.csv"))
+    assert sorted(again.text) == sorted(texts)
+
+
+def test_labels(spark):
+    dimension = spark.createDataFrame([("^A", "a"), ("^A", "z"), ("^B", ""), ("^C", None), ("^D", "z")], "ticker_name string, ticker_label string")
+    labels = pr.ticker_labels(dimension)
+    assert labels == {"^A": "z", "^D": "z"}
+    prices = spark.createDataFrame([(NOW.date(), "^A", 1.0), (NOW.date(), "^D", 3.0)], "date date, ticker_name string, close double")
+    assert rows(pr.price_wide(prices, labels)) == [(NOW.date(), 2.0)]
+
+
+def test_daily_close_sorts_nothing(spark):
+    bars = spark.createDataFrame([(NOW.date(), "a", NOW, 1, 2.0), (NOW.date(), "a", NOW, 2, 5.0)], "date date, ticker_name string, ts timestamp_ntz, seq int, close double")
+    plain = pr.daily_close(bars)
+    assert "SortAggregate" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert rows(pr.daily_close(bars, ["ts", "seq"])) == [(NOW.date(), "a", 5.0)]
 
 
 def test_user_files(spark, tmp_path):
@@ -159,7 +201,7 @@ def test_items_and_sinks(spark, tmp_path):
 def test_csv_stage_table_and_view(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"])], "id int, t array<string>")
     sk.write_csv(df, str(tmp_path / "c"))
-    assert rows(spark.read.option("header", True).csv(str(tmp_path / "c"))) == [("1", '["a","b"]')]
+    assert rows(spark.read.options(**sp.CSV).csv(str(tmp_path / "c"))) == [("1", '["a","b"]')]
     assert rows(sk.write_stage(df, str(tmp_path / "s"))) == [(1, ["a", "b"])]
     assert rows(sp.read_table(spark, str(tmp_path / "s"))) == [(1, ["a", "b"])]
     sk.register(df, "posts_view")
