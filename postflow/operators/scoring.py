@@ -86,7 +86,9 @@ def chain_table(
     posts = df.agg(F.count(F.lit(1))).scalar()
     of, frequency = F.col("of"), F.col("times")
     if smoothing:
-        of = of + count_terms(df, F.col(tokens)).agg(F.count("term")).scalar()
+        # The heads of bigrams are the vocabulary; for longer grams the words are counted.
+        own = heads.filter(~F.col("head").startswith(GLUE)) if n == 2 else count_terms(df, F.col(tokens))
+        of = of + own.agg(F.count(F.lit(1))).scalar()
         frequency = frequency + 1
     # A word may head a large part of all bigrams, so heads are looked up like any frequent term.
     divisors = heads.select(

@@ -1,8 +1,7 @@
 """M1-M4, M7: term weights, word vectors, clusters and principal components.
 
 The iterative models come with Spark.  What they keep on the driver does not grow with the number
-of posts: cluster centres, a covariance matrix, and for word vectors the vocabulary, which is
-checked against a limit.
+of posts: cluster centres, a covariance matrix, and for word vectors those of the vocabulary.
 """
 
 from collections.abc import Sequence
@@ -13,13 +12,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postflow.operators.ngrams import count_terms
 from postflow.operators.skew import lookup
 from postflow.session import materialise
 
-#: The largest vocabulary whose vectors a driver is asked to hold.
-MAX_VOCABULARY = 2_000_000
-
 
 def tf_idf(df: DataFrame, key: Sequence[str], tokens: str = "stem_tokens") -> DataFrame:
     """M7: (key.., term, frequency, tf_idf) with ``idf = ln((posts + 1) / (posts with term + 1))``."""
@@ -40,15 +35,16 @@ def tf_idf(df: DataFrame, key: Sequence[str], tokens: str = "stem_tokens") -> Da
 
 def word_vectors(
     df: DataFrame, tokens: str = "stem_tokens", size: int = 100, min_count: int = 1, seed: int = 0,
-    iterations: int = 1,
+    iterations: int = 1, partitions: int | None = None,
 ) -> DataFrame:
-    """M1: (word, vector).  A vocabulary that is too large raises; raise ``min_count`` then."""
-    counts = count_terms(df, F.col(tokens)).filter(F.col("frequency") >= min_count)
-    words = counts.agg(F.count(F.lit(1))).first()[0]
-    if words > MAX_VOCABULARY:
-        raise ValueError(f"{words} words: raise min_count to get at most {MAX_VOCABULARY}")
+    """M1: (word, vector) of the words that occur ``min_count`` times.
+
+    Training runs in ``partitions`` tasks, one per core when None, whose vectors are averaged after each
+    iteration.  The driver holds two vectors per word: raise ``min_count`` for a very large vocabulary.
+    """
     model = Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations,
+        numPartitions=partitions or df.sparkSession.sparkContext.defaultParallelism,
         inputCol=tokens, outputCol="vector",
     ).fit(df.select(tokens))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
@@ -58,11 +54,17 @@ def _features(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def hard_clusters(df: DataFrame, vector: str, k: int, seed: int = 0) -> DataFrame:
-    """M2: add the number of the nearest of ``k`` centres as ``cluster``."""
+def hard_clusters(
+    df: DataFrame, vector: str, k: int, seed: int = 0, centers: str | None = None
+) -> DataFrame:
+    """M2: add the number of the nearest of ``k`` centres as ``cluster``, and with a name all ``centers``."""
     rows = _features(df, vector)
     model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(rows)
-    return model.transform(rows).drop("_features")
+    found = model.transform(rows).drop("_features")
+    if centers is None:
+        return found
+    points = [F.array(*[F.lit(float(x)) for x in center]) for center in model.clusterCenters()]
+    return found.withColumn(centers, F.array(*points))
 
 
 def soft_clusters(df: DataFrame, vector: str, k: int, seed: int = 0) -> DataFrame:

@@ -1,16 +1,59 @@
-"""The queries as DuckDB SQL over the same tables, written independently of the Spark plans."""
-
-from postflow.functions.text import (
-    EMOJI,
-    ENGLISH_STOP_WORDS,
-    LETTER_FOLDS,
-    SPACE,
-    WORD,
-    stop_list,
-    word_runs,
-)
+"""The queries as DuckDB SQL over the same tables.
+
+Classes, patterns and word lists are spelled out here once more, and the emoji properties are taken from
+another source, so that an error in those of the Spark queries shows.
+"""
+
+import regex
+
 from postflow.plans.tables import EMOJI_SAMPLES, EVENT_TYPES, LABELS
 
+WORD = r"\p{L}\p{N}_"
+SPACE = r"\x09-\x0D\x1C-\x1F\x20\x{85}\p{Z}"
+
+# The English stop words.
+ENGLISH_STOP_WORDS = """
+i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves
+he him his himself she she's her hers herself it it's its itself they them their theirs themselves
+what which who whom this that that'll these those am is are was were be been being have has had
+having do does did doing a an the and but if or because as until while of at by for with about
+against between into through during before after above below to from up down in out on off over
+under again further then once here there when where why how all any both each few more most other
+some such no nor not only own same so than too very s t can will just don don't should should've
+now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn doesn't hadn hadn't hasn
+hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn
+shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
+""".split()
+STOP_WORDS = sorted(
+    {*ENGLISH_STOP_WORDS, *"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    | {"twitter", "birds", "lists", "list", "source", "am", "pm", "nan"}
+)
+
+# Letters that carry no separable accent.
+LETTER_FOLDS = {"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th"}
+
+
+def word_runs(words) -> list[str]:
+    """What is left of words that are cut at apostrophes."""
+    return sorted({run for word in words for run in word.lower().split("'") if run})
+
+
+def _property(expression: str) -> str:
+    """The code points beyond ASCII with a Unicode property, as the inside of a character class."""
+    points = "".join(chr(p) for p in range(0x80, 0x20000) if not 0xD800 <= p < 0xE000)
+    found = [m.span() for m in regex.finditer(f"(?:{expression})+", points)]
+    return "".join(rf"\x{{{ord(points[a]):X}}}-\x{{{ord(points[b - 1]):X}}}" for a, b in found)
+
+
+_SHOWN = _property(r"(?=\p{Emoji_Presentation})[^\p{Regional_Indicator}]")
+_ASKED = _property(r"(?=\p{Emoji})[^\p{Emoji_Presentation}]")
+_SKIN = r"\x{1F3FB}-\x{1F3FF}"
+_TAIL = rf"[\x{{FE0F}}{_SKIN}]*[\x{{E0020}}-\x{{E007F}}]*"
+EMOJI = (
+    r"[\x{1F1E6}-\x{1F1FF}][\x{1F1E6}-\x{1F1FF}]|[#*0-9]\x{FE0F}?\x{20E3}"
+    rf"|(?:[{_SHOWN}]|[{_ASKED}][\x{{FE0F}}{_SKIN}]){_TAIL}(?:\x{{200D}}[{_SHOWN}{_ASKED}]{_TAIL})*"
+)
+
 _RUNS = rf"[{WORD}]+|[^{WORD}]+"
 _ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 _LOCAL = "CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE)"
@@ -59,7 +102,7 @@ def _tokens(source: str, key: str, text: str) -> str:
     """CTEs ending in ``toks`` with (key, t)."""
     return f"""
     s1 AS (SELECT {key}, {_noise(f"lower(coalesce({text}, ''))")} x FROM {source}),
-    s2 AS (SELECT {key}, {_without("x", stop_list())} x FROM s1),
+    s2 AS (SELECT {key}, {_without("x", STOP_WORDS)} x FROM s1),
     s3 AS (SELECT {key}, regexp_replace(x, '{EMOJI}', '', 'g') x FROM s2),
     s4 AS (SELECT {key}, {_no_accents(_no_punctuation("x"))} x FROM s3),
     s5 AS (SELECT {key}, {_without("x", ENGLISH_STOP_WORDS)} x FROM s4),
@@ -79,11 +122,11 @@ _POSTS = f"""
         FROM events)"""
 
 _TEXT_POSTS = f"""{_POSTS},
-    text_posts AS (SELECT p."group", p."user", d.doc_id AS id, p.ts, p.favorite_count,
+    text_posts AS (SELECT p."group", p."user", p.id, p.ts, p.favorite_count, p.date,
         p.retweet_count, concat_ws(' ', d.text, '#' || p."group", '@' || p."user",
-        'https://x.example/' || d.doc_id,
-        ({_list(EMOJI_SAMPLES)})[CAST(d.doc_id % {len(EMOJI_SAMPLES)} AS INT) + 1]) AS text
-        FROM documents d JOIN posts p ON p.id = d.doc_id * 5)"""
+        'https://x.example/' || p.id,
+        ({_list(EMOJI_SAMPLES)})[CAST(p.id % {len(EMOJI_SAMPLES)} AS INT) + 1]) AS text
+        FROM posts p LEFT JOIN documents d ON p.id = d.doc_id)"""
 
 
 def _joined(c: str, pattern: str) -> str:
@@ -96,7 +139,7 @@ def _emoji_names() -> str:
     names = {
         char: unicodedata.name(char).lower()
         for char in dict.fromkeys("".join(EMOJI_SAMPLES))
-        if unicodedata.category(char) in ("So", "Sk", "Sm", "Po", "Nd")
+        if regex.match(r"[\p{Emoji}\p{Regional_Indicator}]", char)
     }
     case = " ".join(f"WHEN '{char}' THEN '{name}'" for char, name in names.items())
     chars = f"regexp_extract_all(array_to_string(regexp_extract_all(text, '{EMOJI}'), ''), '(?s).')"
@@ -238,6 +281,47 @@ _SPLIT = f"""{_POSTS},
     fresh AS (SELECT batch.* FROM batch LEFT JOIN marks USING ("group", "user")
               WHERE m IS NULL OR id > m)"""
 
+_PIPELINE = f"""{_TEXT_POSTS}, {_tokens("text_posts", "id", "text")},
+    w AS (SELECT id, unnest(t) word, generate_subscripts(t, 1) i FROM toks),
+    uni AS (SELECT word, count(*) c FROM w GROUP BY word),
+    v AS (SELECT count(*) v FROM uni), n AS (SELECT count(*) n FROM toks),
+    pairs AS (SELECT a.id, a.word w1, b.word w2 FROM w a JOIN w b ON a.id = b.id AND b.i = a.i + 1),
+    bi AS (SELECT w1, w2, count(*) c FROM pairs GROUP BY ALL),
+    firsts AS (SELECT t[1] word, count(*) c FROM toks WHERE len(t) > 0 GROUP BY 1),
+    lasts AS (SELECT t[-1] word, count(*) c FROM toks WHERE len(t) > 0 GROUP BY 1),
+    edges AS (SELECT id, ln(f.c / n) + ln(l.c / n) e FROM toks, n, firsts f, lasts l
+              WHERE len(t) > 1 AND f.word = t[1] AND l.word = t[-1]),
+    us AS (SELECT id, sum(ln(c / v)) s FROM w JOIN uni USING (word), v GROUP BY id),
+    bs AS (SELECT id, sum(ln(bi.c / uni.c)) b FROM pairs JOIN bi USING (w1, w2)
+           JOIN uni ON uni.word = w1 GROUP BY id),
+    logs AS (SELECT id, coalesce(s, 0) s, b + e AS b FROM toks LEFT JOIN us USING (id)
+             LEFT JOIN bs USING (id) LEFT JOIN edges USING (id)),
+    tops AS (SELECT max(s) s, max(b) b FROM logs),
+    powers AS (SELECT id, exp(logs.s - tops.s) u, coalesce(exp(logs.b - tops.b), 0) b FROM logs, tops),
+    scored AS (SELECT p.*, u / (SELECT sum(u) FROM powers) AS unigram,
+               b / (SELECT sum(b) FROM powers) AS bigram FROM text_posts p JOIN powers USING (id)),
+    marked AS (SELECT *, isodow(date) IN (6, 7, 1) AS inside, CASE WHEN isodow(date) IN (6, 7, 1)
+               THEN {_monday("date")} ELSE date END AS day FROM scored),
+    days AS (SELECT DISTINCT date AS day FROM marked WHERE NOT inside UNION
+             SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 7 DAYS)) AS DATE)
+             FROM marked WHERE inside),
+    totals AS (SELECT days.day, coalesce(sum(favorite_count), 0) AS favorite_count,
+               coalesce(sum(retweet_count), 0) AS retweet_count FROM days LEFT JOIN marked USING (day)
+               GROUP BY days.day),
+    {_PRICES.strip()},
+    features AS (SELECT * FROM prices JOIN totals ON day = date
+                 WHERE date < DATE '2024-02-01' AND date >= (SELECT min(date) FROM scored)),
+    scaled AS (SELECT date, {", ".join(
+        f"({c} - (SELECT min({c}) FROM features)) / nullif((SELECT max({c}) - min({c}) FROM features), 0) AS {c}"
+        for c in [*LABELS.values(), "favorite_count", "retweet_count"])} FROM features),
+    cells AS (SELECT f.date, u."user", coalesce(sum(unigram), 0) AS unigram, coalesce(sum(bigram), 0) AS bigram
+              FROM features f CROSS JOIN (SELECT DISTINCT "user" FROM scored) u
+              LEFT JOIN marked m ON m.day = f.date AND m."user" = u."user" GROUP BY ALL),
+    long AS (SELECT * FROM scaled UNPIVOT INCLUDE NULLS (value FOR twitter_ticker IN ({", ".join(
+        [*LABELS.values(), "favorite_count", "retweet_count"])}))
+        UNION ALL SELECT date, 'unigram_' || "user" AS twitter_ticker, unigram AS value FROM cells
+        UNION ALL SELECT date, 'bigram_' || "user" AS twitter_ticker, bigram AS value FROM cells)"""
+
 ORACLE = {
     # entities
     "hashtags": f"WITH {_TEXT_POSTS} SELECT id, {_joined('text', f'#[{WORD}]+')} AS hashtags FROM text_posts",
@@ -257,7 +341,7 @@ ORACLE = {
     # text
     "strip_noise": f"SELECT doc_id, md5({_noise('lower(text)')}) AS digest FROM documents",
     "strip_noise_spaced": f"SELECT doc_id, md5({_noise_spaced('lower(text)')}) AS digest FROM documents",
-    "drop_stop_words": f"SELECT doc_id, md5({_without('lower(text)', stop_list())}) AS digest FROM documents",
+    "drop_stop_words": f"SELECT doc_id, md5({_without('lower(text)', STOP_WORDS)}) AS digest FROM documents",
     "strip_emoji": f"""WITH {_TEXT_POSTS}
         SELECT id, md5(regexp_replace(text, '{EMOJI}', '', 'g')) AS digest FROM text_posts""",
     "fold_accents": f"""SELECT doc_id, md5({_no_accents(_no_punctuation('lower(text)'))}) AS digest
@@ -419,7 +503,36 @@ ORACLE = {
         {_joined('text', f'@[{WORD}]+')} AS usernames,
         {_joined('text', f'(?i)http[^{SPACE}]+|www[^{SPACE}]+')} AS links, md5(text) AS text
         FROM text_posts WHERE "group" <> 'view'""",
+    "stream_dedup": f"""WITH {_TEXT_POSTS} SELECT "group", "user", id, md5(text) AS text FROM text_posts
+        WHERE "group" <> 'view'""",
     "stream_upsert": f"""WITH {_TOTALS_LONG} SELECT {_DAY}, twitter_ticker,
         CASE WHEN long.date >= DATE '2024-01-10' THEN value * 2 ELSE value END AS value,
         {_uuid("CAST(long.date AS VARCHAR)")} AS uuid FROM long""",
+    "pipeline_long": f"""WITH {_PIPELINE} SELECT {_DAY}, twitter_ticker, round(value, 10) AS value,
+        {_uuid("CAST(long.date AS VARCHAR)")} AS uuid FROM long""",
+    # files, stages and tables
+    "user_files": "SELECT doc_id AS id, md5(text) AS text, n_chars AS favorite_count FROM documents",
+    "roster_files": f"""WITH {_ROSTER} SELECT "group", "user" FROM roster""",
+    "ticker_table": "SELECT * FROM (VALUES " + ", ".join(
+        f"('{t}', '{label}')" for t, label in LABELS.items()) + ") x(ticker_name, ticker_label)",
+    "stage_copy": f"WITH {_POSTS} SELECT {_DAY}, {_COUNT_SUMS} FROM posts GROUP BY posts.date",
+    "item_files": f"""WITH {_TOTALS_LONG} SELECT {_uuid("CAST(long.date AS VARCHAR)")} AS uuid_s,
+        CAST(date AS VARCHAR) AS date_s, twitter_ticker AS ticker_s, value AS value_n FROM long""",
+    "saved_table": "SELECT lang, count(*) AS documents FROM documents GROUP BY lang",
+    "sql_view": "SELECT source, max(n_chars) AS longest FROM documents GROUP BY source",
+    "scored_posts": f"""WITH {_BIGRAM_BASE},
+        s AS (SELECT doc_id, sum(ln(c / v)) s FROM w JOIN uni USING (word), v GROUP BY doc_id)
+        SELECT doc_id AS id, CAST(len(t) AS BIGINT) AS words, CAST(greatest(len(t) - 1, 0) AS BIGINT) AS bigrams,
+        CAST(greatest(len(t) - 4, 0) AS BIGINT) AS pentagrams, round(coalesce(s, 0), 4) AS unigram_logprob
+        FROM toks LEFT JOIN s USING (doc_id)""",
+    "unscored_left_out": f"WITH {_WORDS} SELECT doc_id FROM toks WHERE len(t) > 1",
+    "parsed_posts": f"""WITH {_TEXT_POSTS}, roster AS (SELECT DISTINCT "group", "user" FROM posts WHERE value >= 60)
+        SELECT "group", "user", id, md5(text) AS text FROM text_posts SEMI JOIN roster USING ("group", "user")
+        WHERE "group" <> 'view'""",
+    # models, by what must hold for each row
+    "word_vectors": f"WITH {_EXPLODED} SELECT DISTINCT word, 8 AS size FROM w",
+    "hard_clusters": "SELECT vec_id, TRUE AS nearest FROM embeddings",
+    "soft_clusters": "SELECT vec_id, 1.0::DOUBLE AS total, TRUE AS bounded FROM embeddings",
+    "principal_components": """SELECT round(sum(v), 6) AS variance FROM (SELECT var_samp(CAST(x AS DOUBLE)) v
+        FROM (SELECT unnest(embedding) x, generate_subscripts(embedding, 1) k FROM embeddings) GROUP BY k)""",
 }

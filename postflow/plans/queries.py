@@ -1,5 +1,8 @@
 """One query per operator, each over whole given tables.  Dates are returned as text."""
 
+import datetime
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +20,12 @@ from postflow.operators import scoring as sc
 from postflow.operators import vectors as ve
 from postflow.operators.tokens import clean_text, map_text
 from postflow.plans import tables as tb
-from postflow.plans.pipeline import Config, run
+from postflow.plans.pipeline import Config, parse, run
+from postflow.plans.pipeline import scored_posts as attach_scores
+from postflow.schemas import POSTS
 from postflow.session import materialise, shared_dir, spread
 from postflow.sources import posts as sp
-from postflow.sources.sinks import to_items
+from postflow.sources.sinks import register, save_table, to_items, write_csv, write_items, write_stage
 from postflow.streaming import posts as st
 
 KEY = ["doc_id"]
@@ -351,27 +356,36 @@ def _vectors(spark, folder):
     return tb.table(spark, folder, "embeddings").select("vec_id", "embedding")
 
 
+def _squared(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
 @query
 def hard_clusters(spark, folder):
-    """M2"""
-    clusters = ve.hard_clusters(_vectors(spark, folder), "embedding", 5)
-    return clusters.select("vec_id", "cluster")
+    """M2: whether no other centre is nearer than a vector's own"""
+    clusters = ve.hard_clusters(_vectors(spark, folder), "embedding", 5, centers="centers")
+    away = F.transform("centers", lambda c: _squared(F.col("embedding").cast("array<double>"), c))
+    return clusters.select("vec_id", (F.get(away, F.col("cluster")) <= F.array_min(away) + 1e-9).alias("nearest"))
 
 
 @query
 def soft_clusters(spark, folder):
-    """M4"""
+    """M4: the sum of a vector's degrees, and whether each is between 0 and 1"""
     near = ve.principal_components(_vectors(spark, folder), "embedding", 3)
     degrees = ve.soft_clusters(near, "components", 3)
     total = F.aggregate("membership", F.lit(0.0), lambda total, degree: total + degree)
-    return degrees.select("vec_id", F.round(total, 6).alias("total"))
+    bounded = F.forall("membership", lambda degree: (degree >= 0) & (degree <= 1 + 1e-9))
+    return degrees.select("vec_id", F.round(total, 6).alias("total"), bounded.alias("bounded"))
 
 
 @query
 def principal_components(spark, folder):
-    """M3"""
-    found = ve.principal_components(_vectors(spark, folder), "embedding", 2)
-    return found.select("vec_id", F.size("components").alias("size"))
+    """M3: all components together have the variance of the vectors"""
+    vectors = _vectors(spark, folder)
+    size = F.size("embedding")
+    found = ve.principal_components(vectors, "embedding", vectors.agg(F.max(size)).first()[0])
+    parts = found.select(F.posexplode("components").alias("k", "x")).groupBy("k").agg(F.var_samp("x").alias("v"))
+    return parts.agg(F.round(F.sum("v"), 6).alias("variance"))
 
 
 @query
@@ -684,10 +698,25 @@ def distinct_posts(spark, folder):
 # --- whole runs ----------------------------------------------------------------------------------
 
 
+def _root(spark, name) -> str:
+    return f"{shared_dir(spark)}/postflow/{name}-{uuid.uuid4().hex}"
+
+
+def _landed(spark, folder) -> str:
+    """A landing zone of JSON files in which every post has arrived twice, and each of one group
+    once more under an id that is none."""
+    root = _root(spark, "stream")
+    raw = tb.raw_posts(spark, folder)
+    raw = raw.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    bad = raw.filter("group = 'click'").withColumn("id_str", F.concat(F.lit("n/a "), "id_str"))
+    raw.unionByName(raw).unionByName(bad).write.json(f"{root}/raw")
+    return root
+
+
 @query
 def stream_ingest(spark, folder):
-    """Land the raw posts twice, ingest them as a stream and read the result"""
-    root = materialise_raw(spark, folder)
+    """Land the raw posts twice, with bad ids among them, ingest them as a stream and read the result"""
+    root = _landed(spark, folder)
     st.stream_posts(
         spark, f"{root}/raw", f"{root}/posts", f"{root}/checkpoint", files_per_batch=40
     ).awaitTermination()
@@ -698,37 +727,129 @@ def stream_ingest(spark, folder):
     )
 
 
-def materialise_raw(spark, folder) -> str:
-    """A landing zone of JSON files in which every post has arrived twice."""
-    root = f"{shared_dir(spark)}/postflow/stream-{pd.Timestamp.now().value}"
-    raw = tb.raw_posts(spark, folder)
-    raw = raw.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    raw.unionByName(raw).write.json(f"{root}/raw")
-    return root
+@query
+def stream_dedup(spark, folder):
+    """The same landing zone, its repeats found in the state of the stream, within a watermark"""
+    root = _landed(spark, folder)
+    st.stream_posts(
+        spark, f"{root}/raw", f"{root}/posts", f"{root}/checkpoint", delay="60 days"
+    ).awaitTermination()
+    return sp.read_posts(spark, f"{root}/posts").select("group", "user", "id", _digest("text").alias("text"))
 
 
 @query
 def stream_upsert(spark, folder):
-    """I4: the long table kept up to date by a stream over two landed versions of it"""
-    root = f"{shared_dir(spark)}/postflow/upsert-{pd.Timestamp.now().value}"
-    long = ky.to_long(dy.daily_totals(tb.event_posts(spark, folder)))
-    early = long.filter(F.col("date") < F.lit("2024-01-20").cast("date"))
+    """I4: the long table kept up to date by a stream; a batch holds two versions of many rows"""
+    root = _root(spark, "upsert")
+    long = ky.to_long(dy.daily_totals(tb.event_posts(spark, folder))).withColumn("version", F.lit(1))
     later = long.filter(F.col("date") >= F.lit("2024-01-10").cast("date"))
-    later = later.withColumn("value", F.col("value") * 2)
-    for version in (early, later):
-        version.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    wrong = later.withColumns({"value": F.col("value") * 9, "version": F.lit(2)})
+    later = later.withColumns({"value": F.col("value") * 2, "version": F.lit(3)})
+    for landing in (long.filter(F.col("date") < F.lit("2024-01-20").cast("date")), later.unionByName(long).unionByName(wrong)):
+        landing.write.mode("append").parquet(f"{root}/landed")
         landed = spark.readStream.schema(long.schema).parquet(f"{root}/landed")
-        st.stream_long(landed, f"{root}/long", f"{root}/checkpoint").awaitTermination()
+        st.stream_long(landed, f"{root}/long", f"{root}/checkpoint", order=["version"]).awaitTermination()
     return _dated(sp.read_table(spark, f"{root}/long").select("date", "twitter_ticker", "value", "uuid"))
 
 
+@query
+def parsed_posts(spark, folder):
+    """The parse stage on raw records with bad ids among them"""
+    raw = tb.raw_posts(spark, folder)
+    bad = raw.withColumn("id_str", F.concat(F.lit("n/a "), "id_str"))
+    posts, _ = parse(raw.unionByName(bad), ig.roster_long(tb.wide_roster(spark, folder)))
+    return posts.select("group", "user", "id", _digest("text").alias("text"))
+
+
 @query
 def pipeline_long(spark, folder):
-    """The four stages, from posts and prices to the keyed long table"""
-    config = Config(
-        labels=tb.LABELS, users=None, target="px_view", today=pd.Timestamp("2024-02-01").date()
-    )
+    """The stages after parsing, from posts and prices of all users to the keyed long table"""
+    config = Config(labels=tb.LABELS, target="px_view", today=datetime.date(2024, 2, 1), stems=False)
     posts = tb.text_posts(spark, folder).drop("date")
-    posts = posts.withColumn("user", F.col("group"))
-    stages = run(posts, tb.bars(spark, folder), config)
-    return _round_doubles(stages.long)
+    return _round_doubles(run(posts, tb.bars(spark, folder), config).long, 10)
+
+
+# --- files, stages and tables --------------------------------------------------------------------
+
+
+@query
+def user_files(spark, folder):
+    """All documents written as a user's CSV and read back"""
+    docs = tb.documents(spark, folder).join(tb.table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
+    columns = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in POSTS if f.name not in ("group", "user")}
+    columns |= {"id": F.col("doc_id").alias("id"), "text": F.col("text"), "favorite_count": F.col("n_chars").alias("favorite_count")}
+    path = f"{_root(spark, 'users')}/posts"
+    write_csv(docs.select(*columns.values()), path)
+    return sp.read_user_files(spark, path).select("id", _digest("text").alias("text"), "favorite_count")
+
+
+@query
+def roster_files(spark, folder):
+    """The wide roster as a CSV file"""
+    path = f"{_root(spark, 'roster')}/roster"
+    write_csv(tb.wide_roster(spark, folder), path)
+    return ig.roster_long(sp.read_roster(spark, path))
+
+
+@query
+def ticker_table(spark, folder):
+    """The symbols of the events with their labels, stored and read as a dimension"""
+    named = tb.bars(spark, folder).select("ticker_name").distinct()
+    rows = named.select("ticker_name", F.concat(F.lit("px_"), "ticker_name").alias("ticker_label"))
+    stored = write_stage(rows, f"{_root(spark, 'tickers')}/tickers")
+    return spark.createDataFrame(list(pr.ticker_labels(stored).items()), "ticker_name string, ticker_label string")
+
+
+@query
+def stage_copy(spark, folder):
+    """K3: a stage is stored, and the run goes on from the copy"""
+    totals = dy.daily_totals(tb.event_posts(spark, folder))
+    return _dated(write_stage(totals, f"{_root(spark, 'stage')}/totals"))
+
+
+@query
+def item_files(spark, folder):
+    """K4, L3: items written as JSON lines"""
+    path = f"{_root(spark, 'items')}/items"
+    totals = ky.to_long(dy.daily_totals(tb.event_posts(spark, folder)))
+    encoded = to_items(ky.with_keys(totals))
+    write_items(encoded, path)
+    found = spark.read.schema(encoded.schema).json(path)
+    return found.select(
+        F.col("uuid.S").alias("uuid_s"), F.col("date.S").alias("date_s"), F.col("twitter_ticker.S").alias("ticker_s"),
+        F.col("value.N").cast("double").alias("value_n"),
+    )
+
+
+@query
+def saved_table(spark, folder):
+    """K5: a managed table, read back with SQL"""
+    name = f"postflow_documents_{uuid.uuid4().hex}"
+    save_table(tb.table(spark, folder, "documents").select("doc_id", "lang"), name)
+    return spark.sql(f"SELECT lang, count(*) AS documents FROM {name} GROUP BY lang")
+
+
+@query
+def sql_view(spark, folder):
+    """K6"""
+    register(tb.table(spark, folder, "documents"), "postflow_view")
+    return spark.sql("SELECT source, max(n_chars) AS longest FROM postflow_view GROUP BY source")
+
+
+@query
+def scored_posts(spark, folder):
+    """Posts with their words, grams and scores in one table, without the row key"""
+    words = _words(spark, folder).withColumnsRenamed({"doc_id": "id", "tokens": "stem_tokens"})
+    tokens = materialise(words.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
+    full = attach_scores(tokens, materialise(sc.post_scores(tokens, ["row_id"]), "scores"))
+    return full.select(
+        "id", F.size("stem_tokens").cast("long").alias("words"), F.size("bigram_sentence").cast("long").alias("bigrams"),
+        F.size("pentagram_sentence").cast("long").alias("pentagrams"), F.round("unigram_logprob", 4).alias("unigram_logprob"),
+    )
+
+
+@query
+def unscored_left_out(spark, folder):
+    """F10"""
+    scores = sc.bigram_score(_stored_words(spark, folder), KEY, "tokens")
+    return sc.drop_unscored(scores, ["bigram_logprob"]).select("doc_id")
