@@ -5,7 +5,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.functions.text import EMOJI, EMOJI_BY_DEFAULT, EMOJI_IF_ASKED, SPACE, WORD
+from postflow.functions.text import EMOJI_AHEAD, EMOJI_BY_DEFAULT, EMOJI_IF_ASKED, SPACE, WORD
 
 # The patterns of tags, mentions and links.
 HASHTAG = rf"#[{WORD}]+"
@@ -34,7 +34,7 @@ def links(c) -> Column:
 
 def emoji(c) -> Column:
     """T4: every emoji sequence, joined with a space."""
-    return F.array_join(_find_all(c, EMOJI), " ")
+    return F.array_join(_find_all(c, EMOJI_AHEAD), " ")
 
 
 def _named_code_points() -> str:
@@ -53,7 +53,7 @@ def emoji_names(c) -> Column:
     Joiners, variation selectors and other code points without a visible shape have no name.
     """
     names = F.str_to_map(F.lit(_named_code_points()), F.lit("\x1e"), F.lit("\x1f"))
-    chars = F.flatten(F.transform(_find_all(c, EMOJI), lambda found: F.split(found, "")))
+    chars = F.flatten(F.transform(_find_all(c, EMOJI_AHEAD), lambda found: F.split(found, "")))
     return F.array_join(F.transform(chars, lambda ch: F.try_element_at(names, ch)), " ")
 
 

@@ -26,6 +26,13 @@ def test_entities(spark):
     assert values(df, "links") == ["http://x.y/#z", "", None, "WWW.x"]
 
 
+def test_which_symbols_are_emoji(spark):
+    found = "⏰ ⌚ ⬛ 🆕 🆗 🀄 ⭕ ❤️ ☝🏽 🏳️‍🌈 ©️ 👩‍❤‍👨"
+    df = texts(spark, f"★ ♪ ✓ ➜ {found} ☀ © 1 #")
+    assert values(df.withColumn("e", en.emoji("text")), "e") == [found]
+    assert values(df.withColumn("t", tx.strip_emoji(F.col("text"))), "t")[0].split() == "★ ♪ ✓ ➜ ☀ © 1 #".split()
+
+
 def test_emoji_and_names(spark):
     df = en.with_entities(texts(spark, "hi 👍🏽 ok ❤️ 👩‍💻 🇫🇷 end", "1️⃣ and 1"))
     assert values(df, "emojis") == ["👍🏽 ❤️ 👩‍💻 🇫🇷", "1️⃣"]
