@@ -240,26 +240,39 @@ def _linked(reps: DataFrame, cosine: float) -> DataFrame:
         "cells",
     )
     stats = {r["cell"]: (r["radius"], r["n"]) for r in dealt.groupBy("cell").agg(F.max("away").alias("radius"), F.count("cell").alias("n")).collect()}
-    reach = np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
     cells = sorted(stats)
     blocks = {c: -(-stats[c][1] // BLOCK) for c in cells}
-    spots: list[tuple] = []
-    number = 0
-    for k, x in enumerate(cells):
-        for y in cells[k:]:
-            if len(centers) and np.linalg.norm(centers[x] - centers[y]) > stats[x][0] + stats[y][0] + reach:
-                continue
-            for i in range(blocks[x]):
-                for j in range(i if x == y else 0, blocks[y]):
-                    if x == y and i == j:
-                        spots.append((x, i, number, 2))
-                    else:
-                        spots += [(x, i, number, 0), (y, j, number, 1)]
-                    number += 1
-    places = spark.createDataFrame(spots, "cell long, block long, pair long, side int")
+    near = [(x, y, blocks[x], blocks[y]) for x, y in _near_cells(centers, {c: stats[c][0] for c in cells}, cosine)]
+    pairs = spark.createDataFrame(near, "x long, y long, x_blocks int, y_blocks int")
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)))
+    pairs = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
+    pairs = pairs.filter("x != y or i <= j")
+
+    def side(cell, block, number):
+        return F.struct(F.col(cell).alias("cell"), F.col(block).cast("long").alias("block"), F.lit(number).alias("side"))
+
+    alone = F.array(side("x", "i", 2))
+    both = F.array(side("x", "i", 0), side("y", "j", 1))
+    places = pairs.select(
+        "x", "y", "i", "j", F.inline(F.when(F.expr("x = y and i = j"), alone).otherwise(both))
+    )
     many = F.create_map(*[F.lit(v) for c in cells for v in (c, blocks[c])])
     blocked = dealt.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), many[F.col("cell")].cast("long")))
     return (
-        blocked.join(places, ["cell", "block"]).select("pair", "embedding", "rep", "copies", "side")
-        .groupBy("pair").applyInArrow(_links(cosine), "rep long, links long, root long")
+        blocked.join(places, ["cell", "block"]).select("x", "y", "i", "j", "embedding", "rep", "copies", "side")
+        .groupBy("x", "y", "i", "j").applyInArrow(_links(cosine), "rep long, links long, root long")
     )
+
+
+def _near_cells(centers: np.ndarray, radius: dict[int, float], cosine: float) -> list[tuple[int, int]]:
+    """The pairs x <= y of cells that can hold a link, by their covering radii."""
+    cells = np.array(sorted(radius))
+    if not len(centers):
+        return [(int(c), int(c)) for c in cells]
+    reach = np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
+    radii = np.array([radius[c] for c in cells.tolist()])
+    out = []
+    for k, c in enumerate(cells.tolist()):
+        away = _distance(centers[cells[k:]], centers[c])
+        out += [(c, int(d)) for d in cells[k:][away <= radii[k] + radii[k:] + reach]]
+    return out
