@@ -1,4 +1,4 @@
-"""The registered queries of the training-data operators, and SQL for those that have it."""
+"""The registered queries of the training-data operators; SQL for those that have it is in ``oracle``."""
 
 import uuid
 
@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from postflow.llm import bpe, covertree, decontaminate, langid, lm, minhash, suffixes, tokenfiles, trees, urls
+from postflow.llm.oracle import ORACLE as ORACLE
 from postflow.session import materialise, shared_dir
 
 #: Fixed by the query's contract.
@@ -94,5 +95,3 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
 }
-
-ORACLE: dict[str, str] = {}
