@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 def ticker_labels(tickers: DataFrame) -> dict[str, str]:
     """The symbol-to-label dimension, which names columns and so belongs to the driver.
 
-    A symbol listed twice takes the label that sorts last; a blank label leaves the symbol out.
+    A symbol listed twice takes the label that sorts last; one without a label has a blank one.
     """
     rows = tickers.select("ticker_name", "ticker_label").na.fill("").distinct()
-    pairs = sorted((row.ticker_name, row.ticker_label) for row in rows.collect())
-    return {name: label for name, label in pairs if label.strip()}
+    return dict(sorted((row.ticker_name, row.ticker_label) for row in rows.collect()))
 
 
 def daily_close(bars: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
@@ -48,12 +47,13 @@ def label_tickers(prices: DataFrame, labels: Mapping[str, str]) -> DataFrame:
 def price_wide(prices: DataFrame, labels: Mapping[str, str], fill=0.0) -> DataFrame:
     """One column per ticker label; a missing price becomes ``fill``.
 
-    Symbols that share a label share its column, which has their mean price.
+    Symbols that share a label share its column, which has their mean price; a blank label names none.
     """
+    named = {symbol: label for symbol, label in labels.items() if label.strip()}
     wide = (
-        label_tickers(prices, labels)
+        label_tickers(prices, named)
         .groupBy("date")
-        .pivot("ticker_label", sorted(set(labels.values()), key=list(labels.values()).index))
+        .pivot("ticker_label", list(dict.fromkeys(named.values())))
         .agg(F.avg("close"))
     )
     return wide if fill is None else wide.na.fill(fill)

@@ -159,7 +159,7 @@ def condition(scored: DataFrame, bars: DataFrame, config: Config) -> dict[str, D
     prices = pr.price_wide(closes, config.labels)
     features = materialise(ft.build_features(prices, rolled), "features")
 
-    scaled = [*dict.fromkeys(config.labels.values()), *dy.COUNTS]
+    scaled = [*dict.fromkeys(label for label in config.labels.values() if label.strip()), *dy.COUNTS]
     normalized = ft.normalize_columns(features, scaled)
     if config.target in features.columns:
         target = ft.with_target(features, config.target_days, config.target).select("date", "y")

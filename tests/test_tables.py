@@ -103,7 +103,7 @@ def test_files_of_another_writer(spark, tmp_path):
 def test_labels(spark):
     dimension = spark.createDataFrame([("^A", "a"), ("^A", "z"), ("^B", ""), ("^C", None), ("^D", "z")], "ticker_name string, ticker_label string")
     labels = pr.ticker_labels(dimension)
-    assert labels == {"^A": "z", "^D": "z"}
+    assert labels == {"^A": "z", "^B": "", "^C": "", "^D": "z"}
     prices = spark.createDataFrame([(NOW.date(), "^A", 1.0), (NOW.date(), "^D", 3.0)], "date date, ticker_name string, close double")
     assert rows(pr.price_wide(prices, labels)) == [(NOW.date(), 2.0)]
 
