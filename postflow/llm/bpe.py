@@ -9,7 +9,6 @@ the rows of one matrix; pieces that come again are remembered, within a bound.
 """
 
 import base64
-import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from postflow.llm.text import column, slices
+from postflow.llm.text import column, kept, slices
 
 #: Pieces remembered by a worker (twice as many at most), and the longest of them in bytes.
 MEMO_PIECES = 400_000
@@ -84,9 +83,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-@functools.cache
 def _coder(path: str, pattern: str) -> "Coder":
-    return Coder(path, pattern)
+    return kept(f"coder {path} {pattern}", lambda: Coder(path, pattern))
 
 
 class Coder:

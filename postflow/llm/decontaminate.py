@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +93,8 @@ def build_index(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 def _narrowed(index: DataFrame, vocabulary: set[str]) -> DataFrame:
     """The index with the postings of ``vocabulary`` only; rows that tell the documents stay."""
-    buckets = sorted({xxhash.xxh3_64_intdigest(t) % BUCKETS for t in vocabulary})
+    hashed = tx.hashes(pa.array(sorted(vocabulary), pa.string()))
+    buckets = sorted({int(h) for h in hashed % np.uint64(BUCKETS)})
 
     def narrow(batches):
         for batch in batches:

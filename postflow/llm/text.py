@@ -1,12 +1,13 @@
 """Texts of an Arrow batch as arrays of word codes, without a Python object per word."""
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 16 << 20
@@ -21,6 +22,17 @@ ALNUM = bytes(
 )
 
 
+def kept(name: str, make: Callable):
+    """What ``make()`` gave when first asked for in this Python worker.
+
+    Code travels with every task, so a module's own variables don't outlast a task; this does.
+    """
+    store = sys.modules.setdefault("_postflow_kept", types.ModuleType("_postflow_kept")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 class Words(NamedTuple):
     """``codes[offsets[i]:offsets[i + 1]]`` are the words of text i, as places in ``terms``."""
 
@@ -90,11 +102,6 @@ def words(texts: pa.Array, mapping: bytes = SAME) -> Words:
     return Words(starts, codes, coded.dictionary)
 
 
-def hashes(terms: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each term."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, terms.to_pylist()), np.uint64, len(terms))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads all bits of 64-bit integers over all bits, one to one."""
     x = x ^ (x >> np.uint64(31))
@@ -105,3 +112,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ordered pair."""
     return mixed(left * np.uint64(0xD6E8FEB86659FD93) + right)
+
+
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def hashes(terms: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each term: the sum of a random number for every byte at its place."""
+    offsets, data = raw(terms)
+    lengths = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], lengths)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mixed(_BYTES[data] + place.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)), out=total[1:])
+    return mixed(total[offsets[1:]] - total[offsets[:-1]] + lengths.astype(np.uint64))

@@ -38,3 +38,11 @@ def test_slices_keep_rows_and_bounds():
 def test_vbyte(values):
     found = vbyte.decode(*vbyte.encode(np.array(values, np.uint32)))
     assert found[: len(values)].tolist() == values and not found[len(values) :].any()
+
+
+def test_hashes_tell_terms_apart():
+    terms = sorted({f"{a}{b}" for a in ("", "a", "é", "x" * 70, "aa") for b in range(3000)} | {"", "a", "aa", "ab", "ba", "\x00", "\x00\x00"})
+    found = tx.hashes(pa.array(terms, pa.large_string()))
+    assert len(set(found.tolist())) == len(terms)
+    assert (tx.hashes(pa.array(terms[5:], pa.string()).slice(3)) == found[8:]).all()
+    assert len(tx.hashes(pa.array([], pa.string()))) == 0
