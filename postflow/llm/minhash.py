@@ -8,9 +8,10 @@ which makes 128 samples for 8 draws a shingle; an empty bin takes that of the ne
 its own.  Five samples make a band, and documents that agree in one of 25 bands are candidates.
 
 The candidates of a band's bucket are not paired with each other.  All are compared with the one of
-smallest id by their exact weighted Jaccard similarity; those that are not linked with it elect a new one
-among them, until every bucket is used up.  So a bucket of n copies takes n comparisons, in any number
-of tasks, and a bucket of k classes takes k rounds.
+smallest id, their leader, by their exact weighted Jaccard similarity, and links become classes.  Those
+that are not of their leader's class elect eight leaders among them, then 64 in every round, until each
+bucket is used up.  So a bucket of n copies takes n comparisons, in any number of tasks, and one of k
+classes about k / 64 rounds.
 """
 
 import functools
@@ -31,6 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROUNDS, BINS = 8, 16
 BANDS, ROWS = 25, 5
+#: Leaders that a bucket elects at once when one and then eight have not settled it.
+MOST_LEADERS = 64
 #: A word gets an idf of its own if its documents are at least this share of all (document, word)
 #: pairs, so there are at most 50,000; rarer ones have the idf of a word just below.
 IDF_WORDS = 50_000
@@ -54,7 +57,7 @@ def word_idf(docs: DataFrame) -> Idf:
     """The idf of words, counted over all of ``docs`` (id, text)."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "text"):
+        for part in tx.slices(batches, "text", 8 << 20):
             found = tx.words(tx.column(part, "text"), tx.LOWER)
             if not len(found.terms):
                 continue
@@ -78,7 +81,7 @@ def word_idf(docs: DataFrame) -> Idf:
 
 
 class Shingles(NamedTuple):
-    """Distinct shingles of each text, ordered by text: row, hash, weight."""
+    """Distinct shingles of each text, in no order: row, hash, weight."""
 
     row: np.ndarray
     key: np.ndarray
@@ -93,25 +96,29 @@ def shingles(texts: pa.Array, idf: Idf, size: int = SHINGLE) -> Shingles:
     value = idf.of(word)[found.codes]
     word = word[found.codes]
     n = len(word)
-    if not n:
-        return Shingles(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))
-    key = np.zeros(n, np.uint64)
-    total = np.zeros(n)
-    reach = np.repeat(found.offsets[1:], lengths) - np.arange(n)  # words left in the text
-    for k in range(size):
-        inner = np.flatnonzero(reach > k)
-        key[inner] = tx.paired(key[inner], word[inner + k])
-        total[inner] += value[inner + k]
     row = np.repeat(np.arange(len(lengths)), lengths)
-    short = lengths[row] < size
-    first = np.arange(n) == found.offsets[:-1][row]
-    keep = (reach >= size) | (short & first)
-    row, key, value = row[keep], key[keep], total[keep] / np.minimum(size, lengths[row[keep]])
-    order = np.lexsort((key, row))
-    row, key, value = row[order], key[order], value[order]
+    # All runs of ``size`` words, those over the end of a text too, which then drop out.
+    at = np.arange(max(0, n - size + 1))
+    at = at[row[at] == row[at + size - 1]]
+    key, total = word[at], value[at]
+    for k in range(1, size):
+        key = tx.paired(key, word[at + k])
+        total += value[at + k]
+    row, weight = row[at], total / size
+    for short in np.flatnonzero((lengths > 0) & (lengths < size)).tolist():
+        own = slice(found.offsets[short], found.offsets[short + 1])
+        whole = word[own][0]
+        for other in word[own][1:]:
+            whole = tx.paired(np.array([whole]), np.array([other]))[0]
+        row, key = np.append(row, short), np.append(key, whole)
+        weight = np.append(weight, value[own].mean())
+    if not len(row):
+        return Shingles(row, key, weight)
+    order = np.argsort(tx.paired(key, row.astype(np.uint64)), kind="stable")
+    row, key, weight = row[order], key[order], weight[order]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
     count = np.diff(np.append(np.flatnonzero(new), len(row)))
-    return Shingles(row[new], key[new], value[new] * count)
+    return Shingles(row[new], key[new], weight[new] * count)
 
 
 @functools.cache
@@ -180,7 +187,7 @@ def _sketches(docs: DataFrame, idf: Idf) -> DataFrame:
     """(id, content, bands) of every row: a digest of its words in order, and its bands; null without words."""
 
     def sketch(batches):
-        for part in tx.slices(batches, "text", 8 << 20):
+        for part in tx.slices(batches, "text", 4 << 20):
             texts = tx.column(part, "text")
             found = shingles(texts, idf)
             has = np.bincount(found.row, minlength=len(part)) > 0
@@ -212,6 +219,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataF
     return pairs.join(own, "id").join(other, "leader").select("id", "leader", "text", "other").mapInArrow(check, "id long, leader long")
 
 
+def _classed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rows`` with the ``class`` of each id so far."""
+    return rows.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_copies, kept) of every row.
 
@@ -236,18 +248,24 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
     active = materialise(banded.join(shared, "band"), "buckets")
     texts = keyed.join(active.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = materialise(texts, "candidates")
-    links = None
+    links, joined, some = None, None, 1
     while not active.isEmpty():
-        leaders = active.groupBy("band").agg(F.min("id").alias("leader"))
-        led = active.join(leaders, "band").filter("id != leader").select("band", "id", "leader")
-        found = materialise(_linked(led.select("id", "leader").distinct(), texts, idf, least), "links")
+        # The smallest id of each of ``some`` parts of a bucket leads; parts are counted before the shuffle.
+        part = F.pmod(F.xxhash64("id"), F.lit(some))
+        leaders = active.groupBy("band", part.alias("part")).agg(F.min("id").alias("leader")).drop("part")
+        led = active.join(leaders, "band").filter("id != leader")
+        pairs = led.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
+        found = materialise(_linked(pairs, texts, idf, least), "links")
         links = found if links is None else links.unionByName(found)
-        active = materialise(led.join(found, ["id", "leader"], "left_anti").select("band", "id"), "buckets")
+        joined = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
+        settled = _classed(leaders.withColumnRenamed("leader", "id"), joined).select("band", "class").distinct()
+        rest = _classed(active, joined).join(settled, ["band", "class"], "left_anti")
+        active = materialise(rest.select("band", "id"), "buckets")
+        some = min(8 * some, MOST_LEADERS)
     classes = copies.select("content", "rep", "n_copies")
-    if links is None:
+    if joined is None:
         classes = classes.withColumn("component", F.col("rep"))
     else:
-        joined = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
         classes = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("content", "n_copies", F.coalesce("component", "rep").alias("class"))
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
