@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,44 +26,90 @@ from postflow.llm import vbyte
 
 MAGIC = b"PFT1"
 #: Bytes of control and data after which a file ends.
-FILE_BYTES = 4 << 20
-#: Words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+FILE_BYTES = 1 << 20
+#: Words whose ids a worker remembers, twice as many at most.
+MEMO_WORDS = 200_000
 
-_loaded: dict[str, tuple] = {}
 
+class Encoder:
+    """A tokenizer and the ids of words it has met, of late ones at least."""
 
-def _tokenizer(path):
-    """The tokenizer of a file and the memo of its words, once per worker."""
-    if path not in _loaded:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
-
-
-def _term_ids(terms: list[str], path: str) -> list[list[int]]:
-    tokenizer, memo = _tokenizer(path)
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    new = [t for t in terms if t not in memo]
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for term, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            memo[term] = np.array(found.ids, np.uint32).tobytes()
-    return [memo[t] for t in terms]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _encode(self, terms: list[str]) -> None:
+        """Add the ids of new terms to the memo.
+
+        A term of letters only is one word to the tokenizer, whose last id tells its end if there is an
+        end-of-word suffix.  Many such terms are encoded as one text; should the ends not be as many as the
+        terms, and for all other terms, each is encoded by itself.
+        """
+        memo, single = self.memo, terms
+        if self.ends.any():
+            plain = [t for t in terms if t.isalpha() and t.lower().isalpha()]
+            parts = [plain[at : at + 50] for at in range(0, len(plain), 50)]
+            single = list(set(terms).difference(plain))
+            for at in range(0, len(parts), 100):
+                texts = [" ".join(part) for part in parts[at : at + 100]]
+                found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+                for part, coded in zip(parts[at : at + 100], found):
+                    ids = np.array(coded.ids, np.uint32)
+                    ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                    if len(ends) != len(part) or ends[-1] != 4 * len(ids):
+                        single += part
+                        continue
+                    data, begin = ids.tobytes(), 0
+                    for term, end in zip(part, ends.tolist()):
+                        memo[term] = data[begin:end]
+                        begin = end
+        for at in range(0, len(single), 5_000):
+            part = single[at : at + 5_000]
+            for term, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                memo[term] = np.array(coded.ids, np.uint32).tobytes()
+
+    def __call__(self, terms: list[str]) -> list[bytes]:
+        """The ids of each term, as 32-bit integers."""
+        memo, older, new = self.memo, self.older, []
+        for term in terms:
+            if term not in memo:
+                found = older.get(term)
+                if found is None:
+                    new.append(term)
+                else:
+                    memo[term] = found
+        self._encode(new)
+        out = [memo[term] for term in terms]
+        if len(memo) > MEMO_WORDS:
+            self.older, self.memo = memo, {}
+        return out
 
 
 def encode_words(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of every text, for a tokenizer that never joins across ASCII white space.
 
-    Then a text's ids are those of its words, and each distinct word is encoded once.
+    Then a text's ids are those of its words, and each distinct word is encoded once.  The tokenizer is
+    also taken to lower-case and to part letters and digits from punctuation, so A-Z are lower-cased and
+    a blank is put before punctuation that follows a letter or digit; both leave the ids as they are and
+    make far fewer words distinct.  Where special tokens may be spelled out, words stay as they are.
     """
-    found = tx.words(texts)
-    coded = _term_ids(found.terms.to_pylist(), path)
+    if pc.any(pc.match_substring(texts, "<|")).as_py():
+        found = tx.words(texts)
+    else:
+        found = tx.words(pc.replace_substring_regex(texts, r"([A-Za-z0-9])([.,;:!?])", r"\1 \2"), tx.LOWER)
+    coded = tx.kept(f"encoder {path}", lambda: Encoder(path))(found.terms.to_pylist())
     flat = np.frombuffer(b"".join(coded), np.uint32)
     sizes = np.array([len(c) // 4 for c in coded], np.int64)
+    del coded
     begin = np.cumsum(sizes) - sizes
     counts = sizes[found.codes]
     ends = np.concatenate([[0], np.cumsum(counts)])
@@ -79,7 +126,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int, doc_id="doc_id", text="te
     """
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "text", 8 << 20):
+        for part in tx.slices(batches, "text", 4 << 20):
             offsets, flat = encode_words(tx.column(part, "text"), path)
             end = np.array([end_id], "<u4").tobytes()
             out = [flat[a:b].tobytes() + end for a, b in zip(offsets[:-1], offsets[1:])]

@@ -36,8 +36,8 @@ def decode(control: bytes, data: bytes) -> np.ndarray:
     body = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(1, np.uint8)])
     out = np.empty((len(codes), 16), np.uint8)
     begin = np.cumsum(_TOTAL[codes]) - _TOTAL[codes] if len(codes) else np.zeros(0, np.int64)
-    for low in range(0, len(codes), 1 << 18):  # a few MB of places at a time
-        places = _PLACES[codes[low : low + (1 << 18)]]
-        at = np.where(places < 0, len(body) - 1, places + begin[low : low + (1 << 18), None])
-        out[low : low + (1 << 18)] = body[at]
+    for low in range(0, len(codes), 1 << 16):  # a few MB of places at a time
+        places = _PLACES[codes[low : low + (1 << 16)]]
+        at = np.where(places < 0, len(body) - 1, places + begin[low : low + (1 << 16), None])
+        out[low : low + (1 << 16)] = body[at]
     return out.reshape(-1).view("<u4")
