@@ -31,7 +31,7 @@ from postflow.llm import vbyte
 from postflow.session import materialise
 
 #: Bytes of text in a chunk, about; there are as many shards as chunks.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 9 << 20
 #: A word that makes up at least one of so many tokens has its n-grams dealt by word; 4,000 at most.
 HOT_SHARE = 4_000
 #: Weight of the unigram probability, in tokens.

@@ -40,7 +40,7 @@ def test_codes():
     assert lm.code_ratio(np.zeros(1, np.uint16))[0] == 0
 
 
-@pytest.mark.parametrize("chunk, hot", [(16 << 20, 4000), (700, 4000), (700, 20)])
+@pytest.mark.parametrize("chunk, hot", [(9 << 20, 4000), (700, 4000), (700, 20)])
 def test_scores(table, prose, monkeypatch, chunk, hot):
     monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(lm, "HOT_SHARE", hot)
