@@ -35,7 +35,7 @@ SAMPLE = 64
 HOT_CONTENTS = 32
 MOST_HOT = 100_000
 #: Bytes of text whose runs a task settles together, and that are hashed at once.
-SETTLE_BYTES = 48 << 20
+SETTLE_BYTES = 24 << 20
 #: Bytes of fetched text that are compared at once; a group of one anchor is never cut.
 SOLVE_BYTES = 4 << 20
 
