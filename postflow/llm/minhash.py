@@ -8,10 +8,10 @@ which makes 128 samples for 8 draws a shingle; an empty bin takes that of the ne
 its own.  Five samples make a band, and documents that agree in one of 25 bands are candidates.
 
 The candidates of a band's bucket are not paired with each other.  All are compared with the one of
-smallest id, their leader, by their exact weighted Jaccard similarity, and links become classes.  Those
-that are not of their leader's class elect eight leaders among them, then 64 in every round, until each
-bucket is used up.  So a bucket of n copies takes n comparisons, in any number of tasks, and one of k
-classes about k / 64 rounds.
+smallest id, their leader, by their exact weighted Jaccard similarity, first in a few bands, whose links
+become classes; then in all bands, but for those that are of their leader's class already.  The rest of
+a bucket elects eight leaders in every round until it is used up.  So a bucket of n copies takes n
+comparisons, in any number of tasks, and one of k classes about k / 8 rounds.
 """
 
 import functools
@@ -32,8 +32,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROUNDS, BINS = 8, 16
 BANDS, ROWS = 25, 5
-#: Leaders that a bucket elects at once when one and then eight have not settled it.
-MOST_LEADERS = 64
+#: Bands that the first classes are made from.
+FIRST_BANDS = 4
+#: Leaders that a bucket elects at once when one has not settled it.
+MOST_LEADERS = 8
 #: A word gets an idf of its own if its documents are at least this share of all (document, word)
 #: pairs, so there are at most 50,000; rarer ones have the idf of a word just below.
 IDF_WORDS = 50_000
@@ -219,8 +221,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataF
     return pairs.join(own, "id").join(other, "leader").select("id", "leader", "text", "other").mapInArrow(check, "id long, leader long")
 
 
-def _classed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("id").alias("a"), F.col("leader").alias("b"))
+
+
+def _classed(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     """``rows`` with the ``class`` of each id so far."""
+    if joined is None:
+        return rows.withColumn("class", F.col("id"))
     return rows.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
 
 
@@ -242,31 +250,42 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
     )
     # From here on one text per content, and texts only of documents that share a band with another.
     first = copies.select("content", F.col("rep").alias("id"))
-    banded = sketched.join(first, ["content", "id"], "left_semi").select("id", F.explode("bands").alias("band")).distinct()
+    banded = sketched.join(first, ["content", "id"], "left_semi").select("id", F.posexplode("bands").alias("number", "band")).distinct()
     banded = materialise(banded, "bands")
     shared = banded.groupBy("band").agg(F.count("id").alias("n")).filter("n > 1").select("band")
     active = materialise(banded.join(shared, "band"), "buckets")
     texts = keyed.join(active.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = materialise(texts, "candidates")
+    # A few bands make the first classes; what they settle is not compared again in the others.
+    active, waiting = active.filter(F.col("number") < FIRST_BANDS), active.filter(F.col("number") >= FIRST_BANDS)
     links, joined, some = None, None, 1
-    while not active.isEmpty():
-        # The smallest id of each of ``some`` parts of a bucket leads; parts are counted before the shuffle.
-        part = F.pmod(F.xxhash64("id"), F.lit(some))
-        leaders = active.groupBy("band", part.alias("part")).agg(F.min("id").alias("leader")).drop("part")
-        led = active.join(leaders, "band").filter("id != leader")
-        pairs = led.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
+    while True:
+        classed = _classed(active, joined)
+        # The smallest id of each of ``some`` parts of a bucket leads; parts are told before the shuffle.
+        part = F.pmod(F.xxhash64("class"), F.lit(some))
+        leaders = classed.groupBy("band", part.alias("part")).agg(F.min(F.struct("id", "class")).alias("first"))
+        leaders = leaders.select(F.col("band").alias("bucket"), F.col("first.id").alias("leader"), F.col("first.class").alias("led"))
+        apart = classed.join(leaders, (F.col("band") == F.col("bucket")) & (F.col("class") != F.col("led")))
+        apart = apart.select("band", "id", "leader")
+        pairs = apart.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
         found = materialise(_linked(pairs, texts, idf, least), "links")
         links = found if links is None else links.unionByName(found)
-        joined = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-        settled = _classed(leaders.withColumnRenamed("leader", "id"), joined).select("band", "class").distinct()
-        rest = _classed(active, joined).join(settled, ["band", "class"], "left_anti")
-        active = materialise(rest.select("band", "id"), "buckets")
-        some = min(8 * some, MOST_LEADERS)
+        both = found.unionByName(found.select(F.col("leader").alias("id"), F.col("id").alias("leader")))
+        own = apart.join(both, ["id", "leader"], "left_semi").select("band", "id")
+        taken = leaders.select(F.col("bucket").alias("band"), F.col("led").alias("class"))
+        rest = classed.join(taken, ["band", "class"], "left_anti")
+        active = rest.join(own, ["band", "id"], "left_anti").select("band", "id")
+        if waiting is not None:
+            active, waiting = active.union(waiting.select("band", "id")), None
+            joined = components(_edges(links))
+        else:
+            some = min(8 * some, MOST_LEADERS)
+        active = materialise(active, "buckets")
+        if active.isEmpty():
+            break
     classes = copies.select("content", "rep", "n_copies")
-    if joined is None:
-        classes = classes.withColumn("component", F.col("rep"))
-    else:
-        classes = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    joined = components(_edges(links)).withColumnRenamed("id", "rep")
+    classes = classes.join(joined, "rep", "left")
     classes = classes.select("content", "n_copies", F.coalesce("component", "rep").alias("class"))
     class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
     alone = F.col("id").isNull() | F.col("n_copies").isNull()
