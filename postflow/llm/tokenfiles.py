@@ -28,7 +28,7 @@ MAGIC = b"PFT1"
 #: Bytes of control and data after which a file ends.
 FILE_BYTES = 1 << 20
 #: Words whose ids a worker remembers, twice as many at most.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 80_000
 
 
 class Encoder:
