@@ -7,11 +7,11 @@ similarity (Ioffe 2010).  Shingles are dealt to 16 bins in each of 8 rounds and
 which makes 128 samples for 8 draws a shingle; an empty bin takes that of the next full one in an order of
 its own.  Five samples make a band, and documents that agree in one of 25 bands are candidates.
 
-The candidates of a band's bucket are not paired with each other.  All are compared with the one of
-smallest id, their leader, by their exact weighted Jaccard similarity, first in a few bands, whose links
-become classes; then in all bands, but for those that are of their leader's class already.  The rest of
-a bucket elects eight leaders in every round until it is used up.  So a bucket of n copies takes n
-comparisons, in any number of tasks, and one of k classes about k / 8 rounds.
+Every two candidates of different classes are compared by their exact weighted Jaccard similarity.  To
+have few of them, members of a bucket are first compared with one leader, in a few bands and then in all,
+then with eight; after every round the links become classes.  When that leaves few pairs or finds
+no link, all pairs of different classes that were not compared yet are.  So a bucket of n like texts
+takes about n comparisons, and one of n unlike texts takes them all, in any number of tasks.
 """
 
 import functools
@@ -36,6 +36,10 @@ BANDS, ROWS = 25, 5
 FIRST_BANDS = 4
 #: Leaders that a bucket elects at once when one has not settled it.
 MOST_LEADERS = 8
+#: All pairs are compared when there are at most so many for each row of a bucket.
+FEW_PAIRS = 4
+#: Rows of a bucket whose pairs one task makes.
+SPREAD = 256
 #: A word gets an idf of its own if its documents are at least this share of all (document, word)
 #: pairs, so there are at most 50,000; rarer ones have the idf of a word just below.
 IDF_WORDS = 50_000
@@ -232,6 +236,36 @@ def _classed(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
     return rows.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The classed ``rows`` of buckets of several classes, with a bucket's ``size``, ``main`` class and the size of that."""
+    classes = rows.groupBy("band", "class").agg(F.count("id").alias("n"))
+    buckets = classes.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "class")).alias("most"), F.count("n").alias("classes"))
+    buckets = buckets.filter("classes > 1").select("band", "size", F.col("most.class").alias("main"), F.col("most.n").alias("most"))
+    return rows.join(buckets, "band")
+
+
+def _led(mixed: DataFrame, some: int, number: int) -> DataFrame:
+    """(id, leader): the members of each bucket with those ``some`` that lead it in this round, of other classes."""
+    part = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(some))  # parts are told before the shuffle
+    first = F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("order"), "id", "class")).alias("first")
+    leaders = mixed.groupBy("band", part.alias("part")).agg(first)
+    leaders = leaders.select("band", F.col("first.id").alias("leader"), F.col("first.class").alias("led"))
+    return mixed.join(leaders, "band").filter("class != led").select("id", "leader")
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """(id, leader): all pairs of different classes of each bucket; large buckets are dealt over tasks.
+
+    One side is never of the main class, so at most half of the joined rows are not such pairs.
+    """
+    parts = F.ceil(F.col("size") / SPREAD)
+    rows = mixed.select("band", F.pmod(F.xxhash64("id"), parts).alias("part"), "id", "class")
+    other = mixed.filter("class != main").select(
+        "band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("id").alias("leader"), F.col("class").alias("led")
+    )
+    return rows.join(other, ["band", "part"]).filter("class != led").select("id", "leader")
+
+
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_copies, kept) of every row.
 
@@ -256,33 +290,27 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
     active = materialise(banded.join(shared, "band"), "buckets")
     texts = keyed.join(active.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = materialise(texts, "candidates")
-    # A few bands make the first classes; what they settle is not compared again in the others.
-    active, waiting = active.filter(F.col("number") < FIRST_BANDS), active.filter(F.col("number") >= FIRST_BANDS)
-    links, joined, some = None, None, 1
+    # A few bands make the first classes, one leader and then more leaders larger ones; then come all pairs that are left.
+    links, joined, tried, number, some, stuck = None, None, None, 0, 1, False
     while True:
-        classed = _classed(active, joined)
-        # The smallest id of each of ``some`` parts of a bucket leads; parts are told before the shuffle.
-        part = F.pmod(F.xxhash64("class"), F.lit(some))
-        leaders = classed.groupBy("band", part.alias("part")).agg(F.min(F.struct("id", "class")).alias("first"))
-        leaders = leaders.select(F.col("band").alias("bucket"), F.col("first.id").alias("leader"), F.col("first.class").alias("led"))
-        apart = classed.join(leaders, (F.col("band") == F.col("bucket")) & (F.col("class") != F.col("led")))
-        apart = apart.select("band", "id", "leader")
-        pairs = apart.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
+        rows = active.filter(F.col("number") < FIRST_BANDS) if number == 0 else active
+        mixed = materialise(_mixed(_classed(rows.select("band", "id"), joined)), "buckets")
+        n, left = mixed.agg(F.count("id"), F.sum((F.col("size") - F.col("most")).cast("double"))).first()
+        if number and not n:
+            break
+        last = number > 0 and (stuck or (left or 0) <= FEW_PAIRS * n)
+        pairs = _across(mixed) if last else _led(mixed, some, number)
+        pairs = pairs.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["id", "leader"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialise(_linked(pairs, texts, idf, least), "links")
         links = found if links is None else links.unionByName(found)
-        both = found.unionByName(found.select(F.col("leader").alias("id"), F.col("id").alias("leader")))
-        own = apart.join(both, ["id", "leader"], "left_semi").select("band", "id")
-        taken = leaders.select(F.col("bucket").alias("band"), F.col("led").alias("class"))
-        rest = classed.join(taken, ["band", "class"], "left_anti")
-        active = rest.join(own, ["band", "id"], "left_anti").select("band", "id")
-        if waiting is not None:
-            active, waiting = active.union(waiting.select("band", "id")), None
-            joined = components(_edges(links))
-        else:
-            some = min(8 * some, MOST_LEADERS)
-        active = materialise(active, "buckets")
-        if active.isEmpty():
+        if last:
             break
+        joined = components(_edges(links))
+        some = 1 if number == 0 else MOST_LEADERS
+        stuck = number > 0 and found.isEmpty()
+        number += 1
     classes = copies.select("content", "rep", "n_copies")
     joined = components(_edges(links)).withColumnRenamed("id", "rep")
     classes = classes.join(joined, "rep", "left")

@@ -137,6 +137,54 @@ def test_near_duplicates(table):
             assert (r.class_id, r.n_copies) == (i, 1)
 
 
+def chained_rows():
+    """Edit chains, hubs with spokes, and texts that resemble one spoke only, under shuffled ids."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    def edited(words, at):
+        return [*words[:at], word(), *words[at + 1 :]]
+
+    texts = []
+    for _ in range(10):
+        hub = [word() for _ in range(60)]
+        spokes = [edited(hub, k) for k in range(4, 60, 3)]
+        ends = [edited(s, (4 + 3 * k + 27) % 56) for k, s in enumerate(spokes[::4])]
+        texts += [hub, *spokes, *ends]
+    for _ in range(10):
+        own = [word() for _ in range(60)]
+        for k in range(8):
+            texts.append(own)
+            own = edited(own, 5 + 6 * k)
+    rng.shuffle(texts)
+    return list(enumerate(map(" ".join, texts)))
+
+
+def linked_classes(rows, idf, least=0.8):
+    """Smallest id of each row's class if every two texts that share a band are compared."""
+    texts = pa.array([t for _, t in rows], pa.large_string())
+    hashed = minhash.bands(minhash.samples(minhash.shingles(texts, idf), len(rows)))
+    a, b = np.nonzero(np.triu((hashed[:, None, :] == hashed[None, :, :]).any(axis=2), 1))
+    close = minhash.similarity(texts.take(pa.array(a)), texts.take(pa.array(b)), idf) >= least
+    label = np.arange(len(rows))
+    for _ in rows:
+        before = label.copy()
+        np.minimum.at(label, a[close], label[b[close]])
+        np.minimum.at(label, b[close], label[a[close]])
+        if (before == label).all():
+            break
+    return {rows[k][0]: rows[label[k]][0] for k in range(len(rows))}
+
+
+@pytest.mark.parametrize("few", [4, 0])
+def test_every_candidate_pair_is_joined_or_compared(table, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW_PAIRS", few, raising=False)
+    monkeypatch.setattr(minhash, "SPREAD", 8, raising=False)
+    rows = chained_rows()
+    idf = minhash.word_idf(table(rows).selectExpr("doc_id as id", "text"))
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(table(rows)).collect()} == linked_classes(rows, idf)
+
+
 def test_near_duplicates_of_odd_tables(table):
     text = " ".join(f"w{k}" for k in range(40))
     found = minhash.near_duplicates(table([(1, text), (1, text), (2, text), (None, text), (None, None)])).collect()
