@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling (operator 4).
 
 A document is a weighted set of shingles of five words.  A shingle's weight is its count in the document
-times its idf, the mean of its words' 1 + ln((1 + N) / (1 + df)).  A sample of a set is one shingle with a number
+times its idf, the mean of its words' 1 + ln((1 + N) / (1 + df)), at every size of the corpus.  A sample of a set is one shingle with a number
 of its weight, drawn so that two sets give the same sample with the probability of their weighted Jaccard
 similarity (Ioffe 2010).  Shingles are dealt to 16 bins in each of 8 rounds and each bin draws one sample,
 which makes 128 samples for 8 draws a shingle; an empty bin takes that of the next full one in an order of
@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +41,29 @@ MOST_LEADERS = 8
 FEW_PAIRS = 4
 #: Rows of a bucket whose pairs one task makes.
 SPREAD = 256
-#: A word gets an idf of its own if its documents are at least this share of all (document, word)
-#: pairs, so there are at most 50,000; rarer ones have the idf of a word just below.
+#: Words are told to all tasks if their documents are at least this share of all (document, word)
+#: pairs, so there are at most 50,000; the df of others come to their documents by a join.
 IDF_WORDS = 50_000
 
+_RARE = "array<struct<word:long,df:long>>"
+
+
+def _idf(n: int, df) -> np.ndarray:
+    return 1 + np.log((1 + n) / (1 + df))
+
 
 class Idf(NamedTuple):
-    """Sorted word hashes with their idf, and the idf of all other words."""
+    """Sorted word hashes with their idf, the idf of all other words, and the number of documents."""
 
     words: np.ndarray
     values: np.ndarray
     rare: float
+    docs: int = 0
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(hashes), bool)
+        return self.words[np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)] == hashes
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -58,9 +71,20 @@ class Idf(NamedTuple):
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.values[at], self.rare)
 
+    def plus(self, *lists: pa.Array) -> "Idf":
+        """With the words of lists of (word, df) too; none of them is here yet."""
+        flat = pa.concat_arrays([x.flatten() for x in lists])
+        if not len(flat):
+            return self
+        words, first = np.unique(pc.struct_field(flat, "word").to_numpy().view(np.uint64), return_index=True)
+        values = _idf(self.docs, pc.struct_field(flat, "df").to_numpy()[first])
+        words, values = np.concatenate([self.words, words]), np.concatenate([self.values, values])
+        order = np.argsort(words)
+        return self._replace(words=words[order], values=values[order])
 
-def word_idf(docs: DataFrame) -> Idf:
-    """The idf of words, counted over all of ``docs`` (id, text)."""
+
+def _word_table(docs: DataFrame) -> tuple[Idf, DataFrame | None]:
+    """The idf of the words that are told to all tasks, and (word, df) of the others with two documents or more."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text", 8 << 20):
@@ -78,12 +102,54 @@ def word_idf(docs: DataFrame) -> Idf:
     df = docs.select("text").mapInArrow(frequencies, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
     df = materialise(df, "word-frequencies")
     pairs = df.agg(F.sum("df")).first()[0] or 0
-    floor = max(1.0, pairs / IDF_WORDS)
+    floor = max(2.0, pairs / IDF_WORDS)
     kept = df.filter(F.col("df") >= floor).toArrow()  # 50,000 rows at most
     words = kept.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
-    values = 1 + np.log((1 + n) / (1 + kept.column("df").to_numpy()[order]))
-    return Idf(words[order], values, float(1 + np.log((1 + n) / (1 + floor))))
+    idf = Idf(words[order], _idf(n, kept.column("df").to_numpy()[order]), float(_idf(n, 1)), n)
+    return idf, df.filter((F.col("df") > 1) & (F.col("df") < floor)) if floor > 2 else None
+
+
+def word_idf(docs: DataFrame) -> Idf:
+    """The idf of the most common words, counted over all of ``docs`` (id, text); others have that of one document."""
+    return _word_table(docs)[0]
+
+
+def _rare_words(docs: DataFrame, idf: Idf, others: DataFrame) -> DataFrame:
+    """(id, mark, rare): the words of each text that ``idf`` lacks, with their df; ``mark`` is a hash of the text.
+
+    No word is hot in the join, as those in many documents are in ``idf``.
+    """
+
+    def missed(batches):
+        for part in tx.slices(batches, "text", 8 << 20):
+            found = tx.words(tx.column(part, "text"), tx.LOWER)
+            word = tx.hashes(found.terms)
+            use = ~idf.has(word)[found.codes] if len(word) else np.zeros(0, bool)
+            if not use.any():
+                continue
+            doc = np.repeat(np.arange(len(part)), np.diff(found.offsets))[use]
+            pair = np.unique(found.codes[use] * len(part) + doc)
+            row, word = pair % len(part), word.view(np.int64)[pair // len(part)]
+            for at in range(0, len(row), 50_000):
+                own = pa.array(row[at : at + 50_000])
+                yield pa.RecordBatch.from_arrays(
+                    [tx.column(part, "id").take(own), tx.column(part, "mark").take(own), pa.array(word[at : at + 50_000])], ["id", "mark", "word"]
+                )
+
+    marked = docs.filter("id is not null").select("id", "text", F.xxhash64("text").alias("mark"))
+    words = marked.mapInArrow(missed, "id long, mark long, word long")
+    found = words.join(others, "word").groupBy("id", "mark").agg(F.collect_set(F.struct("word", "df")).alias("rare"))
+    return materialise(found, "rare-words")
+
+
+def _weighed(docs: DataFrame, rare: DataFrame | None) -> DataFrame:
+    """``docs`` (id, text) with the ``rare`` words of each text; rows without an id, which are not compared, have none."""
+    none = F.lit(None).cast(_RARE).alias("rare")
+    if rare is None:
+        return docs.select("id", "text", none)
+    marked = docs.filter("id is not null").withColumn("mark", F.xxhash64("text"))
+    return marked.join(rare, ["id", "mark"], "left").select("id", "text", "rare").unionByName(docs.filter("id is null").select("id", "text", none))
 
 
 class Shingles(NamedTuple):
@@ -195,7 +261,7 @@ def _sketches(docs: DataFrame, idf: Idf) -> DataFrame:
     def sketch(batches):
         for part in tx.slices(batches, "text", 4 << 20):
             texts = tx.column(part, "text")
-            found = shingles(texts, idf)
+            found = shingles(texts, idf.plus(tx.column(part, "rare")))
             has = np.bincount(found.row, minlength=len(part)) > 0
             hashed = bands(samples(found, len(part))).view(np.int64)
             content = [
@@ -216,13 +282,13 @@ def _linked(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataF
 
     def check(batches):
         for part in tx.slices(batches, "text", 4 << 20):
-            close = similarity(tx.column(part, "text").cast(pa.large_string()), tx.column(part, "other").cast(pa.large_string()), idf) >= least
-            chosen = pa.array(close)
+            left, right = (tx.column(part, c).cast(pa.large_string()) for c in ("text", "other"))
+            chosen = pa.array(similarity(left, right, idf.plus(tx.column(part, "rare"), tx.column(part, "other_rare"))) >= least)
             yield pa.RecordBatch.from_arrays([tx.column(part, "id").filter(chosen), tx.column(part, "leader").filter(chosen)], ["id", "leader"])
 
-    own = texts.select("id", "text")
-    other = texts.select(F.col("id").alias("leader"), F.col("text").alias("other"))
-    return pairs.join(own, "id").join(other, "leader").select("id", "leader", "text", "other").mapInArrow(check, "id long, leader long")
+    other = texts.select(F.col("id").alias("leader"), F.col("text").alias("other"), F.col("rare").alias("other_rare"))
+    full = pairs.join(texts.select("id", "text", "rare"), "id").join(other, "leader")
+    return full.select("id", "leader", "text", "other", "rare", "other_rare").mapInArrow(check, "id long, leader long")
 
 
 def _edges(links: DataFrame) -> DataFrame:
@@ -276,8 +342,9 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
     an id are of one class.  A row without an id is not compared: its class is null and it is kept.
     """
     keyed = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
-    idf = word_idf(keyed)
-    sketched = materialise(_sketches(keyed, idf), "sketches")
+    idf, others = _word_table(keyed)
+    rare = None if others is None else _rare_words(keyed, idf, others)
+    sketched = materialise(_sketches(_weighed(keyed, rare), idf), "sketches")
     copies = materialise(
         sketched.filter("content is not null and id is not null").groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")),
         "copies",
@@ -289,7 +356,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float
     shared = banded.groupBy("band").agg(F.count("id").alias("n")).filter("n > 1").select("band")
     active = materialise(banded.join(shared, "band"), "buckets")
     texts = keyed.join(active.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialise(texts, "candidates")
+    texts = materialise(_weighed(texts, rare), "candidates")
     # A few bands make the first classes, one leader and then more leaders larger ones; then come all pairs that are left.
     links, joined, tried, number, some, stuck = None, None, None, 0, 1, False
     while True:

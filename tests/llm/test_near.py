@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -222,6 +224,46 @@ def test_idf(table):
     assert values == pytest.approx({"a": 1 + np.log(4 / 3), "b": 1 + np.log(2), "c": 1 + np.log(2), "z": 1 + np.log(2)})
 
 
+def weighted(a, b, value):
+    """Weighted Jaccard similarity of two lists of words."""
+    sets = []
+    for w in (a, b):
+        found = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+        sets.append({g: n * sum(value[x] for x in g) / len(g) for g, n in found.items()})
+    keys = set(sets[0]) | set(sets[1])
+    return sum(min(s.get(k, 0) for s in sets) for k in keys) / sum(max(s.get(k, 0) for s in sets) for k in keys)
+
+
+def test_weights_do_not_depend_on_how_many_words_are_told_to_all_tasks(table, monkeypatch):
+    from postflow.llm import text as tx
+
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(900)]
+    pick = lambda: words[int(900 * rng.random() ** 4)]
+    texts = []
+    for _ in range(40):
+        base = [pick() for _ in range(60)]
+        for _ in range(5):
+            own = list(base)
+            for k in rng.sample(range(60), rng.randint(0, 2)):
+                own[k] = pick()
+            texts.append(own)
+    rows = list(enumerate(map(" ".join, texts)))
+    rows += [rows[7], (None, rows[7][1])]  # one repeats an id, one has none
+    df = Counter(x for _, t in rows for x in set(t.split()))
+    value = {x: 1 + math.log((1 + len(rows)) / (1 + n)) for x, n in df.items()}
+    hashed = tx.hashes(pa.array(list(value))).view(np.uint64)
+    order = np.argsort(hashed)
+    idf = minhash.Idf(hashed[order], np.array(list(value.values()))[order], 0.0)
+    for k in range(0, len(texts), 5):
+        found = minhash.similarity(pa.array([rows[k][1]], pa.large_string()), pa.array([rows[k + 1][1]], pa.large_string()), idf)
+        assert found[0] == pytest.approx(weighted(texts[k], texts[k + 1], value))
+    monkeypatch.setattr(minhash, "IDF_WORDS", 100)
+    assert 2 < sum(df.values()) / 100 < max(df.values())  # some words are told to all, some are not
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(rows)).collect() if r.doc_id is not None}
+    assert found == linked_classes(rows[: len(texts)], idf)
+
+
 # --- benchmark passages
 
 
