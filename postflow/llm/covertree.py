@@ -186,10 +186,10 @@ def near_vectors(vectors: DataFrame, vec_id="vec_id", embedding="embedding", cos
     rows = rows.withColumn("embedding", F.when(good, F.col("embedding")))
     keyed = rows.select("vec_id", F.coalesce("vec_id", F.lit((1 << 63) - 1)).alias("id"), "embedding")
     reps = keyed.filter("embedding is not null").groupBy("embedding").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")
     )
-    # Rows that repeat an id may hold other vectors: the number of the vector keeps them apart.
-    reps = materialise(reps.withColumn("size", F.size("embedding")), "vectors")
+    # Rows that repeat an id or have none may hold other vectors: the number of the vector, ``rep``, keeps them apart.
+    reps = materialise(reps.withColumn("size", F.size("embedding")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     found = None
     for size in sorted(r["size"] for r in reps.select("size").distinct().collect()):
         part = _linked(reps.filter(F.col("size") == size), cosine)
@@ -198,12 +198,15 @@ def near_vectors(vectors: DataFrame, vec_id="vec_id", embedding="embedding", cos
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialise(found, "links")
     joined = components(found.filter("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    joined = joined.withColumnRenamed("id", "rep")
+    named = joined.join(reps.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
+    joined = joined.join(named, "component").select("rep", "name")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = (
-        reps.select("embedding", "rep", "copies")
+        reps.select("embedding", "rep", "least", "copies")
         .join(counts, "rep", "left")
-        .join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("embedding", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "rep").alias("component"))
+        .join(joined, "rep", "left")
+        .select("embedding", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("name", "least").alias("component"))
     )
     out = keyed.join(known, "embedding", "left")
     component = F.coalesce("component", "id")
@@ -219,7 +222,7 @@ def _linked(reps: DataFrame, cosine: float) -> DataFrame:
     total = reps.count()
     share = min(1.0, SAMPLE / max(1, total))
     # The sample is bounded by its share of the rows, the cells by MOST_CELLS.
-    sample = reps.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding")
+    sample = reps.filter(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding")
     sample = sample.orderBy("embedding").limit(2 * SAMPLE).toArrow().column("embedding").combine_chunks()
     points = _unit(sample) if len(sample) else np.zeros((0, 1))
     centers = _cells(points, min(MOST_CELLS, max(1, total // BLOCK + 1)))

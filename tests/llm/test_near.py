@@ -86,6 +86,16 @@ def test_vectors(spark, monkeypatch, block):
     assert found == expected(rows)
 
 
+def test_vectors_of_one_id_are_apart(spark):
+    a, b, c, d = ([float(k == n) for k in range(4)] for n in range(4))
+    near = lambda v: [x + 0.1 for x in v]
+    rows = [(5, a), (6, near(a)), (7, b), (8, near(b)), (None, near(a)[::-1]), (None, c), (9, near(c)), (9, a), (4, b), (4, d)]
+    found = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(5, 2, 5, True), (6, 2, 5, False), (7, 2, 4, False), (8, 2, 4, False), (9, 1, 9, True), (9, 2, 5, False)]
+    want += [(4, 2, 4, True), (4, 1, 4, True), (None, 1, 4, False), (None, 1, 9, False)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
 def test_vectors_without_any(spark):
     table = spark.createDataFrame([(1, None), (None, None)], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in covertree.near_vectors(table).collect()) == [(0, 0, True), (1, 0, True)]
