@@ -41,8 +41,7 @@ def suffix_dedup(spark, docs, folder):
     """Operator 7: bytes of strings that start earlier go; parts of characters that are left go too."""
     names = docs.columns
     found = suffixes.dedup_bytes(docs, keep=tuple(names))
-    whole = F.expr("make_valid_utf8(cast(kept as string))")
-    text = F.when(F.col("n_removed") == 0, F.col("rest")[f"c{names.index('text')}"]).otherwise(F.replace(whole, F.lit("�"), F.lit("")))
+    text = F.when(F.col("n_removed") == 0, F.col("rest")[f"c{names.index('text')}"]).otherwise(F.col("whole"))
     columns = {name: F.col("rest")[f"c{k}"] for k, name in enumerate(names)}
     columns["text"] = text
     if "n_chars" in columns:

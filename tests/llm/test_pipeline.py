@@ -108,3 +108,13 @@ def test_run(spark):
     found = cp.run(spark, SF).toPandas()
     assert found.columns.tolist() == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < len(found) < 200 and not found.doc_id.duplicated().any() and pd.notna(found.n_tokens).all()
+
+
+def test_replacement_characters_of_a_document_stay(spark):
+    import corpus_pipeline
+
+    shared = "".join(chr(0x4E00 + 7 * k) for k in range(50))
+    rows = [(1, "a\ufffdb " + shared), (2, "c\ufffdd " + shared + " e\ufffdf")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert found == {1: rows[0][1], 2: "c\ufffdd e\ufffdf"}
