@@ -14,7 +14,7 @@ from postflow.session import shared_dir
 
 
 def language(spark, docs, folder):
-    """Operator 9: documents without a letter go, and those like no language."""
+    """Operator 9: documents judged ``und`` go, which are those that are null or without a letter."""
     names = docs.columns
     inner = [f"c{k}" for k in range(len(names))]  # so that no column's name can clash
     plain, column = docs.toDF(*inner), dict(zip(names, inner))
