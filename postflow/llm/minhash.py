@@ -14,7 +14,6 @@ no link, all pairs of different classes that were not compared yet are.  So a bu
 takes about n comparisons, and one of n unlike texts takes them all, in any number of tasks.
 """
 
-import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -193,7 +192,6 @@ def shingles(texts: pa.Array, idf: Idf, size: int = SHINGLE) -> Shingles:
     return Shingles(row[new], key[new], weight[new] * count)
 
 
-@functools.cache
 def _orders() -> np.ndarray:
     """For each bin the bins in the order in which it looks for a sample."""
     rng = np.random.default_rng(20_101)
@@ -208,7 +206,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 def samples(found: Shingles, n: int) -> np.ndarray:
     """128 samples of each of ``n`` texts, as 64-bit hashes; a text without shingles has none."""
     out = np.zeros((n, ROUNDS * BINS), np.uint64)
-    log_weight = np.log(found.weight)
+    log_weight, order = np.log(found.weight), _orders()
     rows = np.arange(len(found.key))
     for t in range(ROUNDS):
         x = tx.mixed(found.key + np.uint64((t * 0x9E3779B97F4A7C15 + 0x5851F42D4C957F2D) % 2**64))
@@ -227,7 +225,6 @@ def samples(found: Shingles, n: int) -> np.ndarray:
         drawn = np.zeros(n * BINS, np.uint64)
         drawn[place[won]] = tx.paired(found.key[won], step[won].astype(np.int64).view(np.uint64))
         full = np.isfinite(best).reshape(n, BINS)
-        order = _orders()
         source = order[np.arange(BINS), full[:, order].argmax(axis=2)]
         out[:, t * BINS : (t + 1) * BINS] = np.take_along_axis(drawn.reshape(n, BINS), source, axis=1)
     return out

@@ -92,4 +92,77 @@ _OP8 = f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, '')
     SELECT page_id, host, path, {_rule(lambda host, path, verdict: host + path)} AS rule,
         coalesce({_rule(lambda host, path, verdict: verdict)}, CASE WHEN bound >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
     FROM p JOIN bounds USING (host)"""
-ORACLE = {"op1_substring_dedup": _OP1, "op5_contamination": _OP5, "op6_embedding_dedup": _OP6, "op8_urls": _OP8}
+
+_MARKS = ["<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>", "<|end_of_text|>", "<|im_start|>",
+          "<|im_end|>", "<|endoftext|>", "[INST]", "[/INST]", "<s>", "</s>"]
+
+
+def _escaped(text: str) -> str:
+    text = rf"replace({text}, '\', '\\')"
+    for mark in _MARKS:
+        text = rf"replace({text}, '{mark}', '{mark[0]}\{mark[1:]}')"
+    return text
+
+
+_SAID = "</s>[INST] ok [/INST]"
+_OP11 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}')),
+    e AS (SELECT *, {_escaped("r")} || {_escaped("x")} s FROM t)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+        CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+        CAST(17 + sum(length(s) + 48) AS BIGINT) AS formatted_chars, CAST(17 + sum(strlen(s) + 48) AS BIGINT) AS formatted_bytes
+    FROM e GROUP BY conv_id"""
+
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda crc, b: list_reduce([CAST(i AS BIGINT) for i in range(8)], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)),
+    4294967295), 4294967295)"""
+_OP12 = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) p, code, chars
+        FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) code,
+              length(coalesce(text, '')) chars FROM conversations WHERE conv_id IS NOT NULL)),
+    c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 head, {_CRC} % 6 h FROM t),
+    r AS (SELECT c.conv_id, p, code, chars FROM c JOIN t ON t.conv_id = head WHERE p <= h
+          UNION ALL SELECT conv_id, 5 + p, code, chars FROM c JOIN t USING (conv_id) WHERE p > h),
+    s AS (SELECT conv_id, list(code ORDER BY p) codes, list(chars ORDER BY p) chars FROM r GROUP BY conv_id),
+    x AS (SELECT conv_id, coalesce(codes, []) codes, coalesce(chars, []) chars FROM c LEFT JOIN s USING (conv_id)),
+    m AS (SELECT conv_id, d, array_to_string(codes[1:d], '') k, CASE WHEN d > 0 THEN chars[d] ELSE 0 END ch, d = len(codes) AS ends
+          FROM (SELECT *, unnest(range(0, len(codes) + 1)) d FROM x)),
+    n AS (SELECT k, d, min(conv_id) conv_id, count(*) n, max(ch) ch,
+          sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) e FROM m GROUP BY k, d),
+    kids AS (SELECT left(k, 32 * (d - 1)) k, count(*) kids FROM n WHERE d > 0 GROUP BY ALL),
+    below AS (SELECT left(k, 32 * a) k, sum((n - 1) * ch) saved, count(*) FILTER (kids IS NULL) leaves
+              FROM (SELECT *, unnest(range(0, d + 1)) a FROM n LEFT JOIN kids USING (k)) GROUP BY ALL)
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children,
+        leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.e AS ends_sha256
+    FROM n JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN n p ON n.d > 0 AND p.k = left(n.k, 32 * (n.d - 1))"""
+
+
+def _clusters(k: int, rounds: int) -> str:
+    def nearest(t):
+        return f"""(SELECT id, vec_id, v, d % {k} c, d // {k} away FROM (SELECT id, any_value(vec_id) vec_id, any_value(v) v,
+            min(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {k} + c) d
+            FROM kept, c{t} GROUP BY id))"""
+
+    steps = [f"a0 AS MATERIALIZED {nearest(0)}"]
+    for t in range(1, rounds + 1):
+        steps += [
+            f"""c{t} AS MATERIALIZED (SELECT c, coalesce(m, w) w FROM c{t - 1} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) m
+            FROM (SELECT c, i, sum(x)::BIGINT s, count(*) n FROM (SELECT c, unnest(v) x, generate_subscripts(v, 1) i FROM a{t - 1})
+            GROUP BY c, i) GROUP BY c) USING (c))""",
+            f"a{t} AS MATERIALIZED {nearest(t)}",
+        ]
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () id, vec_id,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))::BIGINT) v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 c, v w FROM (SELECT *, sha256('2:' || vec_id) h FROM kept
+            ORDER BY h LIMIT {k})), {", ".join(steps)}
+        SELECT vec_id, CAST(c AS INT) AS cluster, away AS distance, CAST(sum(away) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(away) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+ORACLE = {
+    "op1_substring_dedup": _OP1, "op5_contamination": _OP5, "op6_embedding_dedup": _OP6, "op8_urls": _OP8,
+    "op11_chat": _OP11, "op12_prefix_trie": _OP12, "op13_centroid_clusters": _clusters(40, 5),
+}

@@ -3,9 +3,12 @@
 import uuid
 
 import public_tokenizers
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from postflow.llm import bpe, covertree, decontaminate, langid, lm, minhash, suffixes, tokenfiles, trees, urls
+from postflow.llm import (
+    bpe, chat, covertree, decontaminate, langid, lm, minhash, nsbounds, suffixes, tokenfiles, trees, trie, urls,
+)
 from postflow.llm.oracle import ORACLE as ORACLE
 from postflow.session import materialise, shared_dir
 
@@ -83,6 +86,39 @@ def op10_bpe(spark, folder):
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_chat(spark, folder):
+    """Every conversation as a chain of replies, formatted and read back; turns of equal number by role and text."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text"))
+    chain = rows.unionByName(more).withColumn("place", place).withColumn("before", F.col("place") - 1)
+    return chat.digest(chat.format_trees(chain, "conv_id", "place", "before"))
+
+
+def rebuilt_turns(conversations):
+    """(conv_id, place, code) of conversations that begin with turns of the first one of their hundred."""
+    turns = conversations.filter("conv_id is not null").select("conv_id", "turn", trie.turn_code(F.col("role"), F.col("text")).alias("code"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "code"))
+    placed = materialise(turns.select("conv_id", place.alias("place"), "code"), "turns")
+    taken = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")  # 5 at most
+    own = placed.filter(F.col("place") > taken).select("conv_id", (F.col("place") + 5).alias("place"), "code")
+    heads = placed.filter((F.col("conv_id") % 100 == 0) & (F.col("place") <= 5)).withColumnRenamed("conv_id", "head")
+    convs = placed.select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("head"), taken.alias("taken"))
+    lent = convs.join(heads, "head").filter("place <= taken").select("conv_id", "place", "code")
+    return lent.unionByName(own), convs.select("conv_id")
+
+
+def op12_prefix_trie(spark, folder):
+    """The trie of all rebuilt conversations; turns of equal number by their digests."""
+    return trie.prefix_trie(*rebuilt_turns(_table(spark, folder, "conversations")))
+
+
+def op13_centroid_clusters(spark, folder):
+    """40 clusters of all vectors after 5 rounds."""
+    return nsbounds.centroid_clusters(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
@@ -94,4 +130,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
+    "op11_chat": op11_chat,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
