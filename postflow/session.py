@@ -1,6 +1,5 @@
 """Session settings and the one place where lineage is cut."""
 
-import functools
 import tempfile
 import uuid
 
@@ -35,14 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_dir()
+    if not _LOCAL_DIRS:
+        _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="postflow-"))
+    return _LOCAL_DIRS[0]
 
 
-@functools.cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="postflow-")
+#: The temporary folder of this process, once there is one.
+_LOCAL_DIRS: list[str] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -34,6 +34,9 @@ def difference(ours: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
         return f"columns {sorted(ours.columns)} != {sorted(theirs.columns)}"
     if len(ours) != len(theirs):
         return f"rows {len(ours)} != {len(theirs)}"
+    for c in ours.columns:  # a column of integers with nulls comes as floats from one side
+        if theirs[c].dtype.name == "Int64" and ours[c].dtype.name == "float64":
+            ours = ours.assign(**{c: ours[c].astype("Int64")})
     kinds = {c: (ours[c].dtype.name, theirs[c].dtype.name) for c in ours.columns}
     odd = {c: k for c, k in kinds.items() if k[0] != k[1]}
     if odd and len(ours):
