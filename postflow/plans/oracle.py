@@ -506,18 +506,32 @@ ORACLE = {
     "stream_dedup": f"""WITH {_TEXT_POSTS} SELECT "group", "user", id, md5(text) AS text FROM text_posts
         WHERE "group" <> 'view'""",
     "stream_upsert": f"""WITH {_TOTALS_LONG} SELECT {_DAY}, twitter_ticker,
-        CASE WHEN long.date >= DATE '2024-01-10' THEN value * 2 ELSE value END AS value,
+        value * CASE WHEN long.date >= DATE '2024-01-25' THEN 3 WHEN long.date >= DATE '2024-01-10' THEN 2 ELSE 1 END AS value,
         {_uuid("CAST(long.date AS VARCHAR)")} AS uuid FROM long""",
     "pipeline_long": f"""WITH {_PIPELINE} SELECT {_DAY}, twitter_ticker, round(value, 10) AS value,
         {_uuid("CAST(long.date AS VARCHAR)")} AS uuid FROM long""",
     # files, stages and tables
-    "user_files": "SELECT doc_id AS id, md5(text) AS text, n_chars AS favorite_count FROM documents",
+    "user_csv": """SELECT coalesce(lang, 'none') AS "group", coalesce(source, 'none') AS "user", doc_id AS id, md5(text) AS text,
+        n_chars AS favorite_count FROM documents""",
+    "user_files": """WITH d AS (SELECT doc_id, coalesce(lang, 'none') g, coalesce(source, 'none') u, text, n_chars, doc_id % 7 k,
+            CASE WHEN regexp_matches(text, '[,"\r\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END q FROM documents)
+        SELECT g AS "group", u AS "user", CASE WHEN k BETWEEN 1 AND 3 THEN -1 ELSE doc_id END AS id, md5(CASE k
+            WHEN 1 THEN 'x' || doc_id || ',,,' || n_chars || ',,,,,,,' || q WHEN 2 THEN doc_id || ',,,many,,,,,,,' || q
+            WHEN 3 THEN doc_id || ',2024-01-01' ELSE text END) AS text, CASE WHEN k BETWEEN 1 AND 3 THEN NULL ELSE n_chars END::DOUBLE
+            AS favorite_count, CASE k WHEN 1 THEN 'id' WHEN 2 THEN 'favorite_count' WHEN 3 THEN 'fields' END AS cause FROM d
+        UNION ALL SELECT DISTINCT g, u, -1, md5('77,"it never ends'), NULL, 'quote' FROM d""",
     "roster_files": f"""WITH {_ROSTER} SELECT "group", "user" FROM roster""",
     "ticker_table": "SELECT * FROM (VALUES " + ", ".join(
         f"('{t}', '{label}')" for t, label in LABELS.items()) + ") x(ticker_name, ticker_label)",
     "stage_copy": f"WITH {_POSTS} SELECT {_DAY}, {_COUNT_SUMS} FROM posts GROUP BY posts.date",
     "item_files": f"""WITH {_TOTALS_LONG} SELECT {_uuid("CAST(long.date AS VARCHAR)")} AS uuid_s,
         CAST(date AS VARCHAR) AS date_s, twitter_ticker AS ticker_s, value AS value_n FROM long""",
+    "versioned_posts": f"""WITH {_POSTS}, v AS (SELECT *, unnest([1, 2, 3]) version FROM posts)
+        SELECT CAST(version AS BIGINT) AS version, "group", count(*) AS posts, round(sum(value), 4) AS value FROM v
+        WHERE (version > 1 OR value < 50) AND (version < 3 OR "group" <> 'click' OR value < 10) GROUP BY ALL""",
+    "delivered_items": f"""WITH {_POSTS}, t AS (SELECT DISTINCT date, 'unigram_' || "user" AS twitter_ticker FROM posts),
+        u AS (SELECT {_uuid()} AS uuid FROM t)
+        SELECT uuid, CASE WHEN left(uuid, 1) IN ('0', '7') THEN 2 ELSE 1 END::BIGINT AS attempt FROM u""",
     "saved_table": "SELECT lang, count(*) AS documents FROM documents GROUP BY lang",
     "sql_view": "SELECT source, max(n_chars) AS longest FROM documents GROUP BY source",
     "scored_posts": f"""WITH {_BIGRAM_BASE},

@@ -25,7 +25,9 @@ from postflow.plans.pipeline import scored_posts as attach_scores
 from postflow.schemas import POSTS
 from postflow.session import materialise, shared_dir, spread
 from postflow.sources import posts as sp
+from postflow.sources.delivery import arrived, deliver
 from postflow.sources.sinks import register, save_table, to_items, write_csv, write_items, write_stage
+from postflow.sources.snapshots import SnapshotTable
 from postflow.streaming import posts as st
 
 KEY = ["doc_id"]
@@ -739,17 +741,22 @@ def stream_dedup(spark, folder):
 
 @query
 def stream_upsert(spark, folder):
-    """I4: the long table kept up to date by a stream; a batch holds two versions of many rows"""
+    """I4: the long table kept up to date by two streams with checkpoints of their own; a batch holds two versions of many rows"""
     root = _root(spark, "upsert")
     long = ky.to_long(dy.daily_totals(tb.event_posts(spark, folder))).withColumn("version", F.lit(1))
+
+    def land(rows, place):
+        rows.write.mode("append").parquet(f"{root}/{place}")
+        landed = spark.readStream.schema(long.schema).parquet(f"{root}/{place}")
+        st.stream_long(landed, f"{root}/long", f"{root}/checkpoint-{place}", order=["version"]).awaitTermination()
+
     later = long.filter(F.col("date") >= F.lit("2024-01-10").cast("date"))
     wrong = later.withColumns({"value": F.col("value") * 9, "version": F.lit(2)})
     later = later.withColumns({"value": F.col("value") * 2, "version": F.lit(3)})
-    for landing in (long.filter(F.col("date") < F.lit("2024-01-20").cast("date")), later.unionByName(long).unionByName(wrong)):
-        landing.write.mode("append").parquet(f"{root}/landed")
-        landed = spark.readStream.schema(long.schema).parquet(f"{root}/landed")
-        st.stream_long(landed, f"{root}/long", f"{root}/checkpoint", order=["version"]).awaitTermination()
-    return _dated(sp.read_table(spark, f"{root}/long").select("date", "twitter_ticker", "value", "uuid"))
+    land(long.filter(F.col("date") < F.lit("2024-01-20").cast("date")), "first")
+    land(later.unionByName(long).unionByName(wrong), "first")
+    land(long.filter(F.col("date") >= F.lit("2024-01-25").cast("date")).withColumn("value", F.col("value") * 3), "second")
+    return _dated(st.read_long(spark, f"{root}/long").select("date", "twitter_ticker", "value", "uuid"))
 
 
 @query
@@ -772,15 +779,45 @@ def pipeline_long(spark, folder):
 # --- files, stages and tables --------------------------------------------------------------------
 
 
+def _user_lines(spark, folder):
+    """(group, user, place, value): lines of a CSV file per language and source of the documents, some of them broken."""
+    docs = tb.table(spark, folder, "documents").select("doc_id", "text", "n_chars", F.coalesce("lang", F.lit("none")).alias("group"), F.coalesce("source", F.lit("none")).alias("user"))
+    columns = {f.name: F.lit(None).cast("string").alias(f.name) for f in sp.USER_FILE}
+    number = F.when(F.col("doc_id") % 7 == 1, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    columns |= {"id": number.alias("id"), "text": F.col("text"), "favorite_count": F.when(F.col("doc_id") % 7 == 2, "many").otherwise(F.col("n_chars").cast("string")).alias("favorite_count")}
+    line = F.to_csv(F.struct(*columns.values()), {"quote": '"', "escape": '"'})
+    short = F.concat(F.col("doc_id").cast("string"), F.lit(",2024-01-01"))
+    docs = docs.select("group", "user", (F.col("doc_id") + 1).alias("place"), F.when(F.col("doc_id") % 7 == 3, short).otherwise(line).alias("value"))
+    users = docs.select("group", "user").distinct()
+    heads = users.select("group", "user", F.lit(0).alias("place"), F.lit(",".join(columns)).alias("value"))
+    ends = users.select("group", "user", F.lit((1 << 63) - 1).alias("place"), F.lit('77,"it never ends').alias("value"))
+    return docs.unionByName(heads).unionByName(ends)
+
+
 @query
 def user_files(spark, folder):
-    """All documents written as a user's CSV and read back"""
-    docs = tb.documents(spark, folder).join(tb.table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
-    columns = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in POSTS if f.name not in ("group", "user")}
+    """A CSV file per user, with bad numbers, short lines and an open quote, read as posts and bad records"""
+    path = f"{_root(spark, 'users')}/posts"
+    lines = _user_lines(spark, folder).repartition("group", "user").sortWithinPartitions("group", "user", "place")
+    lines.select("group", "user", "value").write.option("compression", "none").partitionBy("group", "user").text(path)
+    good, bad = sp.read_user_files(spark, path, pattern="*.txt")
+    good = good.select("group", "user", "id", _digest("text").alias("text"), F.col("favorite_count").cast("double").alias("favorite_count"), F.lit(None).cast("string").alias("cause"))
+    return good.unionByName(bad.select("group", "user", F.lit(None).cast("double").alias("favorite_count"), _digest("record").alias("text"), "cause", F.lit(-1).cast("long").alias("id")))
+
+
+@query
+def user_csv(spark, folder):
+    """All documents written as users' CSV files and read back"""
+    docs = tb.table(spark, folder, "documents")
+    columns = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in sp.USER_FILE}
     columns |= {"id": F.col("doc_id").alias("id"), "text": F.col("text"), "favorite_count": F.col("n_chars").alias("favorite_count")}
     path = f"{_root(spark, 'users')}/posts"
-    write_csv(docs.select(*columns.values()), path)
-    return sp.read_user_files(spark, path).select("id", _digest("text").alias("text"), "favorite_count")
+    owner = [F.coalesce("lang", F.lit("none")).alias("group"), F.coalesce("source", F.lit("none")).alias("user")]
+    sp.write_user_files(docs.select(*owner, *columns.values()), path)
+    good, bad = sp.read_user_files(spark, path)
+    return good.select("group", "user", "id", _digest("text").alias("text"), "favorite_count").unionByName(
+        bad.select("group", "user", F.lit(None).cast("long").alias("id"), F.col("record").alias("text"), F.lit(None).cast("long").alias("favorite_count"))
+    )
 
 
 @query
@@ -821,6 +858,36 @@ def item_files(spark, folder):
     )
 
 
+@query
+def versioned_posts(spark, folder):
+    """K2, K3: posts added to a versioned table in two batches, one of which runs twice, and rewritten in one group; each state as it was"""
+    posts = tb.event_posts(spark, folder).select("group", "user", "id", "value")
+    table = SnapshotTable(spark, f"{_root(spark, 'versions')}/posts", posts.schema)
+    table.append(posts.filter("value < 50"), F.col("group"), ("load", 0))
+    for _ in range(2):
+        table.append(posts.filter("value >= 50"), F.col("group"), ("load", 1))
+    table.rewrite(["click"], lambda rows: rows.filter("value < 10"), F.col("group"))
+    states = [table.read(manifest=table.manifest(k)).withColumn("version", F.lit(k).cast("long")) for k in (1, 2, 3)]
+    every = states[0].unionByName(states[1]).unionByName(states[2])
+    return every.groupBy("version", "group").agg(F.count("id").alias("posts"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query
+def delivered_items(spark, folder):
+    """K4: items put into a store that refuses a tenth of them at first, with the attempt at which each arrived"""
+    path = f"{_root(spark, 'items')}/ledger"
+    by_user = dy.daily_by_user(tb.event_posts(spark, folder), {"unigram": "value"})
+    totals = by_user.select("date", F.concat(F.lit("unigram_"), "user").alias("twitter_ticker"), F.col("unigram").cast("double").alias("value"))
+    encoded = to_items(ky.with_keys(totals))
+
+    def put(items, attempt):
+        return [i["uuid"]["S"] for i in items if attempt == 1 and i["uuid"]["S"][0] in "07"]
+
+    left = deliver(encoded, path, put)
+    found = arrived(spark, path).select("uuid", F.col("attempt").cast("long").alias("attempt"))
+    return found.unionByName(left.select(F.col("uuid.S").alias("uuid"), F.lit(-1).cast("long").alias("attempt")))
+
+
 @query
 def saved_table(spark, folder):
     """K5: a managed table, read back with SQL"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postflow.schemas import POSTS, RAW_POSTS
+from postflow.session import materialise
 
 # Fixed value: where a post can be seen.
 URL_PREFIX = "https://twitter.com/i/web/status/"
@@ -129,12 +130,92 @@ def read_posts(
 CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_user_files(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    """One CSV file per user, the user's name being the stem of the file (Q7)."""
-    own = T.StructType([f for f in POSTS if f.name not in ("group", "user")])
-    stem = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1)
-    files = spark.read.schema(columns or own).options(**CSV).option("multiLine", True).csv(path)
-    return files.select(F.url_decode(stem).alias("user"), "*")
+#: What a user's file holds; group and user are told by its place.
+USER_FILE = T.StructType([f for f in POSTS if f.name not in ("group", "user")])
+_RECORD = "_corrupt_record"
+
+#: A post that could not be read: where it stands, its text and what is wrong with it.
+BAD_RECORDS = T.StructType([T.StructField(c, T.StringType()) for c in ("file", "group", "user", "record", "cause")])
+
+
+def _cause(schema: T.StructType) -> Column:
+    """What is wrong with a record: its quotes, its number of fields, or the first field that does not fit its type."""
+    text = F.col("record")
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"')))
+    # As text every record can be read; the last column holds the whole record if the number of fields is wrong.
+    names = schema.fieldNames()
+    loose = ", ".join(f"`{n}` string" for n in [*names, _RECORD])
+    fields = F.from_csv("record", loose, {**{k: v for k, v in CSV.items() if k != "header"}, "multiLine": "true", "columnNameOfCorruptRecord": _RECORD})
+    cause = F.when(quotes % 2 == 1, "quote").when(fields[_RECORD].isNotNull(), "fields")
+    for field in schema:
+        value, kind = fields[field.name], field.dataType.simpleString()
+        if kind != "string":
+            cause = cause.when(value.isNotNull() & value.try_cast(kind).isNull(), field.name)
+    return cause.otherwise("record")
+
+
+def scan_user_files(spark: SparkSession, path: str | list[str], schema: T.StructType = USER_FILE, pattern: str = "*.csv") -> DataFrame:
+    """One scan of the CSV files below ``path`` whose names fit ``pattern``: (file, group, user, record, fields of ``schema``).
+
+    A file is ``group/user.csv`` or lies in folders ``group=../user=..``; names are those of the folder and the
+    stem, or of the folders.  ``record`` is the text of a record that does not fit the schema, and null otherwise.
+    """
+    typed = T.StructType([*schema, T.StructField(_RECORD, T.StringType())])
+    reader = spark.read.schema(typed).options(**{**CSV, "header": False}).option("multiLine", True).option("mode", "PERMISSIVE")
+    files = reader.option("columnNameOfCorruptRecord", _RECORD).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(path)
+    place = F.col("_metadata.file_path")
+    folder = F.coalesce(F.nullif(F.regexp_extract(place, r"/group=([^/]*)/", 1), F.lit("")), F.regexp_extract(place, r"([^/]*)/[^/]*$", 1))
+    stem = F.coalesce(F.nullif(F.regexp_extract(place, r"/user=([^/]*)/", 1), F.lit("")), F.regexp_extract(place, r"([^/]*?)(?:\.[^./]*)?$", 1))
+
+    def named(c):
+        return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+    # A path has its own escapes around those of the folders' names.
+    return files.select(
+        place.alias("file"), named(named(folder)).alias("group"), named(named(stem)).alias("user"),
+        F.col(_RECORD).alias("record"), *schema.fieldNames(),
+    )
+
+
+def read_user_files(
+    spark: SparkSession, path: str | list[str], schema: T.StructType = USER_FILE, pattern: str = "*.csv"
+) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) records of the users' CSV files, each read once.
+
+    ``good`` has group, user and the columns of ``schema``.  ``bad`` has the file, group, user and text of each record
+    that doesn't fit, and its cause: ``quote`` for an open quote, ``fields`` for a wrong number of fields, the name of a
+    field that is not of its type, ``id`` also where there is none.  All records of a file that does not begin with the
+    names of the columns are bad, with the cause ``header``, because their fields can't be told apart.  No bad
+    record stops the others or becomes nulls; those that an open quote has taken into a field stay there, in a bad record.
+    """
+    names = schema.fieldNames()
+    scan = materialise(scan_user_files(spark, path, schema, pattern), "user-files")  # files with line breaks in fields can't be split: parse once
+    text = F.replace(F.regexp_replace("record", r"[\r\n\x{FEFF}]", ""), F.lit('"'))
+    header = F.coalesce(text == ",".join(names), F.lit(False))
+    files = scan.groupBy("file").agg(F.max(header.cast("int")).alias("headed"))
+    headless = files.filter("headed = 0").select("file")
+    rows = scan.filter(~header)
+    missing = F.col("id").isNull() if "id" in names else F.lit(False)
+    whole = rows.join(headless, "file", "left_anti")
+    # An open quote takes the records after it into its field; they are told by their number of fields.
+    taken = rf"[\r\n][+-]?\d+(?:,[^\r\n]*){{{len(names) - 1}}}"
+    swallows = F.lit(False)
+    for field in schema:
+        if field.dataType == T.StringType():
+            swallows = swallows | F.coalesce(F.col(field.name).rlike(taken), F.lit(False))
+    broken = F.when(F.col("record").isNotNull(), _cause(schema)).when(missing, "id").when(swallows, "quote")
+    whole = whole.withColumn("cause", broken)
+    good = whole.filter("cause is null").select("group", "user", *names)
+    line = F.coalesce("record", F.to_csv(F.struct(*names), {k: v for k, v in CSV.items() if k != "header"}))
+    bad = whole.filter("cause is not null")
+    lost = rows.join(headless, "file", "left_semi").withColumn("cause", F.lit("header"))
+    bad = bad.unionByName(lost).withColumn("record", line)
+    return good, bad.select(*BAD_RECORDS.fieldNames())
+
+
+def write_user_files(posts: DataFrame, path: str) -> None:
+    """K1: the posts of each user as CSV files below ``group=../user=..``, with a header each."""
+    posts.select("group", "user", *USER_FILE.fieldNames()).write.mode("overwrite").options(**CSV).partitionBy("group", "user").csv(path)
 
 
 def merge(*tables: DataFrame) -> DataFrame:

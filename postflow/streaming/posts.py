@@ -14,6 +14,7 @@ from postflow.schemas import LONG, POST_KEY, POSTS, RAW_POSTS
 from postflow.sources.posts import (
     FOLDERS, STORED_POSTS, flatten_posts, quarantine, with_folders, write_posts,
 )
+from postflow.sources.snapshots import SnapshotTable, part_name, stream_of
 
 
 def raw_stream(
@@ -119,12 +120,6 @@ def stream_posts(
     )
 
 
-def _written(spark: SparkSession, path: str) -> bool:
-    """Whether a write to ``path`` has been committed."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
-
-
 def latest_rows(batch: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One row per key: the one that is last by the columns ``order``, then by value.
 
@@ -134,41 +129,42 @@ def latest_rows(batch: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     return batch.groupBy(*NATURAL_KEY).agg(last.alias("value"))
 
 
+def long_table(spark: SparkSession, path: str) -> SnapshotTable:
+    """The long table at ``path``; its parts are days."""
+    return SnapshotTable(spark, path, LONG)
+
+
 def upsert_long(path: str, order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """I4: a ``foreachBatch`` function that merges a batch into the long table at ``path``.
 
     Known rows keep their key and take the batch's value, the last one by ``order`` if it has several.
-    Only the touched dates are read and rewritten.  The new state of those dates is written aside
-    first, to ``path`` + "-next"; should the replacement break off, the batch runs again and finds it
-    there, so no row is lost with the partitions it was read from.
+    Only the touched days are read and written anew, and the table goes over to them at once: a crash at any
+    point and a reader at any time see the old state or the new one.  The table remembers the stream and the
+    batch, so a batch that runs again changes nothing, and one of a new checkpoint is a new one.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        staged = f"{path}-next/batch={batch_id}"
-        if not _written(spark, staged):
-            rows = latest_rows(batch, order).persist()
-            stored = _stored(spark, path, LONG)
-            if stored is None:
-                merged = with_keys(rows)
-            else:
-                stored = stored.filter(_touched(rows, "date"))
-                others = stored.join(rows, [*NATURAL_KEY], "left_anti")
-                merged = with_keys(rows, stored).unionByName(others)
-            merged.select(*LONG.fieldNames()).write.mode("overwrite").parquet(staged)
-            rows.unpersist()
-        (
-            spark.read.schema(LONG).parquet(staged)
-            .hint("rebalance", "date")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("date")
-            .parquet(path)
-        )
+        stream = stream_of(spark)
+        rows = latest_rows(batch, order).persist()
+        day = part_name(F.col("date"))
+        days = [r[0] for r in rows.select(day).distinct().collect()]  # as many as the table has folders
+
+        def merged(stored: DataFrame) -> DataFrame:
+            others = stored.join(rows, [*NATURAL_KEY], "left_anti")
+            return with_keys(rows, stored).select(*LONG.fieldNames()).unionByName(others)
+
+        long_table(spark, path).rewrite(days, merged, day, (stream, batch_id) if stream else None)
+        rows.unpersist()
 
     return upsert
 
 
+def read_long(spark: SparkSession, path: str, days: Sequence[str] | None = None) -> DataFrame:
+    """I4: the long table at ``path``, or the rows of some days."""
+    return long_table(spark, path).read(days)
+
+
 def stream_long(
     long: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, order: Sequence[str] = ()
 ) -> StreamingQuery:
