@@ -1,5 +1,6 @@
 """Connected components of a graph given by its edges."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,18 @@ def components(edges: DataFrame) -> DataFrame:
         last = tuple(now)
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+
+
+def forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, root) that join what the links join: one for each linked point but the roots."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, left, label[right])
+        np.minimum.at(new, right, label[left])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(n))
+    return own, label[own]

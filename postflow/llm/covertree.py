@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.components import components
+from postflow.llm.components import components, forest
 from postflow.session import materialise
 
 #: Vectors of the sample that cells are made from, cells at most, and members of a block.
@@ -112,21 +112,6 @@ def _cells(sample: np.ndarray, wanted: int) -> np.ndarray:
     return sample[[n.center for n in found]]
 
 
-def _forest(left: np.ndarray, right: np.ndarray, n: int):
-    """Edges (i, root) that join what the links join: one for each linked point but the roots."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, left, label[right])
-        np.minimum.at(new, right, label[left])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = np.flatnonzero(label != np.arange(n))
-    return own, label[own]
-
-
 def _unit(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     points = flat.reshape(len(column), -1)
@@ -160,7 +145,7 @@ def _links(cosine: float):
         order = np.argsort(ids, kind="stable")  # roots are smallest ids
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        own, root = _forest(place[np.concatenate(label_left)], place[np.concatenate(label_right)], len(ids))
+        own, root = forest(place[np.concatenate(label_left)], place[np.concatenate(label_right)], len(ids))
         joined = np.full(len(ids), -1, np.int64)
         joined[order[own]] = order[root]
         kept = np.flatnonzero(links > 0)

@@ -1,17 +1,18 @@
 """Near-duplicate documents by improved consistent weighted sampling (operator 4).
 
-A document is a weighted set of shingles of five words.  A shingle's weight is its count in the document
-times its idf, the mean of its words' 1 + ln((1 + N) / (1 + df)), at every size of the corpus.  A sample of a set is one shingle with a number
-of its weight, drawn so that two sets give the same sample with the probability of their weighted Jaccard
-similarity (Ioffe 2010).  Shingles are dealt to 16 bins in each of 8 rounds and each bin draws one sample,
-which makes 128 samples for 8 draws a shingle; an empty bin takes that of the next full one in an order of
-its own.  Five samples make a band, and documents that agree in one of 25 bands are candidates.
-
-Every two candidates of different classes are compared by their exact weighted Jaccard similarity.  To
-have few of them, members of a bucket are first compared with one leader, in a few bands and then in all,
-then with eight; after every round the links become classes.  When that leaves few pairs or finds
-no link, all pairs of different classes that were not compared yet are.  So a bucket of n like texts
-takes about n comparisons, and one of n unlike texts takes them all, in any number of tasks.
+A document is a weighted set of shingles of five words.  A shingle's weight is its count in the document times
+its idf, 1 + ln((1 + N) / (1 + df)), where df counts the documents with a shingle of the same feature: as with hashed
+term frequencies, shingles are hashed to 2**20 features, so all counts fit one array at any size of the
+corpus.  A sample of a set is one shingle with a number of its weight, drawn so that two sets give the same sample with
+the probability of their weighted Jaccard similarity (Ioffe 2010).  Shingles are dealt to 16 bins in each of 8
+rounds and each bin draws one sample, which makes 128 samples for 8 draws a shingle; an empty bin takes that of the
+next full one in an order of its own.  Five samples make a band, and documents that agree in one of 25 bands are
+candidates.
+
+Documents that candidates connect form a part, and links never leave a part.  All documents of a part are compared by
+their exact weighted Jaccard similarity, as products of matrices inside tasks, which give only the edges that
+join the linked ones: so a part of n texts is n rows, however many of its pairs are alike.  A part of more than
+a block is compared band by band, and a band of more than a block as pairs of blocks.
 """
 
 from collections.abc import Iterator
@@ -19,177 +20,109 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postflow.llm import text as tx
-from postflow.llm.components import components
+from postflow.llm.components import components, forest
 from postflow.session import materialise
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROUNDS, BINS = 8, 16
 BANDS, ROWS = 25, 5
-#: Bands that the first classes are made from.
-FIRST_BANDS = 4
-#: Leaders that a bucket elects at once when one has not settled it.
-MOST_LEADERS = 8
-#: All pairs are compared when there are at most so many for each row of a bucket.
-FEW_PAIRS = 4
-#: Rows of a bucket whose pairs one task makes.
-SPREAD = 256
-#: Words are told to all tasks if their documents are at least this share of all (document, word)
-#: pairs, so there are at most 50,000; the df of others come to their documents by a join.
-IDF_WORDS = 50_000
-
-_RARE = "array<struct<word:long,df:long>>"
-
-
-def _idf(n: int, df) -> np.ndarray:
-    return 1 + np.log((1 + n) / (1 + df))
-
-
-class Idf(NamedTuple):
-    """Sorted word hashes with their idf, the idf of all other words, and the number of documents."""
-
-    words: np.ndarray
-    values: np.ndarray
-    rare: float
-    docs: int = 0
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), bool)
-        return self.words[np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)] == hashes
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(hashes), self.rare)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.values[at], self.rare)
-
-    def plus(self, *lists: pa.Array) -> "Idf":
-        """With the words of lists of (word, df) too; none of them is here yet."""
-        flat = pa.concat_arrays([x.flatten() for x in lists])
-        if not len(flat):
-            return self
-        words, first = np.unique(pc.struct_field(flat, "word").to_numpy().view(np.uint64), return_index=True)
-        values = _idf(self.docs, pc.struct_field(flat, "df").to_numpy()[first])
-        words, values = np.concatenate([self.words, words]), np.concatenate([self.values, values])
-        order = np.argsort(words)
-        return self._replace(words=words[order], values=values[order])
-
-
-def _word_table(docs: DataFrame) -> tuple[Idf, DataFrame | None]:
-    """The idf of the words that are told to all tasks, and (word, df) of the others with two documents or more."""
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "text", 8 << 20):
-            found = tx.words(tx.column(part, "text"), tx.LOWER)
-            if not len(found.terms):
-                continue
-            doc = np.repeat(np.arange(len(part)), np.diff(found.offsets))
-            seen = np.unique(found.codes * len(part) + doc) // len(part)
-            df = np.bincount(seen, minlength=len(found.terms))
-            used = np.flatnonzero(df)
-            word = tx.hashes(found.terms).view(np.int64)[used]
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(df[used])], ["word", "df"])
-
-    n = docs.count()
-    df = docs.select("text").mapInArrow(frequencies, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
-    df = materialise(df, "word-frequencies")
-    pairs = df.agg(F.sum("df")).first()[0] or 0
-    floor = max(2.0, pairs / IDF_WORDS)
-    kept = df.filter(F.col("df") >= floor).toArrow()  # 50,000 rows at most
-    words = kept.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    idf = Idf(words[order], _idf(n, kept.column("df").to_numpy()[order]), float(_idf(n, 1)), n)
-    return idf, df.filter((F.col("df") > 1) & (F.col("df") < floor)) if floor > 2 else None
-
-
-def word_idf(docs: DataFrame) -> Idf:
-    """The idf of the most common words, counted over all of ``docs`` (id, text); others have that of one document."""
-    return _word_table(docs)[0]
-
-
-def _rare_words(docs: DataFrame, idf: Idf, others: DataFrame) -> DataFrame:
-    """(id, mark, rare): the words of each text that ``idf`` lacks, with their df; ``mark`` is a hash of the text.
-
-    No word is hot in the join, as those in many documents are in ``idf``.
-    """
+#: Shingles are hashed to so many features, a power of two, by the upper bits of their hash.
+FEATURE_BITS = 20
+#: Texts and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Features of a matrix.
+_WIDTH = 2048
+#: Features whose counts travel together.
+_PIECE = 1 << 14
 
-    def missed(batches):
-        for part in tx.slices(batches, "text", 8 << 20):
-            found = tx.words(tx.column(part, "text"), tx.LOWER)
-            word = tx.hashes(found.terms)
-            use = ~idf.has(word)[found.codes] if len(word) else np.zeros(0, bool)
-            if not use.any():
-                continue
-            doc = np.repeat(np.arange(len(part)), np.diff(found.offsets))[use]
-            pair = np.unique(found.codes[use] * len(part) + doc)
-            row, word = pair % len(part), word.view(np.int64)[pair // len(part)]
-            for at in range(0, len(row), 50_000):
-                own = pa.array(row[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays(
-                    [tx.column(part, "id").take(own), tx.column(part, "mark").take(own), pa.array(word[at : at + 50_000])], ["id", "mark", "word"]
-                )
-
-    marked = docs.filter("id is not null").select("id", "text", F.xxhash64("text").alias("mark"))
-    words = marked.mapInArrow(missed, "id long, mark long, word long")
-    found = words.join(others, "word").groupBy("id", "mark").agg(F.collect_set(F.struct("word", "df")).alias("rare"))
-    return materialise(found, "rare-words")
-
-
-def _weighed(docs: DataFrame, rare: DataFrame | None) -> DataFrame:
-    """``docs`` (id, text) with the ``rare`` words of each text; rows without an id, which are not compared, have none."""
-    none = F.lit(None).cast(_RARE).alias("rare")
-    if rare is None:
-        return docs.select("id", "text", none)
-    marked = docs.filter("id is not null").withColumn("mark", F.xxhash64("text"))
-    return marked.join(rare, ["id", "mark"], "left").select("id", "text", "rare").unionByName(docs.filter("id is null").select("id", "text", none))
+_LOW = np.uint64(64 - FEATURE_BITS)
 
 
-class Shingles(NamedTuple):
-    """Distinct shingles of each text, in no order: row, hash, weight."""
+def feature(keys: np.ndarray) -> np.ndarray:
+    """The feature of each shingle."""
+    return (keys >> _LOW).astype(np.int64)
 
-    row: np.ndarray
-    key: np.ndarray
-    weight: np.ndarray
 
-
-def shingles(texts: pa.Array, idf: Idf, size: int = SHINGLE) -> Shingles:
-    """The weighted shingles of every text; one of fewer words than ``size`` is one shingle."""
+def occurrences(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every shingle, in no order; a text of fewer words than ``size`` is one shingle."""
     found = tx.words(texts, tx.LOWER)
     lengths = np.diff(found.offsets)
-    word = tx.hashes(found.terms)
-    value = idf.of(word)[found.codes]
-    word = word[found.codes]
-    n = len(word)
+    word = tx.hashes(found.terms)[found.codes]
     row = np.repeat(np.arange(len(lengths)), lengths)
     # All runs of ``size`` words, those over the end of a text too, which then drop out.
-    at = np.arange(max(0, n - size + 1))
+    at = np.arange(max(0, len(word) - size + 1))
     at = at[row[at] == row[at + size - 1]]
-    key, total = word[at], value[at]
+    key = word[at]
     for k in range(1, size):
         key = tx.paired(key, word[at + k])
-        total += value[at + k]
-    row, weight = row[at], total / size
-    for short in np.flatnonzero((lengths > 0) & (lengths < size)).tolist():
-        own = slice(found.offsets[short], found.offsets[short + 1])
-        whole = word[own][0]
-        for other in word[own][1:]:
-            whole = tx.paired(np.array([whole]), np.array([other]))[0]
-        row, key = np.append(row, short), np.append(key, whole)
-        weight = np.append(weight, value[own].mean())
-    if not len(row):
-        return Shingles(row, key, weight)
+    row = row[at]
+    short = np.flatnonzero((lengths > 0) & (lengths < size))
+    if len(short):
+        first = found.offsets[short]
+        whole = word[first]
+        for k in range(1, size):
+            more = lengths[short] > k
+            whole = np.where(more, tx.paired(whole, word[np.minimum(first + k, len(word) - 1)]), whole)
+        row, key = np.concatenate([row, short]), np.concatenate([key, whole])
+    return row, key
+
+
+class Shingles(NamedTuple):
+    """Distinct shingles of each text, in no order: row, hash, count, weight."""
+
+    row: np.ndarray
+    key: np.ndarray
+    count: np.ndarray
+    weight: np.ndarray
+
+
+def shingles(texts: pa.Array, idf: np.ndarray, size: int = SHINGLE) -> Shingles:
+    """The weighted shingles of every text; ``idf`` has a number for each feature."""
+    row, key = occurrences(texts, size)
     order = np.argsort(tx.paired(key, row.astype(np.uint64)), kind="stable")
-    row, key, weight = row[order], key[order], weight[order]
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
     count = np.diff(np.append(np.flatnonzero(new), len(row)))
-    return Shingles(row[new], key[new], weight[new] * count)
+    row, key = row[new], key[new]
+    return Shingles(row, key, count, count * idf[feature(key)].astype(np.float64))
+
+
+def shingle_idf(docs: DataFrame) -> np.ndarray:
+    """The idf of every feature, counted over all texts of ``docs`` (id, text): 2**20 numbers at any size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << FEATURE_BITS, np.int64)
+        for part in tx.slices(batches, "text", 8 << 20):
+            row, key = occurrences(tx.column(part, "text"))
+            pair = np.unique(feature(key) * len(part) + row)
+            df += np.bincount(pair // len(part), minlength=len(df))
+        yield from pieces(df)
+
+    def pieces(df: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(df), _PIECE):
+            if df[at : at + _PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([df[at : at + _PIECE].tobytes()])], ["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << FEATURE_BITS, np.int64)
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                df[at : at + _PIECE] += np.frombuffer(counts.as_buffer(), np.int64)
+        yield from pieces(df)
+
+    schema = "piece long, counts binary"
+    counted = docs.select("text").mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema)
+    df = np.zeros(1 << FEATURE_BITS, np.int64)
+    for row in counted.collect():  # 8 MB at any size
+        df[row["piece"] : row["piece"] + _PIECE] = np.frombuffer(row["counts"], np.int64)
+    return (1 + np.log((1 + docs.count()) / (1 + df))).astype(np.float32)
 
 
 def _orders() -> np.ndarray:
@@ -239,150 +172,185 @@ def bands(drawn: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity(left: pa.Array, right: pa.Array, idf: Idf) -> np.ndarray:
-    """The weighted Jaccard similarity of each pair of texts; 0 if neither has a word."""
-    n = len(left)
-    both = shingles(pa.concat_arrays([left, right]), idf)
-    pair = both.row % n
-    order = np.lexsort((both.key, pair))
-    pair, key, weight = pair[order], both.key[order], both.weight[order]
-    common = np.flatnonzero((pair[1:] == pair[:-1]) & (key[1:] == key[:-1]))
-    shared = np.bincount(pair[common], np.minimum(weight[common], weight[common + 1]), n)
-    total = np.bincount(pair, weight, n) - shared
-    return np.divide(shared, total, out=np.zeros(n), where=total > 0)
+def unrolled(found: Shingles) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every shingle as often as it occurs: its k-th occurrence has a key of its own, of the same feature."""
+    row, key = np.repeat(found.row, found.count), np.repeat(found.key, found.count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(found.count) - found.count, found.count)
+    low = np.uint64((1 << (64 - FEATURE_BITS)) - 1)
+    later = (key & ~low) | (tx.mixed(key + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & low)
+    return row, np.where(nth > 0, later, key)
 
 
-def _sketches(docs: DataFrame, idf: Idf) -> DataFrame:
-    """(id, content, bands) of every row: a digest of its words in order, and its bands; null without words."""
+def similarities(keys: list[np.ndarray], left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The weighted Jaccard similarity of the texts ``left`` and ``right``, places in ``keys``, which are unrolled.
+
+    The smaller of two counts is the number of occurrences that both texts have, so sums of
+    minima are products of matrices of ones and zeros, weighed by idf.
+    """
+    n = len(keys)
+    flat, doc = np.concatenate(keys), np.repeat(np.arange(n), [len(k) for k in keys])
+    weight = idf[feature(flat)].astype(np.float64)
+    total = np.bincount(doc, weight, n)
+    order = np.argsort(flat, kind="stable")
+    flat, doc, weight = flat[order], doc[order], weight[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    group = np.cumsum(new) - 1
+    often = np.bincount(group) > 1  # what only one text has is in no sum
+    use = often[group]
+    column = (np.cumsum(often) - 1)[group[use]]
+    doc, weight = doc[use], weight[use]
+    common = np.zeros((len(left), len(right)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, _WIDTH):
+        part = slice(*np.searchsorted(column, [at, at + _WIDTH]))
+        ones = np.zeros((n, _WIDTH))
+        ones[doc[part], column[part] - at] = 1
+        value = np.zeros(_WIDTH)
+        value[column[part] - at] = weight[part]
+        common += (ones[left] * value) @ ones[right].T
+    union = total[left][:, None] + total[right][None, :] - common
+    return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+
+
+def _sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(id, mark, content, bands, size) of every row: a digest of its words in order, its bands and its shingles; null without words."""
 
     def sketch(batches):
         for part in tx.slices(batches, "text", 4 << 20):
             texts = tx.column(part, "text")
-            found = shingles(texts, idf.plus(tx.column(part, "rare")))
-            has = np.bincount(found.row, minlength=len(part)) > 0
+            found = shingles(texts, idf)
+            size = np.bincount(found.row, found.count, len(part)).astype(np.int64)
             hashed = bands(samples(found, len(part))).view(np.int64)
             content = [
                 xxhash.xxh3_128_digest(b" ".join(t.encode().translate(tx.LOWER).split())) if k else None
-                for t, k in zip(texts.to_pylist(), has)
+                for t, k in zip(texts.to_pylist(), size)
             ]
             yield pa.RecordBatch.from_arrays(
-                [tx.column(part, "id"), pa.array(content, pa.binary()),
-                 pa.array([h.tolist() if k else None for h, k in zip(hashed, has)], pa.list_(pa.int64()))],
-                ["id", "content", "bands"],
+                [tx.column(part, "id"), tx.column(part, "mark"), pa.array(content, pa.binary()),
+                 pa.array([h.tolist() if k else None for h, k in zip(hashed, size)], pa.list_(pa.int64())), pa.array(size)],
+                ["id", "mark", "content", "bands", "size"],
             )
 
-    return docs.mapInArrow(sketch, "id long, content binary, bands array<long>")
+    return docs.select("id", "mark", "text").mapInArrow(sketch, "id long, mark long, content binary, bands array<long>, size long")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
-    """Those of ``pairs`` (id, leader) whose texts are similar enough; a hot leader's rows can be split."""
+def _packed(texts: DataFrame) -> DataFrame:
+    """(rep, keys): the unrolled shingles of each text."""
+    flat = np.ones(1 << FEATURE_BITS, np.float32)
 
-    def check(batches):
+    def pack(batches):
         for part in tx.slices(batches, "text", 4 << 20):
-            left, right = (tx.column(part, c).cast(pa.large_string()) for c in ("text", "other"))
-            chosen = pa.array(similarity(left, right, idf.plus(tx.column(part, "rare"), tx.column(part, "other_rare"))) >= least)
-            yield pa.RecordBatch.from_arrays([tx.column(part, "id").filter(chosen), tx.column(part, "leader").filter(chosen)], ["id", "leader"])
-
-    other = texts.select(F.col("id").alias("leader"), F.col("text").alias("other"), F.col("rare").alias("other_rare"))
-    full = pairs.join(texts.select("id", "text", "rare"), "id").join(other, "leader")
-    return full.select("id", "leader", "text", "other", "rare", "other_rare").mapInArrow(check, "id long, leader long")
-
-
-def _edges(links: DataFrame) -> DataFrame:
-    return links.select(F.col("id").alias("a"), F.col("leader").alias("b"))
-
-
-def _classed(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """``rows`` with the ``class`` of each id so far."""
-    if joined is None:
-        return rows.withColumn("class", F.col("id"))
-    return rows.join(joined, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The classed ``rows`` of buckets of several classes, with a bucket's ``size``, ``main`` class and the size of that."""
-    classes = rows.groupBy("band", "class").agg(F.count("id").alias("n"))
-    buckets = classes.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "class")).alias("most"), F.count("n").alias("classes"))
-    buckets = buckets.filter("classes > 1").select("band", "size", F.col("most.class").alias("main"), F.col("most.n").alias("most"))
-    return rows.join(buckets, "band")
-
-
-def _led(mixed: DataFrame, some: int, number: int) -> DataFrame:
-    """(id, leader): the members of each bucket with those ``some`` that lead it in this round, of other classes."""
-    part = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(some))  # parts are told before the shuffle
-    first = F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("order"), "id", "class")).alias("first")
-    leaders = mixed.groupBy("band", part.alias("part")).agg(first)
-    leaders = leaders.select("band", F.col("first.id").alias("leader"), F.col("first.class").alias("led"))
-    return mixed.join(leaders, "band").filter("class != led").select("id", "leader")
-
-
-def _across(mixed: DataFrame) -> DataFrame:
-    """(id, leader): all pairs of different classes of each bucket; large buckets are dealt over tasks.
-
-    One side is never of the main class, so at most half of the joined rows are not such pairs.
+            row, key = unrolled(shingles(tx.column(part, "text"), flat))
+            order = np.argsort(row, kind="stable")
+            ends = np.cumsum(np.bincount(row, minlength=len(part)))
+            cut = np.split(key[order], ends[:-1])
+            yield pa.RecordBatch.from_arrays([tx.column(part, "rep"), pa.array([k.tobytes() for k in cut], pa.binary())], ["rep", "keys"])
+
+    return texts.select("rep", "text").mapInArrow(pack, "rep long, keys binary")
+
+
+def _linked(idf: np.ndarray, least: float):
+    """(a, b): edges that join the linked texts of every group of rows (cell, i, j, block, rep, keys); rows come sorted by group."""
+
+    def solve(i, j, rows):
+        texts = {rep: (block, keys) for block, rep, keys in rows}  # a row may come twice
+        reps = np.array(sorted(texts))
+        block = np.array([texts[r][0] for r in reps.tolist()])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return []
+        keys = [np.frombuffer(texts[r][1], np.uint64) for r in reps.tolist()]
+        a, b = np.nonzero(similarities(keys, left, right, idf) >= least - 1e-9)
+        own, root = forest(left[a], right[b], len(reps))
+        return list(zip(reps[own].tolist(), reps[root].tolist()))
+
+    def links(batches):
+        now, held, out = None, [], []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for cell, i, j, *row in zip(*columns):
+                if (cell, i, j) != now:
+                    if held:
+                        out += solve(now[1], now[2], held)
+                    now, held = (cell, i, j), []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                out = []
+        if held:
+            out = solve(now[1], now[2], held)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return links
+
+
+def _blocks(cells: DataFrame) -> DataFrame:
+    """(cell, blocks): into how many blocks the texts of each cell are dealt."""
+    sizes = cells.groupBy("cell").agg(F.count("rep").alias("n"), F.sum("size").alias("shingles"))
+    return sizes.select("cell", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks"))
+
+
+def _groups(banded: DataFrame) -> DataFrame:
+    """(cell, i, j, block, rep): what is compared with what; ``banded`` has (rep, size, band).
+
+    Cells are parts, or the bands of a part that is larger than a block.  Those of one block are
+    groups with i = j = 0; the others are groups for each pair of blocks.
     """
-    parts = F.ceil(F.col("size") / SPREAD)
-    rows = mixed.select("band", F.pmod(F.xxhash64("id"), parts).alias("part"), "id", "class")
-    other = mixed.filter("class != main").select(
-        "band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("id").alias("leader"), F.col("class").alias("led")
-    )
-    return rows.join(other, ["band", "part"]).filter("class != led").select("id", "leader")
+    heads = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("rep").alias("n")).filter("n > 1").select("band", "head")
+    shared = materialise(banded.join(heads, "band"), "buckets")
+    parts = components(shared.filter("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b")))
+    parts = parts.select(F.col("id").alias("rep"), F.col("component").alias("part"))
+    sized = materialise(shared.select("rep", "size").distinct().join(parts, "rep"), "parts")
+    blocks = _blocks(sized.withColumnRenamed("part", "cell"))
+    large = blocks.filter("blocks > 1").select(F.col("cell").alias("part"))
+    whole = sized.join(large, "part", "left_anti").select(F.struct(F.lit(0).alias("kind"), F.col("part").alias("key")).alias("cell"), "rep")
+    one = F.lit(1).cast("long").alias("blocks")
+    spread = shared.join(sized.join(large, "part").select("rep"), "rep")
+    spread = spread.select(F.struct(F.lit(1).alias("kind"), F.col("band").alias("key")).alias("cell"), "rep", "size")
+    spread = spread.join(_blocks(spread), "cell").select("cell", "rep", "blocks")
+    members = whole.select("cell", "rep", one).unionByName(spread)
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long")
+    members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return members.select(F.xxhash64("cell").alias("cell"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_copies, kept) of every row.
+    """(doc_id, class_id, n_copies, kept, mark) of every row.
 
     A class holds the documents that links of similarity ``least`` or more join; ``class_id`` is its
     smallest id, and ``kept`` marks that document.  Texts of the same words are copies: ``n_copies``
     counts a text's copies, itself included, and they are compared once.  A null text, or one without a
-    word, is a class of its own.  Words are split at ASCII white space, A-Z lower-cased.  Rows that repeat
-    an id are of one class.  A row without an id is not compared: its class is null and it is kept.
+    word, is a class of its own.  Words are split at ASCII white space, A-Z lower-cased.  Rows that repeat an
+    id are documents of their own; ``mark``, the xxhash64 of the text, tells them apart, and of those of a class's
+    smallest id the one of the smallest mark is kept, with rows that repeat it wholly.  A row without an
+    id is not compared: its class is null and it is kept.
     """
-    keyed = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
-    idf, others = _word_table(keyed)
-    rare = None if others is None else _rare_words(keyed, idf, others)
-    sketched = materialise(_sketches(_weighed(keyed, rare), idf), "sketches")
-    copies = materialise(
-        sketched.filter("content is not null and id is not null").groupBy("content").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies")),
-        "copies",
+    keyed = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("mark"))
+    idf = shingle_idf(keyed)
+    sketched = materialise(_sketches(keyed, idf), "sketches")
+    first = F.min(F.struct("id", "mark")).alias("first")
+    copies = sketched.filter("content is not null and id is not null").groupBy("content").agg(
+        first, F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("size").alias("size")
     )
-    # From here on one text per content, and texts only of documents that share a band with another.
-    first = copies.select("content", F.col("rep").alias("id"))
-    banded = sketched.join(first, ["content", "id"], "left_semi").select("id", F.posexplode("bands").alias("number", "band")).distinct()
-    banded = materialise(banded, "bands")
-    shared = banded.groupBy("band").agg(F.count("id").alias("n")).filter("n > 1").select("band")
-    active = materialise(banded.join(shared, "band"), "buckets")
-    texts = keyed.join(active.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialise(_weighed(texts, rare), "candidates")
-    # A few bands make the first classes, one leader and then more leaders larger ones; then come all pairs that are left.
-    links, joined, tried, number, some, stuck = None, None, None, 0, 1, False
-    while True:
-        rows = active.filter(F.col("number") < FIRST_BANDS) if number == 0 else active
-        mixed = materialise(_mixed(_classed(rows.select("band", "id"), joined)), "buckets")
-        n, left = mixed.agg(F.count("id"), F.sum((F.col("size") - F.col("most")).cast("double"))).first()
-        if number and not n:
-            break
-        last = number > 0 and (stuck or (left or 0) <= FEW_PAIRS * n)
-        pairs = _across(mixed) if last else _led(mixed, some, number)
-        pairs = pairs.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["id", "leader"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialise(_linked(pairs, texts, idf, least), "links")
-        links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        joined = components(_edges(links))
-        some = 1 if number == 0 else MOST_LEADERS
-        stuck = number > 0 and found.isEmpty()
-        number += 1
-    classes = copies.select("content", "rep", "n_copies")
-    joined = components(_edges(links)).withColumnRenamed("id", "rep")
-    classes = classes.join(joined, "rep", "left")
-    classes = classes.select("content", "n_copies", F.coalesce("component", "rep").alias("class"))
-    class_id = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
+    copies = materialise(copies.withColumn("rep", F.monotonically_increasing_id()), "copies")  # numbers must not change
+    banded = copies.select("rep", "size", F.explode(F.array_distinct("bands")).alias("band"))
+    groups = materialise(_groups(materialise(banded, "bands")), "groups")
+    chosen = copies.join(groups.select("rep").distinct(), "rep").select("first.id", "first.mark", "rep")
+    texts = keyed.join(chosen, ["id", "mark"]).groupBy("rep").agg(F.min("text").alias("text"))
+    packed = materialise(_packed(texts), "shingles")
+    ordered = groups.join(packed, "rep").select("cell", "i", "j", "block", "rep", "keys")
+    ordered = ordered.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    links = materialise(ordered.mapInArrow(_linked(idf, least), "a long, b long"), "links")
+    joined = components(links).withColumnRenamed("id", "rep")
+    classed = copies.join(joined, "rep", "left").select("content", "first", "n_copies", F.coalesce("component", "rep").alias("class"))
+    heads = classed.groupBy("class").agg(F.min("first").alias("head"))
+    classes = classed.join(heads, "class").select("content", "n_copies", "head")
     alone = F.col("id").isNull() | F.col("n_copies").isNull()
-    return sketched.select("id", "content").join(classes, "content", "left").select(
-        F.col("id").alias("doc_id"), class_id.alias("class_id"),
+    found = sketched.select("id", "mark", "content").join(classes, "content", "left")
+    return found.select(
+        F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.coalesce("head.id", "id")).alias("class_id"),
         F.when(alone, 1).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-        F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"),
+        F.when(alone, F.lit(True)).otherwise((F.col("id") == F.col("head.id")) & (F.col("mark") == F.col("head.mark"))).alias("kept"),
+        "mark",
     )

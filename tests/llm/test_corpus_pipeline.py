@@ -118,3 +118,13 @@ def test_replacement_characters_of_a_document_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
     assert found == {1: rows[0][1], 2: "c\ufffdd e\ufffdf"}
+
+
+def test_near_dedup_keeps_one_row_of_each_text(spark):
+    """Rows that repeat an id are documents of their own; copies go, and what is unlike stays."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a, "x"), (1, b, "x"), (2, a + " more", "y"), (2, b, "y"), (3, "short", "z"), (3, "short", "z"), (None, a, "n"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    found = cp.near_dedup(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [rows[0], rows[1], rows[4], rows[6], rows[7]]))

@@ -6,12 +6,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
-from helpers import contamination, jaccard
+from helpers import contamination, lower
 
 from postflow.llm import covertree, decontaminate, minhash
 from postflow.llm.components import components
 
-EMPTY = minhash.Idf(np.zeros(0, np.uint64), np.zeros(0), 1.0)
+FLAT = np.ones(1 << minhash.FEATURE_BITS, np.float32)
 
 
 def test_components(spark):
@@ -121,34 +121,6 @@ def near_rows():
     return list(enumerate(rows))
 
 
-def test_near_duplicates(table):
-    rows = near_rows()
-    found = {r.doc_id: r for r in minhash.near_duplicates(table(rows)).collect()}
-    assert len(found) == len(rows)
-    close, parent = 0, {i: i for i, _ in rows}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for k, (i, a) in enumerate(rows):
-        for j, b in rows[k + 1 :]:
-            if (a or "").split() and (b or "").split():
-                s = jaccard(a, b)
-                if s >= 0.75:
-                    parent[max(root(i), root(j))] = min(root(i), root(j))
-                if s >= 0.85:  # weights move a similarity a little
-                    close += 1
-                    assert found[i].class_id == found[j].class_id, (s, a, b)
-    assert close > 100
-    for i, t in rows:
-        r = found[i]
-        assert root(r.class_id) == root(i) and r.kept == (r.class_id == i) and r.class_id <= i
-        if not (t or "").split():
-            assert (r.class_id, r.n_copies) == (i, 1)
-
-
 def chained_rows():
     """Edit chains, hubs with spokes, and texts that resemble one spoke only, under shuffled ids."""
     rng = random.Random(11)
@@ -172,29 +144,101 @@ def chained_rows():
     return list(enumerate(map(" ".join, texts)))
 
 
-def linked_classes(rows, idf, least=0.8):
-    """Smallest id of each row's class if every two texts that share a band are compared."""
-    texts = pa.array([t for _, t in rows], pa.large_string())
-    hashed = minhash.bands(minhash.samples(minhash.shingles(texts, idf), len(rows)))
-    a, b = np.nonzero(np.triu((hashed[:, None, :] == hashed[None, :, :]).any(axis=2), 1))
-    close = minhash.similarity(texts.take(pa.array(a)), texts.take(pa.array(b)), idf) >= least
-    label = np.arange(len(rows))
-    for _ in rows:
-        before = label.copy()
-        np.minimum.at(label, a[close], label[b[close]])
-        np.minimum.at(label, b[close], label[a[close]])
-        if (before == label).all():
-            break
-    return {rows[k][0]: rows[label[k]][0] for k in range(len(rows))}
+def common_rows():
+    """Copies with few edits of texts of words that are common in all of them."""
+    rng = random.Random(12)
+    pick = lambda: f"w{int(900 * rng.random() ** 4)}"
+    texts = []
+    for _ in range(40):
+        base = [pick() for _ in range(60)]
+        for _ in range(5):
+            own = list(base)
+            for k in rng.sample(range(60), rng.randint(0, 2)):
+                own[k] = pick()
+            texts.append(" ".join(own))
+    return list(enumerate(texts))
+
+
+def weighted_links(rows, least=0.8):
+    """All pairs of rows of a weighted Jaccard similarity of ``least`` or more, by plain counting."""
+    sets = []
+    for _, t in rows:
+        w = lower(t).split(" ") if " " in (t or "") else lower(t).split()
+        w = [x for part in w for x in part.split()]
+        sets.append(Counter(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter())
+    every = sorted({g for s in sets for g in s})
+    feature = dict(zip(every, minhash.feature(np.concatenate([minhash.occurrences(pa.array([g], pa.large_string()))[1] for g in every])).tolist()))
+    df = Counter(f for s in sets for f in {feature[g] for g in s})
+    value = {g: 1 + math.log((1 + len(rows)) / (1 + df[feature[g]])) for g in every}
+    total = [sum(n * value[g] for g, n in s.items()) for s in sets]
+    found = []
+    for k, x in enumerate(sets):
+        for m in range(k + 1, len(sets)):
+            if x and sets[m]:
+                common = sum(min(n, sets[m][g]) * value[g] for g, n in x.items() if g in sets[m])
+                s = common / (total[k] + total[m] - common)
+                if s >= least:
+                    found.append((k, m, s))
+    return found
+
+
+def weighted_classes(rows, links):
+    """The smallest id of each row's class; a row without an id is not compared."""
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, _ in links:
+        if rows[a][0] is not None and rows[b][0] is not None:
+            parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return [None if i is None else least[root(k)] for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block, shingles", [(2048, 1 << 20), (5, 1 << 20), (2048, 300)])
+@pytest.mark.parametrize("make", ["near_rows", "chained_rows", "common_rows"])
+def test_classes_equal_brute_force(table, monkeypatch, make, block, shingles):
+    """Recall is 1 here: every link of 0.8 or more is found, those below 0.9 too."""
+    if make == "near_rows" and block != 2048:
+        pytest.skip("one table in small blocks is enough")
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+    rows = globals()[make]()
+    links = weighted_links(rows)
+    assert sum(s < 0.9 for *_, s in links) > 30 and len(links) > 80
+    want = weighted_classes(rows, links)
+    found = {r.doc_id: r for r in minhash.near_duplicates(table(rows)).collect()}
+    assert len(found) == len(rows)
+    assert {i: found[i].class_id for i, _ in rows} == {i: want[k] for k, (i, _) in enumerate(rows)}
+    words = Counter(" ".join(lower(t).split()) for _, t in rows)
+    for i, t in rows:
+        assert found[i].kept == (found[i].class_id == i)
+        assert found[i].n_copies == (words[" ".join(lower(t).split())] if (t or "").split() else 1)
 
 
-@pytest.mark.parametrize("few", [4, 0])
-def test_every_candidate_pair_is_joined_or_compared(table, monkeypatch, few):
-    monkeypatch.setattr(minhash, "FEW_PAIRS", few, raising=False)
-    monkeypatch.setattr(minhash, "SPREAD", 8, raising=False)
-    rows = chained_rows()
-    idf = minhash.word_idf(table(rows).selectExpr("doc_id as id", "text"))
-    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(table(rows)).collect()} == linked_classes(rows, idf)
+def test_rows_of_one_id_are_apart(table):
+    """A link of a text is not lost because its id has another text too, and one row of each class is kept."""
+    rng = random.Random(1)
+    a, b = (" ".join(f"{x}{rng.random()}" for _ in range(60)) for x in "ab")
+    near = a.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a), (1, b), (2, near), (2, b + " more"), (3, "alone"), (3, "apart")]
+    for turned in (rows, rows[::-1]):
+        found = minhash.near_duplicates(table(turned))
+        assert sorted((r.doc_id, r.class_id, r.n_copies, r.kept) for r in found.collect()) == [
+            (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 3, 1, True), (3, 3, 1, True),
+        ]
+
+
+def test_a_very_long_text(table):
+    long = " ".join(f"w{k % 70_001}" for k in range(1_500_000))
+    found = minhash.near_duplicates(table([(1, long), (2, long + " x"), (3, long[: len(long) // 2])])).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == [(1, 1), (2, 1), (3, 3)]
 
 
 def test_near_duplicates_of_odd_tables(table):
@@ -215,63 +259,25 @@ def test_samples_collide_as_often_as_sets_are_similar():
             b = np.where(rng.random(n) < 0.7, a, b)
             if not a.any() or not b.any():
                 continue
-            draw = [minhash.samples(minhash.Shingles(np.zeros((w > 0).sum(), np.int64), key[w > 0], w[w > 0]), 1) for w in (a, b)]
+            draw = [minhash.samples(minhash.Shingles(np.zeros((w > 0).sum(), np.int64), key[w > 0], np.ones((w > 0).sum()), w[w > 0]), 1) for w in (a, b)]
             errors.append((draw[0] == draw[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(errors)) < 0.02 and np.mean(np.abs(errors)) < 0.1
 
 
 def test_weighted_similarity():
-    a, b = pa.array(["a b c d e f a b c d e", None], pa.large_string()), pa.array(["A b c d e x", ""], pa.large_string())
-    # a: (a b c d e) twice and 5 more shingles once; b: (a b c d e) and (b c d e x) once
-    assert minhash.similarity(a, b, EMPTY).tolist() == [1 / 8, 0]
+    texts = pa.array(["a b c d e f a b c d e", "A b c d e x", "", "a b"], pa.large_string())
+    row, key = minhash.unrolled(minhash.shingles(texts, FLAT))
+    keys = [key[row == k] for k in range(4)]
+    # the first: (a b c d e) twice and 5 more shingles once; the second: (a b c d e) and (b c d e x) once
+    every = np.arange(4)
+    assert minhash.similarities(keys, every, every, FLAT).round(6).tolist() == [[1, 0.125, 0, 0], [0.125, 1, 0, 0], [0, 0, 0, 0], [0, 0, 0, 1]]
+    assert (minhash.feature(key) == minhash.feature(np.repeat(minhash.shingles(texts, FLAT).key, minhash.shingles(texts, FLAT).count))).all()
 
 
 def test_idf(table):
-    idf = minhash.word_idf(table([(1, "a b"), (2, "A c c"), (3, None)]).selectExpr("doc_id as id", "text"))
-    from postflow.llm import text as tx
-
-    values = dict(zip("abcz", idf.of(tx.hashes(pa.array(list("abcz")))).tolist()))
-    assert values == pytest.approx({"a": 1 + np.log(4 / 3), "b": 1 + np.log(2), "c": 1 + np.log(2), "z": 1 + np.log(2)})
-
-
-def weighted(a, b, value):
-    """Weighted Jaccard similarity of two lists of words."""
-    sets = []
-    for w in (a, b):
-        found = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
-        sets.append({g: n * sum(value[x] for x in g) / len(g) for g, n in found.items()})
-    keys = set(sets[0]) | set(sets[1])
-    return sum(min(s.get(k, 0) for s in sets) for k in keys) / sum(max(s.get(k, 0) for s in sets) for k in keys)
-
-
-def test_weights_do_not_depend_on_how_many_words_are_told_to_all_tasks(table, monkeypatch):
-    from postflow.llm import text as tx
-
-    rng = random.Random(12)
-    words = [f"w{k}" for k in range(900)]
-    pick = lambda: words[int(900 * rng.random() ** 4)]
-    texts = []
-    for _ in range(40):
-        base = [pick() for _ in range(60)]
-        for _ in range(5):
-            own = list(base)
-            for k in rng.sample(range(60), rng.randint(0, 2)):
-                own[k] = pick()
-            texts.append(own)
-    rows = list(enumerate(map(" ".join, texts)))
-    rows += [rows[7], (None, rows[7][1])]  # one repeats an id, one has none
-    df = Counter(x for _, t in rows for x in set(t.split()))
-    value = {x: 1 + math.log((1 + len(rows)) / (1 + n)) for x, n in df.items()}
-    hashed = tx.hashes(pa.array(list(value))).view(np.uint64)
-    order = np.argsort(hashed)
-    idf = minhash.Idf(hashed[order], np.array(list(value.values()))[order], 0.0)
-    for k in range(0, len(texts), 5):
-        found = minhash.similarity(pa.array([rows[k][1]], pa.large_string()), pa.array([rows[k + 1][1]], pa.large_string()), idf)
-        assert found[0] == pytest.approx(weighted(texts[k], texts[k + 1], value))
-    monkeypatch.setattr(minhash, "IDF_WORDS", 100)
-    assert 2 < sum(df.values()) / 100 < max(df.values())  # some words are told to all, some are not
-    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(rows)).collect() if r.doc_id is not None}
-    assert found == linked_classes(rows[: len(texts)], idf)
+    idf = minhash.shingle_idf(table([(1, "a b"), (2, "A  B"), (3, None), (4, "c c c c c c")]).selectExpr("doc_id as id", "text"))
+    value = lambda t: float(idf[minhash.feature(minhash.occurrences(pa.array([t], pa.large_string()))[1])[0]])
+    assert [value(t) for t in ("a b", "c c c c c", "unseen")] == pytest.approx([1 + np.log(5 / 3), 1 + np.log(5 / 2), 1 + np.log(5)])
 
 
 # --- benchmark passages
