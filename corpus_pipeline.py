@@ -26,15 +26,18 @@ def language(spark, docs, folder):
 
 
 def near_dedup(spark, docs, folder):
-    """Operator 4: one document of each group of near copies stays, that of the smallest id."""
-    found = minhash.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.filter(F.col("doc_id").isNotNull()).select("doc_id")
-    if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    alone = kept.filter(F.col("doc_id").isNull())  # rows that repeat an id are one group
-    return kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(alone)
+    """Operator 4: of each group of near copies one document stays, that of the smallest id and, among those, of the smallest
+    mark; of rows that repeat an id and a text one stays, whatever their other columns."""
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # so that no column's name can clash
+    column = dict(zip(names, inner))
+    plain = docs.toDF(*inner)
+    stay = minhash.near_duplicates(plain, column["doc_id"], column["text"]).filter("kept and doc_id is not null")
+    stay = stay.select("doc_id", "mark").distinct()
+    marked = plain.withColumns({"doc_id": F.col(column["doc_id"]).cast("long"), "mark": F.xxhash64(F.coalesce(column["text"], F.lit("")))})
+    kept = marked.join(stay, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])  # the join has put them together
+    alone = marked.filter("doc_id is null")
+    return kept.select(*inner).unionByName(alone.select(*inner)).toDF(*names)
 
 
 def suffix_dedup(spark, docs, folder):
