@@ -182,7 +182,8 @@ def unrolled(found: Shingles) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similarities(keys: list[np.ndarray], left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The weighted Jaccard similarity of the texts ``left`` and ``right``, places in ``keys``, which are unrolled.
+    """The weighted Jaccard similarity of the texts ``left`` and ``right``, places in ``keys``, which are unrolled; that of a
+    text with itself means nothing.
 
     The smaller of two counts is the number of occurrences that both texts have, so sums of
     minima are products of matrices of ones and zeros, weighed by idf.
