@@ -5,8 +5,10 @@ cells, the leaves of a cover tree over a bounded sample; a cell's covering radiu
 members.  Two cells can hold a pair only if their centres are no further apart than both radii and that
 distance, so the other pairs of cells are never made.  A cell with many members is dealt into blocks by a
 hash, and each pair of blocks is one task's work: a cover tree is built over each, nested levels whose
-radius halves, and both are walked together, pruning pairs of nodes by the same bound.  Nothing is
-approximate: sample, cells and blocks change the work, never the pairs.
+radius halves, and both are walked together, pruning pairs of nodes by the same bound.  Where halving the radius
+would take very many children, as among vectors that are all far from each other, a node stays undivided; two
+undivided nodes are compared by a product of matrices.  Nothing is approximate: sample, cells, blocks and nodes
+change the work, never the pairs.
 """
 
 import numpy as np
@@ -19,10 +21,13 @@ from postflow.session import materialise
 
 #: Vectors of the sample that cells are made from, cells at most, and members of a block.
 SAMPLE = 8192
-MOST_CELLS = 4096
-BLOCK = 4096
-#: Nodes of so few points are not divided.
-LEAF = 24
+MOST_CELLS = 512
+BLOCK = 8192
+#: Nodes of so few points, and those that would have so many children, are not divided.
+LEAF = 256
+MOST_PARTS = 64
+#: Rows of a product of matrices.
+_ROWS = 1024
 _SLACK = 1e-9
 
 
@@ -51,21 +56,22 @@ def build(points: np.ndarray) -> Node:
     while open_:
         node = open_.pop()
         if len(node.rows) <= LEAF or node.radius <= _SLACK:
-            node.parts, node.centers, node.radii = None, node.rows, np.zeros(len(node.rows))
             continue
         left = node.rows
         center, parts = node.center, []
-        while len(left):
+        while len(left) and len(parts) < MOST_PARTS:
             away = _distance(points[left], points[center])
             near = away <= node.radius / 2
             parts.append(Node(center, float(away[near].max(initial=0)), left[near]))
             left = left[~near]
             if len(left):
                 center = int(left[0])
+        if len(left):
+            continue
         node.parts = parts
         node.centers = np.array([p.center for p in parts])
         node.radii = np.array([p.radius for p in parts])
-        open_ += [p for p in parts if len(p.rows) > 1]
+        open_ += parts
     return root
 
 
@@ -77,26 +83,17 @@ def close_pairs(a: np.ndarray, b: np.ndarray, cosine: float):
     open_ = [(build(a), build(b))]
     while open_:
         x, y = open_.pop()
-        p, q = a[x.centers], b[y.centers]
-        dot = p @ q.T
-        away = np.sqrt(np.maximum(0, 2 - 2 * dot))
-        x_point = x.parts is None
-        y_point = y.parts is None
-        near = away <= x.radii[:, None] + y.radii[None, :] + reach
-        if x_point and y_point:
-            i, j = np.nonzero(dot >= cosine)
-            yield x.centers[i], y.centers[j]
+        if not x.parts and not y.parts:
+            for at in range(0, len(x.rows), _ROWS):
+                rows = x.rows[at : at + _ROWS]
+                i, j = np.nonzero(a[rows] @ b[y.rows].T >= cosine)
+                yield rows[i], y.rows[j]
             continue
-        for i, j in zip(*np.nonzero(near)):
-            u = _one(x.centers[i]) if x_point else x.parts[i]
-            v = _one(y.centers[j]) if y_point else y.parts[j]
-            open_.append((u if u.centers is not None else _one(u.center), v if v.centers is not None else _one(v.center)))
-
-
-def _one(row) -> Node:
-    node = Node(int(row), 0.0, np.array([row]))
-    node.centers, node.radii = node.rows, np.zeros(1)
-    return node
+        left, p, own = (x.parts, x.centers, x.radii) if x.parts else ([x], np.array([x.center]), np.array([x.radius]))
+        right, q, other = (y.parts, y.centers, y.radii) if y.parts else ([y], np.array([y.center]), np.array([y.radius]))
+        away = np.sqrt(np.maximum(0, 2 - 2 * (a[p] @ b[q].T)))
+        near = away <= own[:, None] + other[None, :] + reach
+        open_ += [(left[i], right[j]) for i, j in zip(*np.nonzero(near))]
 
 
 def _cells(sample: np.ndarray, wanted: int) -> np.ndarray:
@@ -169,9 +166,8 @@ def near_vectors(vectors: DataFrame, vec_id="vec_id", embedding="embedding", cos
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("embedding", F.when(good, F.col("embedding")))
-    keyed = rows.select("vec_id", F.coalesce("vec_id", F.lit((1 << 63) - 1)).alias("id"), "embedding")
-    reps = keyed.filter("embedding is not null").groupBy("embedding").agg(
-        F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")
+    reps = rows.filter("embedding is not null").groupBy("embedding").agg(
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")
     )
     # Rows that repeat an id or have none may hold other vectors: the number of the vector, ``rep``, keeps them apart.
     reps = materialise(reps.withColumn("size", F.size("embedding")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
@@ -180,7 +176,7 @@ def near_vectors(vectors: DataFrame, vec_id="vec_id", embedding="embedding", cos
         part = _linked(reps.filter(F.col("size") == size), cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialise(found, "links")
     joined = components(found.filter("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined = joined.withColumnRenamed("id", "rep")
@@ -193,11 +189,11 @@ def near_vectors(vectors: DataFrame, vec_id="vec_id", embedding="embedding", cos
         .join(joined, "rep", "left")
         .select("embedding", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("name", "least").alias("component"))
     )
-    out = keyed.join(known, "embedding", "left")
-    component = F.coalesce("component", "id")
+    out = rows.join(known, "embedding", "left")
+    component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select(
         "vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.nullif(component, F.lit((1 << 63) - 1)).alias("component_id"), (F.col("id") == component).alias("kept"),
+        component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
 
 

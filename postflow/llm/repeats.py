@@ -142,6 +142,17 @@ def _joined(ids, low, count):
     return ids[begin], low[begin], furthest[end] - low[begin]
 
 
+def _ranked(ids, marks):
+    """(place, ids, marks): the distinct pairs in order, and for each given pair its place among them."""
+    order = np.lexsort((marks, ids))
+    ids, marks = ids[order], marks[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, ids[new], marks[new]
+
+
 def _settled(ids, found: Runs, earlier: bool):
     """(rows to shuffle, ranges already known to count) of the runs of one task's texts."""
     order = np.lexsort((found.low, ids, found.content))
@@ -168,20 +179,22 @@ def _spots(kind: Kind, hot: np.ndarray):
     """The rows of a task: (anchor, content, id, spot, state); state 2 is a known range, of ``content`` windows."""
 
     def emit(held):
-        ids = np.concatenate([h[0] for h in held])
+        ids, marks = (np.concatenate([h[0][k] for h in held]) for k in range(2))
         found = Runs(*[np.concatenate([h[1][k] for h in held]) for k in range(6)])
         if not len(ids):
             return
-        (anchor, content, own, spot, flag), (kid, klow, kcount) = _settled(ids, found, kind.earlier)
-        anchor = np.concatenate([anchor.view(np.int64), tx.mixed(kid.view(np.uint64)).view(np.int64)])
+        place, ids, marks = _ranked(ids, marks)
+        (anchor, content, own, spot, flag), (kid, klow, kcount) = _settled(place, found, kind.earlier)
+        anchor = np.concatenate([anchor.view(np.int64), tx.mixed(ids[kid].view(np.uint64)).view(np.int64)])
         content = np.concatenate([content.view(np.int64), kcount])
         own, spot = np.concatenate([own, kid]), np.concatenate([spot, _packed(klow, 0, 0)])
         state = np.concatenate([flag.astype(np.int8), np.full(len(kid), 2, np.int8)])
         for at in range(0, len(own), 50_000):
             cut = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[cut]), pa.array(content[cut]), pa.array(own[cut]), pa.array(spot[cut]), pa.array(state[cut])],
-                ["anchor", "content", "id", "spot", "state"],
+                [pa.array(anchor[cut]), pa.array(content[cut]), pa.array(ids[own[cut]]), pa.array(marks[own[cut]]), pa.array(spot[cut]),
+                 pa.array(state[cut])],
+                ["anchor", "content", "id", "mark", "spot", "state"],
             )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +202,7 @@ def _spots(kind: Kind, hot: np.ndarray):
         for part in tx.slices(batches, "text", kind.slice_bytes):
             offsets, symbols = kind.symbols(tx.column(part, "text"))
             found = runs(offsets, symbols, kind.window, kind.gram, hot)
-            held.append((tx.column(part, "id").to_numpy()[found.row], found))
+            held.append(([tx.column(part, c).to_numpy()[found.row] for c in ("id", "mark")], found))
             size += part.nbytes
             if size >= SETTLE_BYTES:
                 yield from emit(held)
@@ -200,7 +213,7 @@ def _spots(kind: Kind, hot: np.ndarray):
     return rows
 
 
-_SPOTS = "anchor long, content long, id long, spot long, state byte"
+_SPOTS = "anchor long, content long, id long, mark long, spot long, state byte"
 
 
 def _hot_anchors(docs: DataFrame, kind: Kind) -> np.ndarray:
@@ -221,21 +234,21 @@ def _fetch(kind: Kind):
             for at in range(0, len(batch), 500):
                 out = []
                 part = batch.slice(at, 500)
-                for own, text, wanted in zip(*(part.column(k).to_pylist() for k in range(3))):
+                for own, mark, text, wanted in zip(*(part.column(k).to_pylist() for k in range(4))):
                     cut = kind.cutter(text or "")
                     for w in wanted:
                         low, count, _ = _unpacked(w["spot"])
-                        out.append((w["anchor"], own, w["spot"], w["state"], cut(low, low + count + kind.window - 1)))
+                        out.append((w["anchor"], own, mark, w["spot"], w["state"], cut(low, low + count + kind.window - 1)))
                 if out:
-                    names = ["anchor", "id", "spot", "state", "chunk"]
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary()]
+                    names = ["anchor", "id", "mark", "spot", "state", "chunk"]
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return rows
 
 
 def _compared(kind: Kind):
-    """Compares the chunks of each anchor; rows come sorted by anchor, id and spot."""
+    """Compares the chunks of each anchor; rows come sorted by anchor, id, mark and spot."""
 
     def solved(table):
         low, count, lead = _unpacked(tx.column(table, "spot").to_numpy())
@@ -245,9 +258,9 @@ def _compared(kind: Kind):
         )
         row, place = np.nonzero(counts)
         if len(row):
-            ids = tx.column(table, "id").to_numpy()[row]
-            found = _joined(ids, low[row] + place, np.ones(len(row), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "low", "count"])
+            own, ids, marks = _ranked(*(tx.column(table, c).to_numpy()[row] for c in ("id", "mark")))
+            own, low, count = _joined(own, low[row] + place, np.ones(len(row), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[own], marks[own], low, count)], ["id", "mark", "low", "count"])
 
     def rows(batches):
         held, size = [], 0
@@ -272,14 +285,15 @@ def _compared(kind: Kind):
 
 
 def repeated_windows(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(id, low, count): ranges of windows that count, by their first symbol; ranges may overlap.
+    """(id, mark, low, count): ranges of windows that count, by their first symbol; ranges may overlap.
 
-    ``docs`` has (id, text) with a long id that is not null.  Rows that repeat an id count as one text.
+    ``docs`` has (id, mark, text) with a long id that is not null and a hash of the text.  Rows that repeat an id and a text
+    count as one text; other texts of an id are texts of their own, in the order of their marks.
     """
     hot = _hot_anchors(docs, kind)
     spots = docs.mapInArrow(_spots(kind, hot), _SPOTS)
     equal = Window.partitionBy("anchor", "content")
-    ordered = equal.orderBy("id", "spot")
+    ordered = equal.orderBy("id", "mark", "spot")
     around = Window.partitionBy("anchor")
     run = F.col("state") < 2
     other = F.when(run, F.col("content"))
@@ -288,7 +302,7 @@ def repeated_windows(docs: DataFrame, kind: Kind) -> DataFrame:
         F.rank().over(ordered).alias("rank"),
         *([] if kind.earlier else [
             (F.max("state").over(equal).cast("int") == 1).alias("flagged"),
-            (F.min(F.struct("id", "spot")).over(equal) != F.max(F.struct("id", "spot")).over(equal)).alias("apart"),
+            (F.min(F.struct("id", "mark", "spot")).over(equal) != F.max(F.struct("id", "mark", "spot")).over(equal)).alias("apart"),
         ]),
     )
     if kind.earlier:
@@ -296,23 +310,23 @@ def repeated_windows(docs: DataFrame, kind: Kind) -> DataFrame:
     else:
         counts = again = F.col("flagged") | F.col("apart")
     marked = marked.select(
-        "anchor", "id", "spot", "state",
+        "anchor", "id", "mark", "spot", "state",
         F.when(run, (F.col("spot").bitwiseAND(F.lit(2047 << 11))) / (1 << 11)).otherwise(F.col("content")).cast("long").alias("count"),
         (~run | counts).alias("counts"), (run & again).alias("again"),
         (run & (F.col("rank") == 1) & (F.min(other).over(around) != F.max(other).over(around))).alias("shared"),
     )
     # Few rows are left: those that count and those whose anchor has several contents.
     left = materialise(marked.filter("counts or shared"), "repeats")
-    known = left.filter("counts").select("id", F.shiftright("spot", 22).alias("low"), "count")
-    wanted = left.filter("shared").groupBy("id").agg(
+    known = left.filter("counts").select("id", "mark", F.shiftright("spot", 22).alias("low"), "count")
+    wanted = left.filter("shared").groupBy("id", "mark").agg(
         F.collect_set(F.struct("anchor", "spot", F.col("again").cast("byte").alias("state"))).alias("wanted")
     )
-    chunks = docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(
-        _fetch(kind), "anchor long, id long, spot long, state byte, chunk binary"
+    chunks = docs.join(wanted, ["id", "mark"]).select("id", "mark", "text", "wanted").mapInArrow(
+        _fetch(kind), "anchor long, id long, mark long, spot long, state byte, chunk binary"
     )
     shared = (
-        chunks.repartition("anchor").sortWithinPartitions("anchor", "id", "spot")
-        .mapInArrow(_compared(kind), "id long, low long, count long")
+        chunks.repartition("anchor").sortWithinPartitions("anchor", "id", "mark", "spot")
+        .mapInArrow(_compared(kind), "id long, mark long, low long, count long")
     )
     return known.unionByName(shared)
 
@@ -324,12 +338,13 @@ def covered(docs: DataFrame, kind: Kind, doc_id: str, text: str, keep: tuple[str
     ``rest``, so their names can't clash.
     """
     rest = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(keep)]) if keep else F.lit(None).cast("int")
-    rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"))
-    ranges = repeated_windows(rows.filter("id is not null"), kind).groupBy("id").agg(
+    mark = F.xxhash64(docs[text]).alias("mark")
+    rows = docs.select(docs[doc_id].cast("long").alias("id"), mark, docs[text].alias("text"))
+    ranges = repeated_windows(rows.filter("id is not null"), kind).groupBy("id", "mark").agg(
         F.collect_list(F.struct("low", "count")).alias("ranges")
     )
-    found = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].alias("text"), rest.alias("rest")) if keep else rows
-    return found.join(ranges, "id", "left").select(
+    found = docs.select(docs[doc_id].cast("long").alias("id"), mark, docs[text].alias("text"), rest.alias("rest")) if keep else rows
+    return found.join(ranges, ["id", "mark"], "left").select(
         F.col("id").alias("doc_id"), "text", F.col("ranges")["low"].alias("low"), F.col("ranges")["count"].alias("count"),
         *(["rest"] if keep else []),
     )

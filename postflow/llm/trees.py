@@ -88,7 +88,8 @@ def dedup_words(docs: DataFrame, doc_id="doc_id", text="text", window: int = WIN
 
     Words are runs of bytes other than the space and 0x09-0x0D.  ``spans`` are the removed runs
     [start, end) in words, ``kept`` the other words joined by one space.  Ids are cast to long; rows
-    that repeat an id are one document, so they don't repeat each other; a row without an id stays as it is.
+    that repeat an id and a text are one document, so they don't repeat each other; other texts of an id are documents
+    of their own; a row without an id stays as it is.
     """
 
     def cut(batches):

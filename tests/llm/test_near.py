@@ -42,7 +42,8 @@ def vectors(n=700, size=12):
 
 
 @pytest.mark.parametrize("cosine", [0.9, 0.5, 0.999])
-def test_tree_pairs(cosine):
+def test_tree_pairs(cosine, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", 20)
     x = vectors()
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     a, b = x[:400], x[300:]
@@ -50,7 +51,8 @@ def test_tree_pairs(cosine):
     assert found == sorted(zip(*(k.tolist() for k in np.nonzero(a @ b.T >= cosine))))
 
 
-def test_tree_covers():
+def test_tree_covers(monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", 20)
     x = vectors()
     open_ = [covertree.build(x)]
     while open_:
@@ -59,6 +61,7 @@ def test_tree_covers():
         if node.parts:
             assert sorted(np.concatenate([p.rows for p in node.parts])) == sorted(node.rows)
             assert node.parts[0].center == node.center and all(p.radius <= node.radius / 2 for p in node.parts)
+            assert len(node.parts) <= covertree.MOST_PARTS
             open_ += node.parts
 
 
@@ -96,6 +99,13 @@ def test_vectors_of_one_id_are_apart(spark):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
 
 
+def test_the_largest_id_is_an_id(spark):
+    rows = [((1 << 63) - 1, [1.0, 0.0]), ((1 << 63) - 1, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.01])]
+    found = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    most = (1 << 63) - 1
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(most, 0, most, True), (most, 0, most, True), (None, 1, None, True), (None, 1, None, True)]))
+
+
 def test_vectors_without_any(spark):
     table = spark.createDataFrame([(1, None), (None, None)], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in covertree.near_vectors(table).collect()) == [(0, 0, True), (1, 0, True)]

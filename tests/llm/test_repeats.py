@@ -31,7 +31,7 @@ def test_hot_anchors_give_the_same(table, prose, monkeypatch):
     monkeypatch.setattr(repeats, "SAMPLE", 1)
     monkeypatch.setattr(repeats, "HOT_CONTENTS", 3)
     monkeypatch.setattr(repeats, "SOLVE_BYTES", 500)
-    assert len(repeats._hot_anchors(table(prose).selectExpr("doc_id as id", "text"), trees._kind(35)))
+    assert len(repeats._hot_anchors(table(prose).selectExpr("doc_id as id", "xxhash64(text) as mark", "text"), trees._kind(35)))
     check_words(table(prose), prose, 35)
     check_bytes(table(prose), prose, 100)
 
@@ -91,3 +91,25 @@ def test_suffix_tree_levels():
     found = trees.levels(symbols, np.array([0, 3, 6]), np.array([3, 6, 9]), np.zeros(3, np.int64), 3)
     assert found[2][0] == found[2][1] == found[2][2] >= 0
     assert found[3][0] == found[3][2] >= 0 and found[3][1] == -1
+
+
+def test_texts_of_one_id_are_apart(table):
+    """A text that occurs once stays whole, whatever other texts share its id."""
+    a, b = (" ".join(f"{x}{k}" for k in range(45)) for x in "ab")
+    rows = [(2, a), (2, b), (1, a), (2, a)]
+    found = sorted((r.doc_id, r.kept) for r in trees.dedup_words(table(rows)).collect())
+    assert found == [(1, ""), (2, ""), (2, ""), (2, b)]
+    found = sorted((r.doc_id, bytes(r.kept).decode()) for r in suffixes.dedup_bytes(table(rows)).collect())
+    assert found == [(1, a), (2, ""), (2, ""), (2, b)]
+
+
+def test_a_text_of_many_megabytes(table):
+    """One text of 12 MB, with a passage that another one has too."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 1 << 40, 1_000_000).tolist()
+    long = " ".join(map(str, words))
+    passage = " ".join(map(str, words[500_000:500_040]))
+    found = {r.doc_id: r.n_removed for r in suffixes.dedup_bytes(table([(1, long), (2, "x " + passage + " y")])).collect()}
+    assert found[1] == 0 and len(passage) <= found[2] <= len(passage) + 2
+    found = {r.doc_id: r.n_removed for r in trees.dedup_words(table([(1, long), (2, "x " + passage + " y")])).collect()}
+    assert found == {1: 40, 2: 40}
