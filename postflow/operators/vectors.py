@@ -1,11 +1,13 @@
 """M1-M4, M7: term weights, word vectors, clusters and principal components.
 
-The iterative models come with Spark.  What they keep on the driver does not grow with the number
+The iterative models but the fuzzy clusters come with Spark.  What they keep on the driver does not grow with the number
 of posts: cluster centres, a covariance matrix, and for word vectors those of the vocabulary.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -77,6 +79,82 @@ def soft_clusters(df: DataFrame, vector: str, k: int, seed: int = 0) -> DataFram
     return fitted.drop("_features", "_cluster", "_degrees")
 
 
+def degrees(points: np.ndarray, centers: np.ndarray, fuzzy: float) -> np.ndarray:
+    """The degrees of each point: 1 / sum over l of (d_j / d_l) ** (2 / (fuzzy - 1)); a point on centres belongs to those alone."""
+    away = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    on = away == 0
+    inverse = np.where(on, 1.0, away) ** (-1 / (fuzzy - 1))
+    inverse = np.where(on.any(axis=1)[:, None], on.astype(float), inverse)
+    return inverse / inverse.sum(axis=1)[:, None]
+
+
+def fuzzy_centers(
+    df: DataFrame, vector: str, k: int, fuzzy: float = 2.0, tolerance: float = 1e-6, rounds: int = 100, seed: int = 0
+) -> np.ndarray:
+    """M4: the ``k`` centres of fuzzy c-means, the means of all points weighted by their degrees to the power ``fuzzy``.
+
+    A round is one aggregate: every task adds up weights and weighted points batch by batch, and k rows come back.  Rounds end
+    when no component of a centre moves by more than ``tolerance``, or after ``rounds``.  The first centres are the
+    k different vectors of smallest hash.  Null vectors, and those that hold a null or non-finite number, are left out.
+    """
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).filter(F.coalesce(finite, F.lit(False)))
+    first = rows.distinct().orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(k).collect()
+    centers = np.array([r["v"] for r in first], float)
+    if not len(centers):
+        return centers
+    dim = centers.shape[1]
+
+    def summed(now):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, sums = np.zeros(len(now)), np.zeros((len(now), dim))
+            for batch in batches:
+                points = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                for at in range(0, len(points), 4096):
+                    w = degrees(points[at : at + 4096], now, fuzzy) ** fuzzy
+                    weights += w.sum(axis=0)
+                    sums += w.T @ points[at : at + 4096]
+            place = np.repeat(np.arange(len(now)), dim + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place), pa.array(np.tile(np.arange(dim + 1), len(now))), pa.array(np.hstack([sums, weights[:, None]]).ravel())],
+                ["cluster", "place", "x"],
+            )
+
+        return add
+
+    stored = materialise(rows.filter(F.size("v") == dim), "points")
+    for _ in range(rounds):
+        parts = stored.mapInArrow(summed(centers), "cluster long, place long, x double").groupBy("cluster", "place").agg(F.sum("x").alias("x"))
+        total = np.zeros((len(centers), dim + 1))
+        for r in parts.collect():  # as many as the centres have components
+            total[r["cluster"], r["place"]] = r["x"]
+        new = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1e-300), centers)
+        moved = np.abs(new - centers).max()
+        centers = new
+        if moved <= tolerance:
+            break
+    return centers
+
+
+def fuzzy_clusters(df: DataFrame, vector: str, k: int, fuzzy: float = 2.0, centers: str | None = None, **options) -> DataFrame:
+    """M4: add the degrees of membership in ``k`` fuzzy clusters as ``membership``, and with a name all ``centers``.
+
+    Degrees are the closed formula for the centres that ``fuzzy_centers`` ends with; those of a vector that it leaves out are null.
+    """
+    found = fuzzy_centers(df, vector, k, fuzzy, **options)
+    points = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in found]) if len(found) else F.array().cast("array<array<double>>")
+    own = F.col(vector).cast("array<double>")
+    fits = F.coalesce((F.size(own) == (found.shape[1] if len(found) else -1)) & F.forall(own, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    away = F.transform(points, lambda c: F.aggregate(F.zip_with(own, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    rows = df.withColumn("_away", F.when(fits, away))
+    on = F.array_contains("_away", F.lit(0.0))
+    inverse = F.transform("_away", lambda d: F.when(on, (d == 0).cast("double")).otherwise(F.pow(d, F.lit(-1 / (fuzzy - 1)))))
+    rows = rows.withColumn("_inverse", inverse)
+    total = F.aggregate("_inverse", F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("membership", F.transform("_inverse", lambda x: x / total)).drop("_away", "_inverse")
+    return rows.withColumn(centers, points) if centers else rows
+
+
 def principal_components(df: DataFrame, vector: str, k: int) -> DataFrame:
     """M3: add the first ``k`` principal components as ``components``."""
     rows = _features(df, vector)

@@ -322,6 +322,59 @@ _PIPELINE = f"""{_TEXT_POSTS}, {_tokens("text_posts", "id", "text")},
         UNION ALL SELECT date, 'unigram_' || "user" AS twitter_ticker, unigram AS value FROM cells
         UNION ALL SELECT date, 'bigram_' || "user" AS twitter_ticker, bigram AS value FROM cells)"""
 
+
+def _cut(step: str, source: str, suffixes) -> str:
+    """A step that parts each word before the longest of some suffixes."""
+    return f"""{step} AS MATERIALIZED (SELECT *, left(w, length(w) - length(x)) h FROM (SELECT *, regexp_extract(w, '({"|".join(suffixes)})$', 1) x FROM {source}))"""
+
+
+def _when(values) -> str:
+    return "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+# Fixed values of the published stemming algorithm.
+_STEM_WORDS = "skis ski skies sky dying die lying lie tying tie idly idl gently gentl ugly ugli early earli only onli singly singl sky sky news news howe howe atlas atlas cosmos cosmos bias bias andes andes".split()
+_STEM_KEPT = "inning outing canning herring earring proceed exceed succeed".split()
+_STEM_2 = dict(zip(*[iter("""tional tion enci ence anci ance abli able entli ent izer ize ization ize ational ate ation ate ator ate alism al aliti al
+    alli al fulness ful ousli ous ousness ous iveness ive iviti ive biliti ble bli ble ogi og fulli ful lessli less""".split())] * 2)) | {"li": ""}
+_STEM_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+_STEM_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+_SHORT = "regexp_full_match({0}, '.*[^aeiouy][aeiouy][^aeiouywxY]|[aeiouy][^aeiouy]')"
+
+#: (word, stem) of every word of ``toks``, step by step.
+_STEMS = f"""g AS (SELECT DISTINCT unnest(t) word FROM toks),
+    a AS (SELECT word, string_split(regexp_replace(word, '^''', ''), '') l FROM g),
+    b AS (SELECT word, array_to_string(list_transform(l, lambda c, i: CASE WHEN c = 'y' AND (i = 1 OR regexp_matches(l[i - 1], '[aeiouy]'))
+          THEN 'Y' ELSE c END), '') w FROM a),
+    c AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|arsen)') THEN 5 WHEN regexp_matches(w, '^commun') THEN 6
+          WHEN regexp_matches(w, '[aeiouy][^aeiouy]') THEN length(regexp_extract(w, '^.*?[aeiouy][^aeiouy]')) ELSE length(w) END r1 FROM b),
+    d AS (SELECT word, r1, CASE WHEN regexp_matches(substr(w, r1 + 1), '[aeiouy][^aeiouy]') THEN
+          r1 + length(regexp_extract(substr(w, r1 + 1), '^.*?[aeiouy][^aeiouy]')) ELSE length(w) END r2,
+          regexp_replace(w, '(''s''|''s|'')$', '') w FROM c),
+    {_cut("e", "d", ["sses", "ied", "ies", "us", "ss", "s"])},
+    f AS (SELECT word, r1, r2, CASE WHEN x = 'sses' THEN h || 'ss' WHEN x IN ('ied', 'ies') THEN h || CASE WHEN length(h) > 1 THEN 'i' ELSE 'ie' END
+          WHEN x = 's' AND regexp_matches(left(h, greatest(length(h) - 1, 0)), '[aeiouy]') THEN h ELSE w END w FROM e),
+    {_cut("h1", "f", ["eedly", "eed", "edly", "ed", "ingly", "ing"])},
+    i AS (SELECT word, r1, r2, CASE WHEN w IN ({", ".join(f"'{k}'" for k in _STEM_KEPT)}) THEN w END fixed, CASE WHEN x = '' THEN w
+          WHEN x IN ('eed', 'eedly') THEN CASE WHEN length(h) >= r1 THEN h || 'ee' ELSE w END WHEN NOT regexp_matches(h, '[aeiouy]') THEN w
+          WHEN regexp_matches(h, '(at|bl|iz)$') THEN h || 'e' WHEN regexp_matches(h, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(h, length(h) - 1)
+          WHEN length(h) <= r1 AND {_SHORT.format("h")} THEN h || 'e' ELSE h END w FROM h1),
+    j AS (SELECT word, r1, r2, fixed, regexp_replace(w, '(.[^aeiouy])[yY]$', '\\1i') w FROM i),
+    {_cut("k", "j", _STEM_2)},
+    l2 AS (SELECT word, r1, r2, fixed, CASE WHEN x = '' OR length(h) < r1 OR (x = 'ogi' AND NOT regexp_matches(h, 'l$'))
+           OR (x = 'li' AND NOT regexp_matches(h, '[cdeghkmnrt]$')) THEN w ELSE h || {_when(_STEM_2)} END w FROM k),
+    {_cut("m", "l2", _STEM_3)},
+    n AS (SELECT word, r1, r2, fixed, CASE WHEN x = '' OR length(h) < CASE WHEN x = 'ative' THEN r2 ELSE r1 END THEN w ELSE h || {_when(_STEM_3)} END w FROM m),
+    {_cut("o", "n", _STEM_4)},
+    p1 AS (SELECT word, r1, r2, fixed, CASE WHEN x = '' OR length(h) < r2 OR (x = 'ion' AND NOT regexp_matches(h, '[st]$')) THEN w ELSE h END w FROM o),
+    q AS (SELECT word, fixed, CASE WHEN (w LIKE '%e' AND (length(w) > r2 OR (length(w) > r1 AND NOT {_SHORT.format("left(w, length(w) - 1)")})))
+          OR (w LIKE '%ll' AND length(w) > r2) THEN left(w, length(w) - 1) ELSE w END w FROM p1),
+    stems AS (SELECT word, CASE WHEN length(word) <= 2 THEN word {" ".join(f"WHEN word = '{a}' THEN '{b}'" for a, b in zip(_STEM_WORDS[::2], _STEM_WORDS[1::2]))}
+          ELSE lower(coalesce(fixed, w)) END stem FROM q)"""
+_STEMMED = f"""WITH {_EXPLODED}, {_STEMS}, s AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY i) d FROM w JOIN stems USING (word) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(t) AS BIGINT) AS words, md5(coalesce(d, '')) AS digest FROM toks LEFT JOIN s USING (doc_id)"""
+
+
 ORACLE = {
     # entities
     "hashtags": f"WITH {_TEXT_POSTS} SELECT id, {_joined('text', f'#[{WORD}]+')} AS hashtags FROM text_posts",
@@ -402,7 +455,8 @@ ORACLE = {
     "score_share": f"""WITH {_UNI}, s AS (SELECT doc_id, coalesce(sum(ln(c / v)), 0) s
         FROM toks LEFT JOIN w USING (doc_id) LEFT JOIN uni USING (word), v GROUP BY doc_id),
         p AS (SELECT doc_id, exp(s - (SELECT max(s) FROM s)) p FROM s)
-        SELECT doc_id, round(p / (SELECT sum(p) FROM p), 8) AS share FROM p""",
+        SELECT doc_id, round(p / (SELECT sum(p) FROM p), 8) AS share,
+        round(s - (SELECT max(s) FROM s) - (SELECT ln(sum(p)) FROM p), 4) AS log_share FROM p JOIN s USING (doc_id)""",
     "tf_idf": f"""WITH {_EXPLODED}, tf AS (SELECT doc_id, word AS term, count(*) AS frequency FROM w GROUP BY ALL),
         idf AS (SELECT term, ln(((SELECT count(*) FROM toks) + 1) / (count(*) + 1)) v FROM tf GROUP BY term)
         SELECT doc_id, term, frequency, round(frequency * v, 6) AS tf_idf FROM tf JOIN idf USING (term)""",
@@ -491,7 +545,8 @@ ORACLE = {
     "id_marks": f"""WITH {_POSTS} SELECT "group", "user", max(id) AS max_id, min(id) AS min_id
         FROM posts GROUP BY "group", "user" """,
     "since": f"""WITH {_POSTS} SELECT "group", "user", id FROM posts
-        WHERE ts > TIMESTAMP '2024-01-10 12:00:00' AND id <= 8000""",
+        WHERE ts > TIMESTAMP '2024-01-10 12:00:00'
+        AND id <= (SELECT max(id) FROM posts WHERE "user" = (SELECT max("user") FROM posts))""",
     "user_concat": f"""WITH {_POSTS} SELECT "group", id, CAST(favorite_count AS DOUBLE) AS favorite_count
         FROM posts
         WHERE "group" IN ('click', 'view') UNION ALL BY NAME
@@ -546,6 +601,13 @@ ORACLE = {
     # models, by what must hold for each row
     "word_vectors": f"WITH {_EXPLODED} SELECT DISTINCT word, 8 AS size FROM w",
     "hard_clusters": "SELECT vec_id, TRUE AS nearest FROM embeddings",
+    "stem_tokens": _STEMMED,
+    "dictionary_stems": _STEMMED,
+    "stem_dictionary": f"WITH {_WORDS}, {_STEMS} SELECT word, stem FROM stems",
+    "incremental_bigrams": _frequency(2),
+    "users_between": f"""WITH {_POSTS} SELECT "group", count(DISTINCT "user") AS users, TRUE AS close FROM posts
+        WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY ALL""",
+    "fuzzy_clusters": "SELECT vec_id, 1.0::DOUBLE AS total, TRUE AS follows, TRUE AS still FROM embeddings",
     "soft_clusters": "SELECT vec_id, 1.0::DOUBLE AS total, TRUE AS bounded FROM embeddings",
     "principal_components": """SELECT round(sum(v), 6) AS variance FROM (SELECT var_samp(CAST(x AS DOUBLE)) v
         FROM (SELECT unnest(embedding) x, generate_subscripts(embedding, 1) k FROM embeddings) GROUP BY k)""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postflow.functions import entities as en
 from postflow.functions import text as tx
 from postflow.functions.dates import day_name
+from postflow.operators import counts as ct
 from postflow.operators import daily as dy
 from postflow.operators import features as ft
 from postflow.operators import ingest as ig
@@ -18,6 +19,8 @@ from postflow.operators import ngrams as ng
 from postflow.operators import prices as pr
 from postflow.operators import scoring as sc
 from postflow.operators import vectors as ve
+from postflow.operators.counts import GramCounts
+from postflow.operators.stems import StemDictionary
 from postflow.operators.tokens import clean_text, map_text
 from postflow.plans import tables as tb
 from postflow.plans.pipeline import Config, parse, run
@@ -201,6 +204,27 @@ def stem_tokens(spark, folder):
     return _token_digest(stems, "doc_id", "stem_tokens")
 
 
+@query
+def stem_dictionary(spark, folder):
+    """The stems of all words of the documents, kept in a dictionary that is made in two increments"""
+    docs = clean_text(tb.table(spark, folder, "documents").select("doc_id", "text", "lang"), stem_fn=None)
+    docs = materialise(docs.select("doc_id", "lang", "nonstem_tokens"), "tokens")
+    words = StemDictionary(spark, f"{_root(spark, 'stems')}/words")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    words.add(docs.filter(english))
+    words.add(docs.filter(~english))
+    return words.read()
+
+
+@query
+def dictionary_stems(spark, folder):
+    """The stems of all documents by a look-up in the dictionary"""
+    docs = materialise(clean_text(tb.documents(spark, folder), stem_fn=None).select("doc_id", "nonstem_tokens"), "tokens")
+    words = StemDictionary(spark, f"{_root(spark, 'stems')}/words")
+    words.add(docs)
+    return _token_digest(words.stemmed(docs, "doc_id"), "doc_id", "stem_tokens")
+
+
 @query
 def mapped_text(spark, folder):
     """T16"""
@@ -272,6 +296,22 @@ def pentagram_freq(spark, folder):
     return _frequency(spark, folder, 5)
 
 
+@query
+def incremental_bigrams(spark, folder):
+    """Bigrams counted in three increments, compacted in between"""
+    docs = clean_text(tb.table(spark, folder, "documents").select("doc_id", "text", "lang"), stem_fn=None)
+    docs = materialise(docs.select("lang", "nonstem_tokens"), "tokens")
+    counts = GramCounts(spark, f"{_root(spark, 'counts')}/bigrams", 2, buckets=8)
+    lang = F.coalesce("lang", F.lit("none"))
+    for number, part in enumerate((lang == "en", lang == "de", ~lang.isin("en", "de"))):
+        for _ in range(2):  # an increment that comes again is known
+            counts.add(docs.filter(part), "nonstem_tokens", ("load", number))
+        counts.compact(1)
+    return counts.frequency().select(
+        F.array_join("gram", " ").alias("gram"), "frequency", F.round("relative_frequency", 9).alias("relative_frequency")
+    )
+
+
 @query
 def first_last_words(spark, folder):
     """A7, T20"""
@@ -337,7 +377,10 @@ def score_share(spark, folder):
         sc.unigram_score(_stored_words(spark, folder), KEY, "tokens"), "scores"
     )
     shares = sc.share_of_log_total(scores, "unigram_logprob", "share")
-    return shares.select("doc_id", F.round("share", 8).alias("share"))
+    # The logarithm of a share tells every document's, also where the share itself is next to nothing.
+    top = scores.agg(F.max("unigram_logprob")).scalar()
+    total = scores.agg(F.log(F.sum(F.exp(F.col("unigram_logprob") - top))) + F.max("unigram_logprob")).scalar()
+    return shares.select("doc_id", F.round("share", 8).alias("share"), F.round(F.col("unigram_logprob") - total, 4).alias("log_share"))
 
 
 @query
@@ -380,6 +423,24 @@ def soft_clusters(spark, folder):
     return degrees.select("vec_id", F.round(total, 6).alias("total"), bounded.alias("bounded"))
 
 
+@query
+def fuzzy_clusters(spark, folder):
+    """M4: whether a vector's degrees sum to 1 and follow from its distances to the centres, and whether the centres are the weighted means"""
+    found = materialise(ve.fuzzy_clusters(_vectors(spark, folder), "embedding", 4, centers="centers"), "degrees")
+    own = F.col("embedding").cast("array<double>")
+    away = F.transform("centers", lambda c: F.sqrt(_squared(own, c)))
+    # Two centres and their degrees stand in the inverse ratio of the squared distances.
+    ratio = F.forall(F.arrays_zip(away.alias("d"), F.col("membership").alias("u")), lambda x: F.abs(x["u"] * x["d"] * x["d"] - F.col("membership")[0] * F.col("away")[0] * F.col("away")[0]) < 1e-6)
+    checked = found.withColumn("away", away).withColumn("follows", ratio)
+    weight = lambda j: F.pow(F.col("membership")[j], 2)
+    means = found.select(F.posexplode(own).alias("place", "x"), "membership", "centers")
+    means = means.groupBy("place", "centers").agg(*[(F.sum(weight(j) * F.col("x")) / F.sum(weight(j))).alias(f"m{j}") for j in range(4)])
+    off = F.greatest(*[F.abs(F.col(f"m{j}") - F.get(F.get("centers", F.lit(j)), F.col("place"))) for j in range(4)])
+    still = means.agg((F.max(off) < 1e-4).alias("still")).scalar()
+    total = F.aggregate("membership", F.lit(0.0), lambda total, degree: total + degree)
+    return checked.select("vec_id", F.round(total, 6).alias("total"), "follows", still.alias("still"))
+
+
 @query
 def principal_components(spark, folder):
     """M3: all components together have the variance of the vectors"""
@@ -430,6 +491,18 @@ def distinct_users(spark, folder):
     return dy.distinct_users(tb.event_posts(spark, folder))
 
 
+@query
+def users_between(spark, folder):
+    """A4: the users of each group in a range of days, exactly, and whether the sketches are within four standard deviations"""
+    posts = tb.event_posts(spark, folder)
+    sketches = materialise(ct.user_sketches(posts), "sketches")
+    about = ct.users_between(sketches, "2024-01-05", "2024-01-20").withColumnRenamed("users", "about")
+    days = posts.filter(F.col("date").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date")))
+    exact = days.select("group", "user").distinct().groupBy("group").agg(F.count("user").alias("users"))
+    close = F.abs(F.col("about") - F.col("users")) <= 4 * ct.SKETCH_ERROR * F.col("users") + 1
+    return exact.join(about, "group").select("group", "users", close.alias("close"))
+
+
 @query
 def local_day(spark, folder):
     """T17, T18"""
@@ -675,9 +748,10 @@ def id_marks(spark, folder):
 
 @query
 def since(spark, folder):
-    """F5, F3"""
-    posts = ig.since(tb.event_posts(spark, folder), "2024-01-10 12:00:00")
-    return ig.until_id(posts, 8000).select("group", "user", "id")
+    """posts after a point in time up to the newest id of the first user"""
+    posts = tb.event_posts(spark, folder)
+    newest = ig.id_marks(posts, ["user"]).agg(F.max_by("max_id", "user")).first()[0]
+    return ig.until_id(ig.since(posts, "2024-01-10 12:00:00"), newest).select("group", "user", "id")
 
 
 @query
@@ -692,9 +766,15 @@ def user_concat(spark, folder):
 
 @query
 def distinct_posts(spark, folder):
-    """U6"""
+    """Posts that were stored twice, read once each"""
     early, late = _early_and_late(spark, folder)
-    return early.unionByName(late).dropDuplicates(["user", "id"]).select("user", "id")
+    path = f"{_root(spark, 'twice')}/posts"
+    posts = early.unionByName(late).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    for field in POSTS:
+        if field.name not in posts.columns:
+            posts = posts.withColumn(field.name, F.lit(None).cast(field.dataType))
+    sp.write_posts(posts.select(*POSTS.fieldNames()), path)
+    return sp.read_posts(spark, path, distinct=True).select("user", "id")
 
 
 # --- whole runs ----------------------------------------------------------------------------------
