@@ -156,13 +156,16 @@ def predict(
     cosines go to the language that sorts first.
     """
     names = [doc_id, *[c for c in keep if c != doc_id]]
-    rows = docs.select(*[docs[c] for c in names], docs[text].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    rows = docs.select(*[docs[c] for c in names])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    read = text if text in names else "_text"  # a text that is kept goes to the task once
+    if read not in names:
+        rows = docs.select(*[docs[c] for c in names], docs[text].alias(read))
     langs, prototypes = list(profiles.langs), profiles.prototypes
 
     def label(batches):
-        for part in slices(batches, "_text", 1 << 20):
-            vectors, has = bundles(column(part, "_text").to_pylist(), prototypes.shape[1])
+        for part in slices(batches, read, 1 << 20):
+            vectors, has = bundles(column(part, read).to_pylist(), prototypes.shape[1])
             if langs:
                 cosine = _unit(vectors) @ prototypes.T
                 best = cosine.argmax(axis=1)
