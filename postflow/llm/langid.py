@@ -164,7 +164,7 @@ def predict(
     langs, prototypes = list(profiles.langs), profiles.prototypes
 
     def label(batches):
-        for part in slices(batches, read, 1 << 20):
+        for part in slices(batches, read, 1 << 19):
             vectors, has = bundles(column(part, read).to_pylist(), prototypes.shape[1])
             if langs:
                 cosine = _unit(vectors) @ prototypes.T

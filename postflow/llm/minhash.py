@@ -36,6 +36,8 @@ BANDS, ROWS = 25, 5
 FEATURE_BITS = 20
 #: Texts and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Bytes of text that a task works on at once.
+SLICE_BYTES = 2 << 20
 #: Features of a matrix.
 _WIDTH = 2048
 #: Features whose counts travel together.
@@ -99,7 +101,7 @@ def shingle_idf(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << FEATURE_BITS, np.int64)
-        for part in tx.slices(batches, "text", 4 << 20):
+        for part in tx.slices(batches, "text", SLICE_BYTES):
             row, key = occurrences(tx.column(part, "text"))
             pair = np.unique(feature(key) * len(part) + row)
             df += np.bincount(pair // len(part), minlength=len(df))
@@ -217,7 +219,7 @@ def _sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """(id, mark, content, bands, size) of every row: a digest of its words in order, its bands and its shingles; null without words."""
 
     def sketch(batches):
-        for part in tx.slices(batches, "text", 4 << 20):
+        for part in tx.slices(batches, "text", SLICE_BYTES):
             texts = tx.column(part, "text")
             found = shingles(texts, idf)
             size = np.bincount(found.row, found.count, len(part)).astype(np.int64)
@@ -240,7 +242,7 @@ def _packed(texts: DataFrame) -> DataFrame:
     flat = np.ones(1 << FEATURE_BITS, np.float32)
 
     def pack(batches):
-        for part in tx.slices(batches, "text", 4 << 20):
+        for part in tx.slices(batches, "text", SLICE_BYTES):
             row, key = unrolled(shingles(tx.column(part, "text"), flat))
             order = np.argsort(row, kind="stable")
             ends = np.cumsum(np.bincount(row, minlength=len(part)))
