@@ -76,11 +76,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Bytes of a row group of a stage's files, which a task holds in memory as it writes whole documents.
+ROW_GROUP = 32 << 20
+
+
 def run(spark, folder):
     """The rows of the last stage over ``documents``."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/corpus_pipeline/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, folder).write.parquet(path)
+        stage(spark, docs, folder).write.option("parquet.block.size", ROW_GROUP).parquet(path)
         docs = spark.read.parquet(path)
     return docs
