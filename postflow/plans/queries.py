@@ -879,8 +879,8 @@ def user_files(spark, folder):
     """A CSV file per user, with bad numbers, short lines and an open quote, read as posts and bad records"""
     path = f"{_root(spark, 'users')}/posts"
     lines = _user_lines(spark, folder).repartition("group", "user").sortWithinPartitions("group", "user", "place")
-    lines.select("group", "user", "value").write.option("compression", "none").partitionBy("group", "user").text(path)
-    good, bad = sp.read_user_files(spark, path, pattern="*.txt")
+    lines.select("group", "user", "value").write.option("compression", "gzip").partitionBy("group", "user").text(path)
+    good, bad = sp.read_user_files(spark, path, pattern="*.txt.gz")
     good = good.select("group", "user", "id", _digest("text").alias("text"), F.col("favorite_count").cast("double").alias("favorite_count"), F.lit(None).cast("string").alias("cause"))
     return good.unionByName(bad.select("group", "user", F.lit(None).cast("double").alias("favorite_count"), _digest("record").alias("text"), "cause", F.lit(-1).cast("long").alias("id")))
 
