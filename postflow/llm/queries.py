@@ -28,10 +28,12 @@ def _fold(doc_id, folds):
 
 
 def op1_substring_dedup(spark, folder):
+    """Words of every document without those in windows of 35 that start anywhere else too."""
     return trees.digest(trees.dedup_words(_table(spark, folder, "documents")))
 
 
 def op2_token_files(spark, folder):
+    """Token ids of every document, written as files and read back."""
     docs = _table(spark, folder, "documents")
     coded = materialise(tokenfiles.token_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2), "token-ids")
     path = f"{shared_dir(spark)}/postflow/token-files-{uuid.uuid4().hex}"
@@ -40,27 +42,33 @@ def op2_token_files(spark, folder):
 
 
 def op3_lm_score(spark, folder):
+    """The log probability of every document by a model of those outside the held-out fold."""
     docs = _table(spark, folder, "documents")
     return lm.score(docs, _fold(docs.doc_id, 7) != 2)
 
 
 def op4_near_duplicates(spark, folder):
+    """The near-duplicate class of every document."""
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
 def op5_contamination(spark, folder):
+    """How many words of every document lie in benchmark passages."""
     return decontaminate.contaminated_docs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
 def op6_embedding_dedup(spark, folder):
+    """The links and the component of every vector."""
     return covertree.near_vectors(_table(spark, folder, "embeddings"))
 
 
 def op7_suffix_dedup(spark, folder):
+    """Bytes of every document without those in strings of 100 that start earlier."""
     return suffixes.digest(suffixes.dedup_bytes(_table(spark, folder, "documents")))
 
 
 def op8_urls(spark, folder):
+    """The verdict on every page by rules, else by the reputation of its host."""
     labels = _table(spark, folder, "labels")
     bad = labels.select(
         F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
@@ -75,6 +83,7 @@ def language_profiles(docs):
 
 
 def op9_language(spark, folder):
+    """The language of every document, learned outside the held-out fold."""
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs.select("doc_id", "text"), language_profiles(docs))
     held_out = F.coalesce(_fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
@@ -82,6 +91,7 @@ def op9_language(spark, folder):
 
 
 def op10_bpe(spark, folder):
+    """The token ids of every document and what they decode to."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
