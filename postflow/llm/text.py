@@ -44,9 +44,17 @@ class Words(NamedTuple):
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator:
     """Tables of neighbouring rows with about ``most`` bytes of text; one row at least.
 
-    Small batches are put together and large ones are cut.
+    Small batches are put together and large ones are cut.  A slice's rows are held once, and what the slice
+    before took goes back to the system.
     """
     held, size = [], 0
+
+    def joined():
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        return table
+
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(lengths, dtype=np.int64)
@@ -60,10 +68,11 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
                 size += int(total[end - 1] - before)
                 at = end
             if at < len(batch):
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
+                yield joined()
+                size = 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield joined()
+    pa.default_memory_pool().release_unused()
 
 
 def column(table: pa.Table, name: str) -> pa.Array:
