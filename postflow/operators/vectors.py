@@ -1,7 +1,7 @@
 """M1-M4, M7: term weights, word vectors, clusters and principal components.
 
-The iterative models but the fuzzy clusters come with Spark.  What they keep on the driver does not grow with the number
-of posts: cluster centres, a covariance matrix, and for word vectors those of the vocabulary.
+The iterative models but the fuzzy clusters and ``cooccurrence_vectors`` come with Spark.  What they keep on the driver does not
+grow with the number of posts: cluster centres, a covariance matrix, and for ``word_vectors`` those of the vocabulary.
 """
 
 from collections.abc import Iterator, Sequence
@@ -42,7 +42,7 @@ def word_vectors(
     """M1: (word, vector) of the words that occur ``min_count`` times.
 
     Training runs in ``partitions`` tasks, one per core when None, whose vectors are averaged after each
-    iteration.  The driver holds two vectors per word: raise ``min_count`` for a very large vocabulary.
+    iteration.  The driver holds two vectors per word: raise ``min_count`` for a very large vocabulary, or take ``cooccurrence_vectors``.
     """
     model = Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, maxIter=iterations,
@@ -52,6 +52,88 @@ def word_vectors(
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
+def cooccurrences(df: DataFrame, tokens: str = "stem_tokens", window: int = 2) -> DataFrame:
+    """M1: (word, other, n), how often two words stand at most ``window`` places apart; each pair counts in both directions."""
+    pairs = [
+        F.arrays_zip(F.slice(tokens, 1, F.greatest(F.size(tokens) - d, F.lit(0))).alias("a"), F.slice(tokens, 1 + d, F.greatest(F.size(tokens) - d, F.lit(0))).alias("b"))
+        for d in range(1, window + 1)
+    ]
+    flat = df.select(F.explode(F.concat(*pairs)).alias("p")).select("p.a", "p.b").filter("a is not null and b is not null")
+    once = flat.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))  # before the other direction doubles the rows
+    both = once.select(F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), "n"), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), "n"))))
+    return both.groupBy("word", "other").agg(F.sum("n").alias("n"))
+
+
+def positive_information(counts: DataFrame) -> DataFrame:
+    """M1: (word, other, weight) where ``weight = ln(n * all / (n of word * n of other))`` is above 0, judged in whole numbers."""
+    of = counts.groupBy("word").agg(F.sum("n").alias("m"))
+    total = F.broadcast(of.agg(F.sum("m").alias("all")))  # one row
+    rows = counts.join(of, "word").join(of.select(F.col("word").alias("other"), F.col("m").alias("o")), "other").join(total)
+    whole = [F.col(c).cast("decimal(19,0)") for c in ("n", "all", "m", "o")]
+    above = rows.filter(whole[0] * whole[1] > whole[2] * whole[3])
+    ratio = F.col("n").cast("double") * F.col("all") / (F.col("m").cast("double") * F.col("o"))
+    return above.select("word", "other", F.ln(ratio).alias("weight"))
+
+
+def _gram(rows: DataFrame, width: int) -> np.ndarray:
+    """The products of all pairs of components, summed over the vectors ``x``: tasks add up their own, width ** 2 rows come back."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], ["place", "s"])
+
+    total = np.zeros(width * width)
+    for r in rows.select("x").mapInArrow(add, "place long, s double").groupBy("place").agg(F.sum("s").alias("s")).collect():
+        total[r["place"]] = r["s"]
+    return total.reshape(width, width)
+
+
+def _turned(rows: DataFrame, width: int, power: float) -> tuple[DataFrame, int]:
+    """(word, x) as left singular vectors times singular values to ``power``, and how many there are: directions without extent go."""
+    values, directions = np.linalg.eigh(_gram(rows, width))
+    keep = np.flatnonzero(values > max(values.max(initial=0.0), 0.0) * 1e-14)[::-1]
+    turn = directions[:, keep] * np.sqrt(values[keep]) ** (power - 1)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) @ turn
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(keep), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.float64()))], ["word", "x"])
+
+    return rows.select("word", "x").mapInArrow(apply, "word string, x array<double>"), len(keep)
+
+
+def cooccurrence_vectors(
+    df: DataFrame, tokens: str = "stem_tokens", size: int = 100, window: int = 2, rounds: int = 4, power: float = 0.5, seed: int = 0
+) -> DataFrame:
+    """M1: (word, vector) of all words, from a block power iteration over their positive pointwise mutual information.
+
+    A round is one join of the table of weights with the words' vectors and one sum per word; what the driver sees are
+    ``size`` x ``size`` products, whatever the vocabulary.  Vectors are orthogonal directions times the strength of each to ``power``,
+    the strongest first; at power 0 their products are those of the projection on the space that the rounds end in.
+    The first vectors are digests of the words, so a run can be repeated.  There are fewer than ``size`` components where the weights
+    have fewer directions.  A word without a positive weight has the zero vector; null words are none.
+    """
+    words = materialise(df.select(F.explode(tokens).alias("word")).filter("word is not null").distinct(), "words")
+    counts = materialise(cooccurrences(df, tokens, window), "pairs")
+    weights = materialise(positive_information(counts).repartition("other"), "weights")
+    number = [F.conv(F.substring(F.md5(F.concat(F.col("word"), F.lit(f":{k}:{seed}"))), 1, 8), 16, 10).cast("double") / (1 << 32) - 0.5 for k in range(size)]
+    now, width = words.select("word", F.array(*number).alias("x")), size
+    for r in range(rounds):
+        near = weights.join(now.withColumnRenamed("word", "other"), "other")
+        sums = near.groupBy("word").agg(*[F.sum(F.col("weight") * F.col("x")[k]).alias(f"s{k}") for k in range(width)])
+        stepped = materialise(sums.select("word", F.array(*[f"s{k}" for k in range(width)]).cast("array<double>").alias("x")), "stepped")
+        now, width = _turned(stepped, width, power if r == rounds - 1 else 0.0)
+        now = materialise(now, "vectors")
+        if not width:
+            break
+    zero = F.array_repeat(F.lit(0.0), width)
+    return words.join(now, "word", "left").select("word", F.coalesce("x", zero).alias("vector"))
+
+
 def _features(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
 

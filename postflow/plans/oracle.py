@@ -314,9 +314,8 @@ _PIPELINE = f"""{_TEXT_POSTS}, {_tokens("text_posts", "id", "text")},
     scaled AS (SELECT date, {", ".join(
         f"({c} - (SELECT min({c}) FROM features)) / nullif((SELECT max({c}) - min({c}) FROM features), 0) AS {c}"
         for c in [*LABELS.values(), "favorite_count", "retweet_count"])} FROM features),
-    cells AS (SELECT f.date, u."user", coalesce(sum(unigram), 0) AS unigram, coalesce(sum(bigram), 0) AS bigram
-              FROM features f CROSS JOIN (SELECT DISTINCT "user" FROM scored) u
-              LEFT JOIN marked m ON m.day = f.date AND m."user" = u."user" GROUP BY ALL),
+    cells AS (SELECT day AS date, "user", sum(unigram) AS unigram, sum(bigram) AS bigram
+              FROM marked WHERE day IN (SELECT date FROM features) GROUP BY ALL),
     long AS (SELECT * FROM scaled UNPIVOT INCLUDE NULLS (value FOR twitter_ticker IN ({", ".join(
         [*LABELS.values(), "favorite_count", "retweet_count"])}))
         UNION ALL SELECT date, 'unigram_' || "user" AS twitter_ticker, unigram AS value FROM cells
@@ -600,6 +599,21 @@ ORACLE = {
         WHERE "group" <> 'view'""",
     # models, by what must hold for each row
     "word_vectors": f"WITH {_EXPLODED} SELECT DISTINCT word, 8 AS size FROM w",
+    "cooccurrence_vectors": f"""WITH {_EXPLODED},
+        once AS (SELECT a.word a, b.word b FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i IN (a.i + 1, a.i + 2)),
+        n AS (SELECT word, other, count(*) n FROM (SELECT a AS word, b AS other FROM once UNION ALL SELECT b, a FROM once) GROUP BY ALL),
+        m AS (SELECT word, sum(n) m FROM n GROUP BY word),
+        weights AS (SELECT n.word, n.other, ln(n.n::DOUBLE * (SELECT sum(m) FROM m) / (a.m::DOUBLE * b.m)) g FROM n JOIN m a USING (word)
+                    JOIN m b ON b.word = n.other WHERE n.n * (SELECT sum(m) FROM m) > a.m * b.m),
+        words AS (SELECT DISTINCT word FROM w),
+        x0 AS (SELECT word, {", ".join(f"('0x' || substr(md5(word || ':{k}:0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5 AS x{k}" for k in (0, 1))} FROM words),
+        x1 AS (SELECT g.word, sum(g * x0) x0, sum(g * x1) x1 FROM weights g JOIN x0 ON x0.word = g.other GROUP BY ALL),
+        x2 AS (SELECT g.word, sum(g * x0) x0, sum(g * x1) x1 FROM weights g JOIN x1 ON x1.word = g.other GROUP BY ALL),
+        gram AS (SELECT sum(x0 * x0) p, sum(x0 * x1) q, sum(x1 * x1) r FROM x2),
+        x AS (SELECT word, coalesce(x0, 0) x0, coalesce(x1, 0) x1 FROM words LEFT JOIN x2 USING (word)),
+        f AS (SELECT x0 f0, x1 f1 FROM x ORDER BY word LIMIT 1)
+        SELECT word, round((r * x0 * x0 - 2 * q * x0 * x1 + p * x1 * x1) / (p * r - q * q), 8) + 0 AS own,
+        round((r * x0 * f0 - q * (x0 * f1 + x1 * f0) + p * x1 * f1) / (p * r - q * q), 8) + 0 AS with_first FROM x, gram, f""",
     "hard_clusters": "SELECT vec_id, TRUE AS nearest FROM embeddings",
     "stem_tokens": _STEMMED,
     "dictionary_stems": _STEMMED,

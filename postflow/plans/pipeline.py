@@ -2,7 +2,7 @@
 
 Stages are cut only where a result has several consumers: the tokens, the scored posts and the
 daily sums.  Those cuts are Parquet tables in the shared folder.  Values per user stay in long form,
-one row per day, user and measure, so any number of users will do; ``widen`` makes columns of some.
+one row per measure, user and day with posts, so any number of users will do; ``widen`` makes columns of some.
 """
 
 import datetime
@@ -58,7 +58,7 @@ class Stages:
 
     ``rolled``, ``features``, ``normalized`` and ``latest`` have one row per day, with prices and totals;
     ``cells`` and ``latest_cells`` hold the users' values of the days of ``features`` and ``latest`` as
-    (date, user, measure, value).
+    (date, user, measure, value); a user without posts on a day has no cell.
     """
 
     tokens: DataFrame
@@ -122,29 +122,27 @@ def scored_posts(tokens: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def user_cells(by_user: DataFrame, days: DataFrame, users: Sequence[str] | None = None) -> DataFrame:
-    """R2, P7, A14 in long form: (date, user, measure, value) of every user on each of ``days``.
+    """R2, P7, A14 in long form: (date, user, measure, value) of the users that posted, on each of ``days``.
 
-    Weekends are rolled into Monday; a day without posts of a user has zeros, as a pivot would fill
-    them.  ``days`` has one row per day, so their list is small; named ``users`` without posts have zeros.
+    Weekends are rolled into Monday.  A cell that is not there is zero, as a pivot would fill it: rows grow with the
+    posts, not with users times days, and ``widen`` fills what it makes columns of.  ``days`` has one row per day, so
+    their list is small.  Named ``users`` are the only ones that are returned.
     """
-    spark = by_user.sparkSession
     own = by_user.select("date", "user", *MEASURES).filter("user is not null")
-    rolled = dy.roll_weekend(own, by=["user"], fill_calendar=False)
-    who = own.select("user").distinct()
     if users is not None:
-        who = spark.createDataFrame([(u,) for u in dict.fromkeys(users)], "user string")
-    dates = days.agg(F.array_sort(F.collect_set("date"))).scalar()
-    grid = who.select("user", F.explode(dates).alias("date"))
-    filled = grid.join(rolled, ["date", "user"], "left").na.fill(0, [*MEASURES])
-    return filled.unpivot(["date", "user"], [*MEASURES], "measure", "value")
+        own = own.filter(F.col("user").isin(list(users)))
+    rolled = dy.roll_weekend(own, by=["user"], fill_calendar=False)
+    dates = days.agg(F.collect_set("date")).scalar()
+    return rolled.filter(F.array_contains(dates, F.col("date"))).unpivot(["date", "user"], [*MEASURES], "measure", "value")
 
 
 def widen(daily: DataFrame, cells: DataFrame, users: Sequence[str]) -> DataFrame:
-    """R2: ``daily`` with a column per measure and user; for as many users as a table can have columns."""
+    """R2: ``daily`` with a column per measure and user, 0 where there is no cell; for as many users as a table can have columns."""
     name = F.concat_ws("_", "measure", "user")
     columns = [f"{m}_{u}" for u in users for m in MEASURES]
     wide = cells.withColumn("_name", name).groupBy("date").pivot("_name", columns).agg(F.first("value"))
-    return daily.join(wide.na.fill(0), "date")
+    found = daily.join(wide, "date", "left")
+    return found.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in columns})
 
 
 def condition(scored: DataFrame, bars: DataFrame, config: Config) -> dict[str, DataFrame]:

@@ -397,6 +397,19 @@ def word_vectors(spark, folder):
     return vectors.select("word", F.size("vector").alias("size"))
 
 
+@query
+def cooccurrence_vectors(spark, folder):
+    """M1: the product of each word's vector with itself and with that of the first word, on the plane of two rounds"""
+    found = materialise(ve.cooccurrence_vectors(_stored_words(spark, folder), "tokens", size=2, rounds=2, power=0.0), "vectors")
+    first = found.agg(F.min_by("vector", "word")).scalar()
+
+    def product(a, b):
+        return F.round(a[0] * b[0] + a[1] * b[1], 8) + F.lit(0.0)
+
+    vector = F.col("vector")
+    return found.select("word", product(vector, vector).alias("own"), product(vector, first).alias("with_first"))
+
+
 def _vectors(spark, folder):
     return tb.table(spark, folder, "embeddings").select("vec_id", "embedding")
 

@@ -1,8 +1,10 @@
 """M1-M4, M7."""
 
+import collections
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,35 @@ def test_word_vectors(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a", "b"],)], "t array<string>")
     found = ve.word_vectors(df, "t", size=4, min_count=2, partitions=2)
     assert {r.word: len(r.vector) for r in found.collect()} == {"a": 4, "b": 4}
+
+
+def test_cooccurrences(spark):
+    df = spark.createDataFrame([(["a", "b", "a", None, "c"],), (["c"],), ([],), (None,)], "t array<string>")
+    found = {(r.word, r.other): r.n for r in ve.cooccurrences(df, "t", 2).collect()}
+    assert found == {("a", "b"): 2, ("b", "a"): 2, ("a", "a"): 2, ("a", "c"): 1, ("c", "a"): 1}
+
+
+def test_cooccurrence_vectors_span_the_strongest_directions(spark):
+    rng = random.Random(3)
+    topics = [["red", "blue", "green", "pink"], ["cat", "dog", "cow", "hen", "pig"], ["one", "two", "six"]]
+    rows = [[rng.choice(topics[k % 3] if rng.random() < 0.9 else sum(topics, [])) for _ in range(30)] for k in range(60)] + [["alone"]]
+    df = spark.createDataFrame([(r,) for r in rows], "t array<string>").repartition(3)
+    n = collections.Counter((r[i], r[j]) for r in rows for i in range(len(r)) for j in range(len(r)) if 0 < abs(i - j) <= 2)
+    words = sorted({w for r in rows for w in r})
+    counts = np.array([[n[a, b] for b in words] for a in words], float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plain = np.nan_to_num(np.maximum(np.log(counts * counts.sum() / np.outer(counts.sum(1), counts.sum(1))), 0), neginf=0)
+    left, strength, _ = np.linalg.svd(plain)
+    found = {r.word: r.vector for r in ve.cooccurrence_vectors(df, "t", size=3, rounds=20).collect()}
+    ours = np.array([found[w] for w in words])
+    assert sorted(found) == words and not any(found["alone"])
+    assert ours @ ours.T == pytest.approx(left[:, :3] * strength[:3] @ left[:, :3].T, abs=1e-3)
+
+
+def test_cooccurrence_vectors_of_few_or_no_words(spark):
+    few = spark.createDataFrame([(["a", "b"],), (["c", "d"],)], "t array<string>")
+    found = {r.word: r.vector for r in ve.cooccurrence_vectors(few, "t", size=8, rounds=2).collect()}
+    assert sorted(found) == ["a", "b", "c", "d"] and {len(v) for v in found.values()} == {4}
+    assert np.isfinite([v for v in found.values()]).all()
+    none = spark.createDataFrame([([],), (None,)], "t array<string>")
+    assert ve.cooccurrence_vectors(none, "t", size=2, rounds=2).count() == 0
