@@ -181,10 +181,13 @@ def _spots(kind: Kind, hot: np.ndarray):
     def emit(held):
         ids, marks = (np.concatenate([h[0][k] for h in held]) for k in range(2))
         found = Runs(*[np.concatenate([h[1][k] for h in held]) for k in range(6)])
+        held.clear()
         if not len(ids):
             return
         place, ids, marks = _ranked(ids, marks)
         (anchor, content, own, spot, flag), (kid, klow, kcount) = _settled(place, found, kind.earlier)
+        del place, found
+        tx.give_back()
         anchor = np.concatenate([anchor.view(np.int64), tx.mixed(ids[kid].view(np.uint64)).view(np.int64)])
         content = np.concatenate([content.view(np.int64), kcount])
         own, spot = np.concatenate([own, kid]), np.concatenate([spot, _packed(klow, 0, 0)])

@@ -1,5 +1,6 @@
 """Texts of an Arrow batch as arrays of word codes, without a Python object per word."""
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -41,6 +42,15 @@ class Words(NamedTuple):
     terms: pa.Array
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep for later to the system; a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator:
     """Tables of neighbouring rows with about ``most`` bytes of text; one row at least.
 
@@ -52,7 +62,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
     def joined():
         table = pa.Table.from_batches(held).combine_chunks()
         held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
         return table
 
     for batch in batches:
@@ -72,7 +82,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
                 size = 0
     if held:
         yield joined()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def column(table: pa.Table, name: str) -> pa.Array:
