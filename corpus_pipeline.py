@@ -43,13 +43,19 @@ def near_dedup(spark, docs, folder):
 def suffix_dedup(spark, docs, folder):
     """Operator 7: bytes of strings that start earlier go; parts of characters that are left go too."""
     names = docs.columns
-    found = suffixes.dedup_bytes(docs, keep=tuple(names))
-    text = F.when(F.col("n_removed") == 0, F.col("rest")[f"c{names.index('text')}"]).otherwise(F.col("whole"))
-    columns = {name: F.col("rest")[f"c{k}"] for k, name in enumerate(names)}
-    columns["text"] = text
+    inner = [f"c{k}" for k in range(len(names))]  # so that no column's name can clash
+    column = dict(zip(names, inner))
+    own = column["text"]
+    plain = docs.toDF(*inner).withColumn("none", F.col(own).isNull())
+    ride = [c for c in inner if c != own] + ["none"]  # the text itself travels once
+    found = suffixes.dedup_bytes(plain, column["doc_id"], own, keep=tuple(ride))
+    rest = {c: F.col("rest")[f"c{k}"] for k, c in enumerate(ride)}
+    same = F.col("n_removed") == 0
+    text = F.when(~rest["none"], F.when(same, F.col("kept").cast("string")).otherwise(F.col("whole")))
+    columns = {name: text if c == own else rest[c] for name, c in column.items()}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length(text)).cast("long")
-    return found.select(*[column.alias(name) for name, column in columns.items()])
+        columns["n_chars"] = F.when(same, columns["n_chars"]).otherwise(F.length(text)).cast("long")
+    return found.select(*[value.alias(name) for name, value in columns.items()])
 
 
 def decontamination(spark, docs, folder):
