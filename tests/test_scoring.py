@@ -163,3 +163,25 @@ def test_shares_need_no_single_partition_of_rows(spark):
     df = spark.range(10).selectExpr("id", "id * 1.0d as x")
     plan = sc.share_of_total(df, ["x"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+# With few heavy words all ways to deal a gram are taken.
+@pytest.mark.parametrize("heavy", [1, 8, 1000])
+def test_chains_of_heavy_words(spark, skewed_rows, monkeypatch, heavy):
+    monkeypatch.setattr(sc, "HEAVY", heavy)
+    df = posts(spark, skewed_rows)
+    unigram, bigram, trigram = brute_force(skewed_rows)
+    close(by_id(sc.bigram_score(df, ["id"], "t"), "bigram_logprob"), bigram)
+    close(by_id(sc.trigram_score(df, ["id"], "t"), "trigram_logprob"), trigram)
+    both = sc.post_scores(df, ["id"], "t")
+    close(by_id(both, "unigram_logprob"), unigram)
+    close(by_id(both, "bigram_logprob"), bigram)
+
+
+def test_grams_travel_once(spark):
+    """Grams are not stored, and shuffled once: what is written is the counts of words."""
+    df = posts(spark, EXAMPLE)
+    for score in (sc.bigram_score, sc.trigram_score, sc.post_scores):
+        found = score(df, ["id"], "t")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "lookups-" not in plan and plan.count("RepartitionByExpression") == 1
