@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from postflow.plans.pipeline import Config, load, parse, run, scored_posts, user_cells, widen
+from postflow.plans.pipeline import Config, filled_cells, load, parse, run, scored_posts, user_cells, widen
 from postflow.schemas import RAW_POSTS
 
 LABELS = {"^G": "SandP_500", "^I": "NASDAQ"}
@@ -119,11 +119,11 @@ def test_latest_uses_the_last_bar(stages):
 
 
 def test_users_are_selected_and_totals_stay(stages):
-    some = user_cells(stages.by_user, stages.features.select("date"), ["user1", "nobody"])
+    some = filled_cells(stages.by_user, stages.features.select("date"), ["user1", "nobody"])
     both = {(r.date, r.user, r.measure): r.value for r in stages.cells.collect()}
     for r in some.collect():
         assert r.value == both.get((r.date, r.user, r.measure), 0)
-    assert some.count() == stages.cells.filter("user = 'user1'").count()
+    assert some.count() == stages.cells.count() / 2
 
 
 def test_cells_are_the_days_with_posts(spark, stages):
@@ -166,3 +166,22 @@ def test_parse(spark):
     later = spark.createDataFrame([("g", "a", "0", when, "old", 1, 2, False), ("g", "a", "9", when, "new", 1, 2, False)], RAW_POSTS)
     assert sorted(r.id for r in parse(later, listed, history)[0].collect()) == [1, 9]
     assert parse(raw.limit(0))[0].count() == 0
+
+
+def test_every_user_has_a_cell_on_every_day(spark, stages):
+    own = spark.createDataFrame(
+        [(dt.date(2024, 1, 3), "a", 0.5, 0.0), (dt.date(2024, 1, 6), "b", 0.25, 0.5), (dt.date(2024, 1, 3), None, 9.0, 9.0)],
+        "date date, user string, unigram double, bigram double",
+    )
+    days = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (3, 8)], "date date")
+    found = {(r.date.day, r.user, r.measure): r.value for r in filled_cells(own, days).collect()}
+    assert found == {(d, u, m): 0.0 for d in (3, 8) for u in "ab" for m in ("unigram", "bigram")} | {
+        (3, "a", "unigram"): 0.5, (8, "b", "unigram"): 0.25, (8, "b", "bigram"): 0.5,
+    }
+    assert {(r.user, r.value) for r in filled_cells(own, days, ["c"]).collect()} == {("c", 0.0)}
+    assert stages.cells.count() == 2 * 4 * stages.features.count()
+
+
+def test_grams_are_not_shuffled_with_the_scores(spark, stages):
+    plan = scored_posts(stages.tokens, stages.scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pentagram_sentence" not in plan[plan.index("Join"):]
