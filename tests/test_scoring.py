@@ -185,3 +185,14 @@ def test_grams_travel_once(spark):
         found = score(df, ["id"], "t")
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "lookups-" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+@pytest.mark.parametrize("n", [4, 5])
+def test_long_grams_travel_in_runs(spark, skewed_rows, n):
+    rows = [*skewed_rows, None]
+    wanted = collections.Counter(ng.GLUE.join(t[i : i + n]) for t in skewed_rows for i in range(len(t) - n + 1))
+    df = posts(spark, rows)
+    assert {r.term: r.frequency for r in ng.count_grams(df, n, "t").collect()} == wanted
+    runs = ng.gram_runs(df, n, "t").agg(F.sum(F.size(F.split("run", ng.GLUE)))).first()[0]
+    assert runs < 0.75 * n * sum(wanted.values())
+    assert ng.count_grams(posts(spark, [["a"], []]), n, "t").count() == 0
