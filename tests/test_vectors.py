@@ -79,3 +79,23 @@ def test_cooccurrence_vectors_of_few_or_no_words(spark):
     assert np.isfinite([v for v in found.values()]).all()
     none = spark.createDataFrame([([],), (None,)], "t array<string>")
     assert ve.cooccurrence_vectors(none, "t", size=2, rounds=2).count() == 0
+
+
+@pytest.mark.parametrize("iterations", [1, 3])
+def test_word_vectors_stay_off_the_driver(spark, monkeypatch, iterations):
+    """All words come back from any number of slices, and words with the same neighbours end closer than others."""
+    monkeypatch.setattr(ve, "SLICE_WORDS", 4000)
+    rng = random.Random(1)
+    topics = [["red", "blue", "green", "pink"], ["cat", "dog", "cow", "hen"]]
+    rows = [(rng.choices(topics[k % 2], k=30),) for k in range(600)] + [(["alone"],), ([],), (None,), ([None, "alone"],)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    with monkeypatch.context() as m:
+        m.setattr(ve, "RATE", 0.05)
+        found = {r.word: np.array(r.vector) for r in ve.word_vectors(df, "t", size=8, iterations=iterations, partitions=2).collect()}
+    assert sorted(found) == sorted([*topics[0], *topics[1], "alone"]) and all(len(v) == 8 for v in found.values())
+
+    def cosine(a, b):
+        return found[a] @ found[b] / np.linalg.norm(found[a]) / np.linalg.norm(found[b])
+
+    assert min(cosine("red", w) for w in topics[0]) > max(cosine("red", w) for w in topics[1])
+    assert ve.word_vectors(df.limit(0), "t", size=2, iterations=iterations).count() == 0
