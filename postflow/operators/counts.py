@@ -3,12 +3,15 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.group import GroupedData
 
-from postflow.operators.ngrams import GLUE, count_terms, ngram_terms
+from postflow.operators.ngrams import GLUE, each_term, ngram_terms
 from postflow.sources.snapshots import SnapshotTable
 
 #: Grams are dealt to so many parts of a table by their hash.
 BUCKETS = 64
+#: Tasks that a bucket is dealt to, at most, when its grams are counted.
+SPREAD = 32
 
 _COUNTS = T.StructType([T.StructField("term", T.StringType()), T.StructField("frequency", T.LongType())])
 
@@ -27,9 +30,15 @@ class GramCounts:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(self.buckets))
 
+    def _dealt(self, rows: DataFrame) -> GroupedData:
+        """The rows by term, after the one shuffle that also puts those of a bucket together for its files."""
+        part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(SPREAD))
+        return rows.withColumns({"_bucket": self._bucket(), "_spread": part}).repartition("_bucket", "_spread").groupBy("_bucket", "_spread", "term")
+
     def add(self, posts: DataFrame, tokens: str = "stem_tokens", batch: tuple[str, int] | None = None) -> None:
         """Add the grams of these posts; a ``batch`` (name, number) that was added before is left out."""
-        self.table.append(count_terms(posts, ngram_terms(tokens, self.n)), self._bucket(), batch)
+        grams = self._dealt(each_term(posts, ngram_terms(tokens, self.n)))
+        self.table.append(grams.agg(F.count(F.lit(1)).alias("frequency")), self._bucket(), batch, dealt=True)
 
     def counts(self) -> DataFrame:
         """(term, frequency) over all increments; partial counts meet in one small shuffle."""
@@ -48,7 +57,7 @@ class GramCounts:
 
     def compact(self, most: int = 4) -> None:
         """Make one file of every bucket that has more than ``most``."""
-        self.table.compact(self._bucket(), most, lambda rows: rows.groupBy("term").agg(F.sum("frequency").alias("frequency")))
+        self.table.compact(self._bucket(), most, lambda rows: self._dealt(rows).agg(F.sum("frequency").alias("frequency")), dealt=True)
 
 
 #: The error of a sketch of 2**12 registers: one standard deviation, as a share of the number.

@@ -97,3 +97,22 @@ def test_sketches_of_any_days(spark):
         about = ct.users_between(sketches, first, last).first()["users"]
         assert math.isclose(about, users, rel_tol=4 * ct.SKETCH_ERROR)
     assert ct.users_between(sketches, "2025-01-01", "2025-01-02").count() == 0
+
+
+def test_an_increment_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """Grams are counted where their bucket is written, also when buckets are compacted; nothing is rebalanced."""
+    plans = []
+    stored = ct.SnapshotTable._stored
+
+    def seen(self, rows, part, dealt=False):
+        plans.append((rows._jdf.queryExecution().executedPlan().toString().count("Exchange"), dealt))
+        return stored(self, rows, part, dealt)
+
+    monkeypatch.setattr(ct.SnapshotTable, "_stored", seen)
+    posts = spark.createDataFrame([(["a", "b", "a", "b"],), (["b", "a"],), ([],)], "t array<string>")
+    counts = ct.GramCounts(spark, str(tmp_path / "counts"), 2, buckets=3)
+    for number in range(2):
+        counts.add(posts, "t", ("load", number))
+    counts.compact(1)
+    assert plans == [(1, True)] * 3
+    assert {r.term: r.frequency for r in counts.counts().collect()} == {"a\x1fb": 4, "b\x1fa": 4}
