@@ -12,7 +12,7 @@ from postflow.functions.entities import with_entities
 from postflow.operators.keys import NATURAL_KEY, with_keys
 from postflow.schemas import LONG, POST_KEY, POSTS, RAW_POSTS
 from postflow.sources.posts import (
-    FOLDERS, STORED_POSTS, flatten_posts, quarantine, with_folders, write_posts,
+    FOLDERS, STORED_POSTS, USER_BUCKETS, flatten_posts, quarantine, with_folders, write_posts,
 )
 from postflow.sources.snapshots import SnapshotTable, part_name, stream_of
 
@@ -27,9 +27,14 @@ def raw_stream(
     return reader.load(path)
 
 
+def finish(posts: DataFrame) -> DataFrame:
+    """Flattened posts with their entities: the costly step, so it comes after repeats are dropped."""
+    return with_entities(posts).select(*POSTS.fieldNames())
+
+
 def prepare(raw: DataFrame) -> DataFrame:
     """The same row-local steps for a batch and for a stream."""
-    return with_entities(flatten_posts(raw)).select(*POSTS.fieldNames())
+    return finish(flatten_posts(raw))
 
 
 def drop_repeats(posts: DataFrame, delay: str) -> DataFrame:
@@ -40,6 +45,17 @@ def drop_repeats(posts: DataFrame, delay: str) -> DataFrame:
     return posts.withWatermark("created_at", delay).dropDuplicatesWithinWatermark([*POST_KEY])
 
 
+def gathered(posts: DataFrame) -> DataFrame:
+    """A stream of posts with each folder's rows in few tasks, which write a file per folder they hold.
+
+    Streams know no rebalance hint, and the tasks of the state hold rows of all folders: their files would be tasks times
+    folders.  A folder is dealt to one task for each ``USER_BUCKETS`` tasks, so that a hot one is split.
+    """
+    tasks = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, tasks // USER_BUCKETS)))
+    return posts.repartition(tasks, *FOLDERS, part)
+
+
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
     """The table at ``path``, or None before its first write."""
     try:
@@ -59,8 +75,8 @@ def _touched(batch: DataFrame, *columns: str) -> Column:
     return functools.reduce(Column.__and__, [F.col(c).isin(found[c]) for c in columns])
 
 
-def append_unseen(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that appends the posts that are not stored yet.
+def append_unseen(path: str, then: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that appends the posts that are not stored yet, after the row-local step ``then``.
 
     Nothing is lost, however late it lands, and a batch that is run again adds nothing.  Of the
     stored table only the key columns are read, in the folders the batch touches: those of its months,
@@ -75,6 +91,7 @@ def append_unseen(path: str) -> Callable[[DataFrame, int], None]:
         if stored is not None:
             known = stored.filter(_touched(batch, *FOLDERS)).select(*POST_KEY)
             fresh = fresh.join(known, [*POST_KEY], "left_anti")
+        fresh = fresh if then is None else then(fresh)
         write_posts(fresh.select(*POSTS.fieldNames()), path)
         batch.unpersist()
 
@@ -102,12 +119,12 @@ def stream_posts(
         .option("checkpointLocation", f"{checkpoint}-bad")
         .outputMode("append").trigger(availableNow=True).start().awaitTermination()
     )
-    posts = prepare(good)
+    posts = flatten_posts(good)
     if delay is None:
-        writer = posts.writeStream.foreachBatch(append_unseen(out))
+        writer = posts.writeStream.foreachBatch(append_unseen(out, finish))
     else:
         writer = (
-            with_folders(drop_repeats(posts, delay))
+            gathered(with_folders(finish(drop_repeats(posts, delay))))
             .writeStream.format("parquet")
             .partitionBy(*FOLDERS)
             .option("path", out)
