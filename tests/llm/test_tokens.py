@@ -68,6 +68,30 @@ def test_words_are_encoded_like_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [e.ids for e in whole]
 
 
+def test_a_word_is_encoded_once_whatever_follows_it(monkeypatch):
+    tokenizer, coder, new = Tokenizer.from_file(WORD), tokenfiles.Encoder(WORD), []
+    encode = coder._encode
+    monkeypatch.setattr(coder, "_encode", lambda terms: [new.extend(str(t) for t in terms), encode(terms)][1])
+    monkeypatch.setattr(tokenfiles.tx, "kept", lambda name, make: coder)
+    texts = ["él né. né, né", "né! él? İ. İ", "né: é́. ß; 文. ×."]
+    for _ in range(2):
+        offsets, ids = tokenfiles.encode_words(pa.array(texts), WORD)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(new) == sorted(["él", "né", ".", ",", "!", "?", ":", ";", "İ.", "İ", "é́.", "ß", "文", "×."])
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    tokenizer, coder = Tokenizer.from_file(WORD), tokenfiles.Encoder(WORD)
+    monkeypatch.setattr(tokenfiles, "MEMO_WORDS", 8)
+    monkeypatch.setattr(tokenfiles.tx, "kept", lambda name, make: coder)
+    for k in range(6):
+        texts = [f"the new thing {'x' * k} w{k} 文{k}", None, f"thing{k}. Old"]
+        offsets, ids = tokenfiles.encode_words(pa.array(texts), WORD)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(coder.terms) <= 8
+    assert {"the", "new", "thing"} <= set(coder.terms.to_pylist())
+
+
 def test_token_files(spark, table, prose, tmp_path, monkeypatch):
     docs = table([*prose, (None, "no id")])
     coded = tokenfiles.token_ids(docs, WORD, 2)
