@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,31 @@ def test_grams_travel_once(spark):
         assert "lookups-" not in plan and plan.count("RepartitionByExpression") == 1
 
 
+# Slices and buckets of a few grams: a gram, a head and a post are in many of them.
+@pytest.mark.parametrize("heavy", [8, 1000])
+def test_grams_travel_packed(spark, skewed_rows, monkeypatch, heavy):
+    monkeypatch.setattr(sc, "HEAVY", heavy)
+    monkeypatch.setattr(sc.chains, "SLICE_WORDS", 50)
+    monkeypatch.setattr(sc.chains, "BUCKET_GRAMS", 100)
+    rows = [*skewed_rows, ["é", "", "é"], None]
+    df = posts(spark, rows)
+    _, bigram, trigram = brute_force(rows[:-2])
+    for score, n in ((sc.bigram_score, 2), (sc.trigram_score, 3)):
+        found = score(df, ["id"], "t")
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == len(rows)
+    df = posts(spark, skewed_rows)
+    close(by_id(sc.bigram_score(df, ["id"], "t"), "bigram_logprob"), bigram)
+    close(by_id(sc.trigram_score(df, ["id"], "t"), "trigram_logprob"), trigram)
+
+
+def test_packed_numbers():
+    for numbers in ([0], [3, 255], [256, 0, 70_000], [2**32 - 1, 5]):
+        assert sc.chains._numbers(sc.chains._planes(np.array(numbers))).tolist() == numbers
+    far = [np.array([5, 2**40, 5]), np.array([2**40, 1, 2**40])]
+    assert (np.unique(sc.chains._numbered(far), return_inverse=True)[1] == [0, 1, 0]).all()
+
+
 @pytest.mark.parametrize("n", [4, 5])
 def test_long_grams_travel_in_runs(spark, skewed_rows, n):
     rows = [*skewed_rows, None]
